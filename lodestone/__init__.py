@@ -1,0 +1 @@
+"""Code-intelligence analytics over facts about software, as Spark DataFrames."""

@@ -12,6 +12,7 @@ put together from their words' ids.
 from __future__ import annotations
 
 import heapq
+import json
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -28,9 +29,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words whose ids are broadcast at most (about 400 MB at 12 million); beyond it occurrences are joined by shuffle.
 DICTIONARY_WORDS = 12_000_000
 #: The fold's state is a 64-bit mask; longer words, which are rare, are encoded by a heap in Python.
-LONGEST = 62
+LONGEST = 61
 SPACE = "▁"
-SINGLE = 1 << 30
 
 
 @dataclass(frozen=True)
@@ -158,85 +158,96 @@ def vocabulary(docs: DataFrame, pieces: Pieces) -> DataFrame:
     return map_batches(docs.select("text"), run, "word string").distinct()
 
 
-def _bits(start: Column, end: Column) -> tuple[Column, Column]:
-    """The mask of the positions start and end, and that of those between."""
-    one = F.lit(1).cast("bigint")
-    at = lambda p: F.call_function("shiftleft", one, p)
-    return at(start).bitwiseOR(at(end)), at(end) - at(start + 1)
+#: An edge is one integer: rank, start, end, whether its merge is risky, id; from the highest bits down.
+_RANK, _START, _END, _RISKY = 38, 32, 26, 25
+_NO_ID = (1 << 25) - 1
+_LAST_RANK = (1 << 25) - 1
+_E = {"s": f"int(shiftright(e, {_START}) & 63)", "t": f"int(shiftright(e, {_END}) & 63)"}
+#: Boundaries strictly inside the edge, and whether both its ends are boundaries of mask m.
+_INNER = "((1L << {t}) - (1L << ({s} + 1)))".format(**_E)
+_ENDS = "((shiftright(m, {t}) & shiftright(m, {s}) & 1L) = 1L)".format(**_E)
+
+
+def risky(pieces: Pieces) -> set[str]:
+    """Pieces whose merge can make a better-ranked one possible: they begin or end such a piece, and a piece is left."""
+    out = set()
+    for p, r in pieces.ranks.items():
+        for k in range(1, len(p)):
+            if p[:k] in pieces.ids and p[k:] in pieces.ids:
+                out |= {part for part in (p[:k], p[k:]) if len(part) > 1 and pieces.ranks[part] > r}
+    return out
 
 
 def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, edges): the piece matches in each word, sorted by rank and start; words have LONGEST characters at most."""
-    rows = [(p, pieces.ids[p], pieces.ranks[p], pieces.scores[p]) for p in pieces.ids]
-    table = F.broadcast(words.sparkSession.createDataFrame(rows, "piece string, id int, rank int, score double"))  # fixed by the model
-    text = F.translate("word", " ", SPACE)
-    spans = words.select("word", text.alias("text"), F.length("word").alias("n")).sortWithinPartitions("word")
+    """(word, edges): the piece matches in each word as sorted integers; words have LONGEST characters at most."""
+    if max(pieces.decoded and len(pieces.decoded), len(pieces.ranks)) >= _NO_ID:
+        raise ValueError("too many pieces")
+    at_risk = set() if pieces.unigram else risky(pieces)
+    rank = lambda p: pieces.ranks[p] if pieces.unigram or len(p) > 1 else _LAST_RANK
+    rows = [(p, rank(p) << _RANK | (p in at_risk) << _RISKY | i) for p, i in pieces.ids.items()]
+    table = F.broadcast(words.sparkSession.createDataFrame(rows, "piece string, code bigint"))  # fixed by the model
+    spans = words.select("word", F.translate("word", " ", SPACE).alias("text"), F.length("word").alias("n")).sortWithinPartitions("word")
     spans = spans.select("word", "text", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("start"))
     spans = spans.select("word", "text", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, n - start))")).alias("size"))
-    spans = spans.select("word", "start", (F.col("start") + F.col("size")).alias("end"), F.expr("substr(text, start + 1, size)").alias("piece"))
-    spans = spans.join(table, "piece", "left").where("id IS NOT NULL OR end - start = 1")
-    both, inner = _bits(F.col("start"), F.col("end"))
-    edge = F.struct(
-        F.when(F.col("end") - F.col("start") == 1, F.lit(SINGLE)).otherwise(F.col("rank")).alias("rank"),
-        "start", "end", both.alias("both"), inner.alias("inner"), "id", "score",
-        F.when(F.col("id").isNull(), F.col("piece")).alias("lost"),
-    )
-    return spans.groupBy("word").agg(F.sort_array(F.collect_list(edge)).alias("edges"))
-
-
-def merged(edges: Column, n: Column) -> Column:
-    """The BPE fold: the mask of the boundaries that remain."""
-    masked = lambda a, b: a.bitwiseAND(b)
-    everything = F.call_function("shiftleft", F.lit(1).cast("bigint"), n + 1) - 1
-    start = F.struct(everything.alias("mask"), F.filter(edges, lambda e: e.inner != 0).alias("rest"))
-
-    def step(s: Column, _: Column) -> Column:
-        best = F.get(F.filter(s.rest, lambda e: F.bit_count(masked(s["mask"], e.inner)) == 1), F.lit(0))
-
-        def after(gone: Column) -> Column:
-            mask = masked(s["mask"], F.bitwise_not(gone))
-            live = F.filter(s.rest, lambda e: (masked(mask, e.both) == e.both) & (masked(mask, e.inner) != 0))
-            return F.struct(mask.alias("mask"), live.alias("rest"))
-
-        return F.when(F.size(s.rest) == 0, s).otherwise(F.coalesce(F.get(F.transform(F.array(best), lambda b: F.when(b.isNotNull(), after(b.inner))), F.lit(0)), s))
+    spans = spans.select("word", "start", "size", F.expr("substr(text, start + 1, size)").alias("piece"))
+    spans = spans.join(table, "piece", "left").where("code IS NOT NULL OR size = 1")
+    lost = _LAST_RANK << _RANK | _NO_ID
+    edge = F.expr(f"coalesce(code, {lost}L) | (cast(start AS BIGINT) << {_START}) | (cast(start + size AS BIGINT) << {_END})")
+    return spans.select("word", edge.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step, lambda s: s["mask"])
 
+def merged(edges: str, n: str) -> Column:
+    """The BPE fold: the mask of the boundaries that remain.
 
-def viterbi(edges: Column, n: Column, unknown_score: float) -> Column:
-    """The unigram fold: the edges of the path with the greatest sum of scores; ties go to the path that ends in the longer piece."""
-    node = lambda score, path: F.struct(score.alias("score"), path.alias("path"))
-    step_kind = "array<struct<start:int,id:int,lost:string>>"
-    origin = F.array(node(F.lit(0.0), F.array().cast(step_kind)))
-
-    def step(nodes: Column, end: Column) -> Column:
-        ending = F.filter(edges, lambda e: e["end"] == end)
-        paths = F.transform(
-            ending,
-            lambda e: F.struct(
-                (F.get(nodes, e.start).score + F.coalesce(e.score, F.lit(float(unknown_score)))).alias("score"),
-                (-e.start).alias("first"), e.start.alias("start"), e.id.alias("id"), e.lost.alias("lost"),
-            ),
-        )
-        best = F.transform(
-            F.array(F.array_max(paths)),
-            lambda b: node(b.score, F.concat(F.get(nodes, b.start).path, F.array(F.struct(b.start.alias("start"), b.id.alias("id"), b.lost.alias("lost"))))),
-        )
-        return F.concat(nodes, best)
-
-    return F.aggregate(F.sequence(F.lit(1), n), origin, step, lambda nodes: F.element_at(nodes, -1).path)
+    One pass over the edges by rank and start is exact unless a merge makes a better-ranked edge possible. A risky merge
+    beside such an edge sets the mask's sign, and the word is folded again with a search for the best edge before each merge.
+    """
+    everything = f"((1L << ({n} + 1)) - 1L)"
+    beside = (
+        f"(shiftright(e, {_RISKY}) & 1L) = 1L AND exists({edges}, x -> x < e AND ((shiftright(x, {_START}) & 63) = (shiftright(e, {_START}) & 63)"
+        f" OR (shiftright(x, {_END}) & 63) = (shiftright(e, {_END}) & 63)) AND (shiftright(x, {_END}) & 63) - (shiftright(x, {_START}) & 63) > (shiftright(e, {_END}) & 63) - (shiftright(e, {_START}) & 63))"
+    )
+    sign = "(1L << 63)"
+    once = (
+        f"aggregate({edges}, {everything}, (m, e) -> if(bit_count(m & {_INNER}) = 1 AND {_ENDS},"
+        f" if({beside}, (m & ~{_INNER}) | {sign}, m & ~{_INNER}), m))"
+    )
+    first = f"get(filter({edges}, e -> bit_count(m & {_INNER}) = 1 AND {_ENDS}), 0)"
+    again = f"aggregate(sequence(1, greatest({n}, 2) - 1), {everything}, (m, i) -> coalesce(get(transform(filter(array({first}), f -> f IS NOT NULL), e -> m & ~{_INNER}), 0), m))"
+    return F.expr(f"transform(array({once}), once -> if(once < 0, {again}, once))[0]")
+
+
+def merged_path(edges: str, mask: str) -> Column:
+    """(start << 25 | id) of the edges between neighbouring boundaries, in order."""
+    return F.expr(f"sort_array(transform(filter({edges}, e -> ({mask} & {_INNER}) = 0 AND {_ENDS.replace('(m,', f'({mask},')}), e -> ((shiftright(e, {_START}) & 63) << 25) | (e & {_NO_ID}L)))")
+
+
+def viterbi_path(edges: str, n: str, pieces: Pieces) -> Column:
+    """The unigram fold: (start << 25 | id) of the path with the greatest sum of scores; ties go to the longer last piece."""
+    scores = [0.0] * (max(pieces.ranks.values()) + 1)
+    for p, r in pieces.ranks.items():
+        scores[r] = pieces.scores[p]
+    table = "from_json('" + json.dumps(scores) + "', 'array<double>')"
+    score = f"coalesce(get({table}, int(shiftright(e, {_RANK}))), {pieces.unknown_score}D)"
+    best = (
+        f"array_max(transform(filter({edges}, e -> (shiftright(e, {_END}) & 63) = i), e -> named_struct('score', get(p, {_E['s']}).score + {score}, 'early', -{_E['s']}, 'step',"
+        f" ((shiftright(e, {_START}) & 63) << 25) | (e & {_NO_ID}L))))"
+    )
+    node = f"transform(array({best}), b -> named_struct('score', b.score, 'path', concat(get(p, -b.early).path, array(b.step))))"
+    origin = "array(named_struct('score', 0D, 'path', cast(array() AS array<bigint>)))"
+    return F.expr(f"aggregate(sequence(1, {n}), {origin}, (p, i) -> concat(p, {node}), p -> element_at(p, -1).path)")
 
 
-def _ids(path: Column, pieces: Pieces) -> Column:
-    """The ids of (id, lost) steps; a lost character's bytes have an id each."""
+def _ids(path: str, word: str, pieces: Pieces) -> Column:
+    """The ids of a path's steps; a character without a piece has an id for each byte."""
+    plain = f"transform({path}, p -> int(p & {_NO_ID}L))"
     if not pieces.byte_ids:
-        return F.transform(path, lambda e: F.coalesce(e.id, F.lit(pieces.unknown)))
-    table = F.lit(list(pieces.byte_ids))
-    code = lambda lost: F.transform(
-        F.sequence(F.lit(1), F.octet_length(lost)),
-        lambda i: F.get(table, F.conv(F.substr(F.hex(F.encode(lost, "UTF-8")), i * 2 - 1, F.lit(2)), 16, 10).cast("int")),
-    )
-    return F.flatten(F.transform(path, lambda e: F.when(e.id.isNotNull(), F.array(e.id)).otherwise(code(e.lost))))
+        return F.expr(f"transform({path}, p -> CASE WHEN (p & {_NO_ID}L) = {_NO_ID}L THEN {pieces.unknown} ELSE int(p & {_NO_ID}L) END)")
+    table = "array(" + ",".join(map(str, pieces.byte_ids)) + ")"
+    code = f"hex(encode(substr({word}, int(shiftright(p, 25)) + 1, 1), 'UTF-8'))"
+    lost = f"transform(sequence(1, length({code}) div 2), i -> get({table}, int(conv(substr({code}, i * 2 - 1, 2), 16, 10))))"
+    mixed = f"flatten(transform({path}, p -> CASE WHEN (p & {_NO_ID}L) = {_NO_ID}L THEN {lost} ELSE array(int(p & {_NO_ID}L)) END))"
+    return F.expr(f"CASE WHEN exists({path}, p -> (p & {_NO_ID}L) = {_NO_ID}L) THEN {mixed} ELSE {plain} END")
 
 
 def _chars(word: str, pieces: Pieces) -> list[int]:
@@ -288,15 +299,11 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, ids), written: each distinct word's ids."""
     spark = words.sparkSession
     edges = lattice(words.where(F.length("word") <= LONGEST), pieces)
-    n = F.length("word")
     if pieces.unigram:
-        path = viterbi(F.col("edges"), n, pieces.unknown_score)
-        short = edges.select("word", _ids(path, pieces).alias("ids"))
+        path = edges.select("word", viterbi_path("edges", "length(word)", pieces).alias("path"))
     else:
-        edges = edges.select("word", "edges", merged(F.col("edges"), n).alias("mask"))
-        last = F.filter("edges", lambda e: (F.col("mask").bitwiseAND(e.both) == e.both) & (F.col("mask").bitwiseAND(e.inner) == 0))
-        path = F.sort_array(F.transform(last, lambda e: F.struct(e.start.alias("start"), e.id.alias("id"), e.lost.alias("lost"))))
-        short = edges.select("word", _ids(path, pieces).alias("ids"))
+        path = edges.select("word", "edges", merged("edges", "length(word)").alias("mask")).select("word", merged_path("edges", "mask").alias("path"))
+    short = path.select("word", _ids("path", f"translate(word, ' ', '{SPACE}')", pieces).alias("ids"))
 
     @F.arrow_udf("array<int>")
     def slow(word: pa.Array) -> pa.Array:
@@ -343,22 +350,33 @@ class Dictionary:
         return at
 
 
-def dictionary(table: pa.Table) -> Dictionary:
-    keys = table.column("h").to_numpy().view(np.uint64)
-    lists = table.column("ids").combine_chunks()
-    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    start = lists.offsets.to_numpy().astype(np.int64)
-    flat = lists.values.to_numpy().astype(np.int32)
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], np.diff(start)[order]
+def dictionary(encoded: DataFrame, pieces: Pieces, files: int = 8) -> Dictionary:
+    """The encoded words' ids on the driver, fetched a few files at a time and kept in as few bytes as will do."""
+    small = np.uint16 if len(pieces.decoded) <= 1 << 16 else np.int32
+    keys, sizes, flat = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, small)]
+    names = sorted(encoded.inputFiles())
+    for i in range(0, len(names), files):
+        part = encoded.sparkSession.read.schema(encoded.schema).parquet(*names[i : i + files])
+        for batch in _hashed(part).toArrow().to_batches():
+            lists = batch.column("ids")
+            keys.append(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64).copy())
+            sizes.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32))
+            flat.append(lists.flatten().to_numpy(zero_copy_only=False).astype(small))
+    keys, n, flat = np.concatenate(keys), np.concatenate(sizes), np.concatenate(flat)
+    start = np.cumsum(n, dtype=np.int64) - n
+    order = np.argsort(keys)
+    keys, n, start = keys[order], n[order], start[order]
     if len(keys) > 1 and (keys[1:] == keys[:-1]).any():
         raise ValueError("two words have the same 64-bit hash")
-    offsets = np.r_[0, np.cumsum(n)]
-    ids = flat[np.arange(offsets[-1]) - np.repeat(offsets[:-1], n) + np.repeat(start[:-1][order], n)]
+    offsets = np.r_[0, np.cumsum(n, dtype=np.int64)]
+    ids = np.empty(len(flat), small)
+    for at in range(0, len(n), 1 << 18):
+        k = slice(at, at + (1 << 18))
+        lo, hi = offsets[at], offsets[min(at + (1 << 18), len(n))]
+        ids[lo:hi] = flat[np.arange(hi - lo) - np.repeat(offsets[k][: len(n[k])] - lo, n[k]) + np.repeat(start[k], n[k])]
     bits = max(1, len(keys).bit_length())
-    first = np.searchsorted(keys >> np.uint64(64 - bits), np.arange(1 << bits, dtype=np.uint64)).astype(np.int32)
-    first = np.minimum(first, max(len(keys) - 1, 0))
-    return Dictionary(keys, offsets, ids, first, bits)
+    first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    return Dictionary(keys, offsets.astype(np.int64 if offsets[-1] >= 1 << 31 else np.int32), ids, np.minimum(first, max(len(keys) - 1, 0)), bits)
 
 
 def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
@@ -374,7 +392,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int
     alone = separators(pieces)
     name = next(c for c in docs.columns if c.lower() == "text")
     if encoded.limit(dictionary_words + 1).count() <= dictionary_words:
-        known = docs.sparkSession.sparkContext.broadcast(dictionary(_hashed(encoded).toArrow()))
+        known = docs.sparkSession.sparkContext.broadcast(dictionary(encoded, pieces))
 
         @F.arrow_udf("array<int>")
         def put_together(text: pa.Array) -> pa.Array:
@@ -382,9 +400,10 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int
             for _, block in blocks(strings(text)):
                 data, start, end, row = segments(block, alone)
                 at = d.find(span_hash(data, start, end))
-                n = d.offsets[at + 1] - d.offsets[at]
+                begin = d.offsets[at].astype(np.int64)
+                n = d.offsets[at + 1] - begin
                 total = np.r_[0, np.cumsum(n)]
-                ids = d.ids[np.arange(total[-1]) - np.repeat(total[:-1], n) + np.repeat(d.offsets[at], n)]
+                ids = d.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)].astype(np.int32)
                 rows = total[np.searchsorted(row, np.arange(len(block) + 1))].astype(np.int32)
                 out.append(pa.ListArray.from_arrays(pa.array(rows), pa.array(ids)))
             return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))

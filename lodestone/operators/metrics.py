@@ -89,7 +89,7 @@ def dead_exports(edges: DataFrame, symbols: DataFrame, entry_points: DataFrame |
 
 def structural_health(summary: DataFrame) -> DataFrame:
     """Ratings by mean distance (.2/.4) and by the shares of modules in pain (10/25 %) and uselessness (5/15 %)."""
-    rate = lambda x, a, b: F.when(x < a, "good").when(x < b, "fair").otherwise("poor")
+    rate = lambda x, a, b: F.when(x < a, "good").when(x < b, "warning").otherwise("critical")
     n = F.greatest(F.col("module_count"), F.lit(1))
     pain, useless = F.col("pain_count") / n, F.col("useless_count") / n
     return summary.select(

@@ -81,7 +81,7 @@ def jn_dead_exports(f: Facts) -> DataFrame:
     return metrics.dead_exports(f["br_edges"], f["br_symbols"])
 
 
-RATE = "CASE WHEN {x} < CAST({a} AS DOUBLE) THEN 'good' WHEN {x} < CAST({b} AS DOUBLE) THEN 'fair' ELSE 'poor' END"
+RATE = "CASE WHEN {x} < CAST({a} AS DOUBLE) THEN 'good' WHEN {x} < CAST({b} AS DOUBLE) THEN 'warning' ELSE 'critical' END"
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import findings, graphs, structure
+from lodestone.plans import findings, graphs, relations, search, structure
 from lodestone.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "findings", "graphs", "structure"]
+__all__ = ["ORACLES", "QUERIES", "findings", "graphs", "relations", "search", "structure"]

@@ -1,0 +1,336 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy."""
+
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+import sentencepiece
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+import corpus_pipeline
+from lodestone.llm import exact_dedup, language, license_scan, mixing, near_dedup, pieces, pii, quality, queries
+from lodestone.llm._text import buffer, strings
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def con():
+    c = duckdb.connect()
+    for p in Path(DATA).glob("*.parquet"):
+        c.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM read_parquet('{p / '*.parquet' if p.is_dir() else p}')")
+    return c
+
+
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_sql(name, con, spark):
+    df = queries.queries()[name](spark, DATA)
+    got = Counter(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    ref = con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.oracle_sql()[name]})").fetchall()
+    assert got == Counter(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in ref)
+
+
+# 1
+
+
+def _brute_licenses(text: str) -> set[str]:
+    """Templates of which some run of as many words as the template has, and a bit more, holds 80 % of the shingles."""
+    norm = re.findall(r"[a-z0-9\u0080-￿]+", text.lower())
+    grams = [tuple(norm[i : i + 3]) for i in range(len(norm) - 2)]
+    found = set()
+    for name, template in license_scan.TEMPLATES:
+        t = re.findall(r"[a-z0-9\u0080-￿]+", template.lower())
+        own = {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+        span = len(own)
+        if any(len(own & set(grams[i : i + span])) >= 0.8 * len(own) for i in range(max(1, len(grams) - span + 1))):
+            found.add(name)
+    return found
+
+
+def test_license_scan(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
+    rows = []
+    for i, (_, template) in enumerate(license_scan.TEMPLATES * 3):
+        t = template.split()
+        if i >= len(license_scan.TEMPLATES) and len(t) > 20:
+            t[rng.randrange(len(t))] = word()
+        rows.append((i, " ".join([word() for _ in range(rng.randint(0, 300))] + t + [word() for _ in range(rng.randint(0, 300))])))
+    rows += [(1000 + i, " ".join(word() for _ in range(200))) for i in range(20)]
+    got: dict[int, set[str]] = {}
+    for r in license_scan.scanned(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    missed = 0
+    for i, text in rows:
+        want = _brute_licenses(text)
+        if i >= 1000:
+            assert not got.get(i)
+        missed += bool(want) and not got.get(i, set()) & want
+    assert missed == 0
+
+
+# 2
+
+
+def _hamming(fp: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(fp[:, None, :] ^ fp[None]).sum(axis=2)
+
+
+@pytest.mark.parametrize("leaf", [10, 100_000])
+def test_near_pairs(spark, leaf):
+    """Every pair within the radius, once, with one shard or many."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, (150, 2), dtype=np.uint64)
+    moved = base.copy()
+    for r in range(len(moved)):
+        for b in rng.choice(128, rng.integers(1, 26), replace=False):
+            moved[r, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    fp = np.unique(np.concatenate([base, moved]), axis=0)
+    x, y = np.nonzero(np.triu(_hamming(fp) <= near_dedup.RADIUS, 1))
+    want = {frozenset([tuple(fp[i]), tuple(fp[j])]) for i, j in zip(x, y, strict=True)}
+    path = [(int(a), int(b)) for a, b in fp.view(np.int64)]
+    rows = near_dedup.near_pairs(spark.createDataFrame(path, "a bigint, b bigint"), leaf=leaf).collect()
+    unsigned = lambda v: v & (2**64 - 1)
+    got = [frozenset([(unsigned(r.a), unsigned(r.b)), (unsigned(r.a2), unsigned(r.b2))]) for r in rows]
+    assert len(got) == len(set(got)) and set(got) == {frozenset((int(p), int(q)) for p, q in s) for s in want}
+
+
+def _near_keepers(rows: list[tuple[int, str]]) -> dict[int, int]:
+    """Groups by all pairs' distances."""
+    fp, has = near_dedup.simhash(strings(pa.array([t for _, t in rows])))
+    root = list(range(len(rows)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    d = _hamming(fp)
+    for i in range(len(rows)):
+        for j in np.flatnonzero(d[i, i + 1 :] <= near_dedup.RADIUS) + i + 1:
+            if has[i] and has[j]:
+                root[find(i)] = find(int(j))
+    best: dict[int, int] = {}
+    for i, (k, _) in enumerate(rows):
+        best[find(i)] = min(best.get(find(i), k), k)
+    return {k: best[find(i)] for i, (k, _) in enumerate(rows)}
+
+
+def test_near_duplicates(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    want = _near_keepers([(r.doc_id, r.text) for r in docs.collect()])
+    assert {r.doc_id: r.keeper for r in queries.op2_simhash_near_dedup(spark, DATA).collect()} == want
+
+
+def test_edited_copies_are_near(spark):
+    """Of copies with a tenth of their words replaced nearly all are found, and no unlike documents are."""
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for i in range(60):
+        words = [rng.choice(vocabulary) for _ in range(300)]
+        rows.append((i, " ".join(words)))
+        for k in rng.sample(range(300), 15):
+            words[k] = rng.choice(vocabulary)
+        rows.append((1000 + i, " ".join(words)))
+    got = {r.doc_id: r.keeper for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[1000 + i] == i for i in range(60)) >= 57
+    assert all(got[i] == i for i in range(60))
+
+
+# 3 and 6
+
+
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text and len(r.text) > 80]
+    model = language.fit([r.text for r in rows[::2]], [r.lang for r in rows[::2]])
+    scores, _ = model.scores(strings(pa.array([r.text for r in rows[1::2]])))
+    right = [model.languages[b] == r.lang for b, r in zip(scores.argmax(axis=1), rows[1::2], strict=True)]
+    assert np.mean(right) > 0.9
+
+
+def test_language_scores_are_kernel_products():
+    """The folded weights give the same scores as Nystrom features of the kernel computed pair by pair."""
+    texts, labels = ["the old mill", "la vieja casa", "the town river", "una casa roja"], ["en", "es", "en", "es"]
+    sets = [{t.lower().encode()[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)} for t in texts]
+    k = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in sets] for a in sets])
+    chosen = [0, 2, 1, 3]  # by language
+    value, vector = np.linalg.eigh(k[np.ix_(chosen, chosen)])
+    features = k[:, chosen] @ (vector / np.sqrt(value))
+    y = np.array([[1.0, -1.0] if x == "en" else [-1.0, 1.0] for x in labels])
+    c = features - features.mean(axis=0)
+    w = np.linalg.solve(c.T @ c + language.RIDGE * 4 * np.eye(4), c.T @ (y - y.mean(axis=0)))
+    got, _ = language.fit(texts, labels).scores(strings(pa.array(texts)))
+    assert np.allclose(got, c @ w + y.mean(axis=0), atol=1e-3)
+
+
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    scores = {r.doc_id: r.score for r in queries.op6_quality_classifier(spark, d).collect()}
+    good = np.array([scores[k] for k, q in labels.items() if q == 1])
+    bad = np.array([scores[k] for k, q in labels.items() if q == 0])
+    auc = (good[:, None] > bad[None]).mean() + 0.5 * (good[:, None] == bad[None]).mean()
+    assert auc > 0.75
+    assert (good >= quality.THRESHOLD).mean() > 0.8
+
+
+def test_non_negative_risk_recovers_the_classes():
+    rng = random.Random(1)
+    good = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(30))
+    bad = lambda: " ".join(rng.choice(["##1", "@@2", "%%3", "!!4"]) for _ in range(30))
+    model = quality.fit([good() for _ in range(60)], [good() for _ in range(50)] + [bad() for _ in range(50)])
+    assert (model.scores(strings(pa.array([good() for _ in range(20)]))) > 0.5).all()
+    assert (model.scores(strings(pa.array([bad() for _ in range(20)]))) < 0.5).all()
+
+
+# 7
+
+
+@given(st.integers(10**12, 10**16))
+def test_luhn(n):
+    digits = str(n)
+    total = sum(int(c) for c in digits[-1::-2]) + sum(sum(map(int, str(2 * int(c)))) for c in digits[-2::-2])
+    assert pii.luhn(digits) == (total % 10 == 0)
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds"),
+    [
+        ("write to ann.lee@mail.example.org today", ["email"]),
+        ("card 4111 1111 1111 1111 was charged", ["card"]),
+        ("card 4111 1111 1111 1112 was charged", []),
+        ("IBAN DE89 3704 0044 0532 0130 00 please", ["iban"]),
+        ("IBAN DE89 3704 0044 0532 0130 01 please", []),
+        ("call +1 555 123 4567 now", ["phone"]),
+        ("order 123 of 2024", []),
+        ("", []),
+    ],
+)
+def test_pii(text, kinds):
+    assert [s[0] for s in pii.spans(text)] == kinds
+
+
+def test_pii_table(spark):
+    """The query is the function over every row."""
+    want = Counter()
+    for r in spark.read.parquet(f"{DATA}/documents.parquet").collect():
+        want.update((r.doc_id, *s) for s in pii.spans(r.text or ""))
+    assert Counter(map(tuple, queries.op7_pii(spark, DATA).collect())) == want
+
+
+# 8
+
+
+@pytest.fixture(scope="module")
+def processor():
+    return sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+
+
+def _check_pieces(spark, processor, texts: list[str], **kw) -> None:
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    p = pieces.load()
+    rows = {r.doc_id: (r.ids, r.decoded) for r in pieces.encode(df, p, decoded=True, **kw).collect()}
+    for i, t in enumerate(texts):
+        assert rows[i][0] == processor.encode(t), t[:80]
+        assert rows[i][1] == t, t[:80]
+
+
+TEXTS = ["", " ", "  two  spaces ", "one\ntwo\n\nthree\t", "café naïve über", "你好世界", "\U0001f600 x", "a" * 200, "https://x.org/a?b=c&d=1", "ABCabc123", "▁x"[1:], "word " * 300]
+
+
+def test_pieces_are_those_of_the_library(spark, processor):
+    docs = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").collect()]
+    _check_pieces(spark, processor, TEXTS + docs)
+
+
+def test_pieces_by_shuffle(spark, processor):
+    """Beyond the dictionary's bound occurrences are joined by a shuffle, with the same result."""
+    _check_pieces(spark, processor, TEXTS, dictionary_words=0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.characters(codec="utf-8", exclude_categories=["Cc", "Cs"], exclude_characters="▁"), max_size=40))
+def test_long_words_are_those_of_the_library(text):
+    processor = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    assert pieces.encoded_long(" " + text, pieces.load()) == processor.encode(text) or not text
+
+
+# 9
+
+
+@given(st.lists(st.binary(max_size=60), max_size=8), st.integers(1, 17))
+def test_fingerprints_compose(texts, chunk):
+    """Chunks of any size combine to one fingerprint."""
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    offsets = np.cumsum([0, *map(len, texts)])
+    whole = []
+    for t in texts:
+        h = [0, 0]
+        for k in (0, 1):
+            for c in t:
+                h[k] = (h[k] * exact_dedup.BASES[k] + c + 1) % exact_dedup.PRIMES[k]
+        whole.append((h[0] << 31) | h[1])
+    assert exact_dedup.fingerprints(data, offsets, chunk).tolist() == whole
+
+
+def test_equal_fingerprints_of_unlike_texts_stay_apart(spark, monkeypatch):
+    def same(docs):
+        return docs.where("text IS NOT NULL").selectExpr("__rid", "doc_id", "1L AS fp", "bigint(octet_length(text)) AS bytes")
+
+    monkeypatch.setattr(exact_dedup, "fingerprinted", same)
+    rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "ccc"), (5, "bb")]
+    got = {r.doc_id: r.keeper for r in exact_dedup.exact_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 2}
+
+
+# 5
+
+
+def test_mixing_reaches_the_weights(spark):
+    rows = [(i, "a b c d", "x") for i in range(300)] + [(1000 + i, "a b", "y") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    out = mixing.mixed(docs, weights={"x": 1.0, "y": 1.0}, budget=3000).groupBy("source").count().collect()
+    tokens = {r.source: r["count"] * (4 if r.source == "x" else 2) for r in out}
+    assert abs(tokens["x"] - 1500) < 150 and abs(tokens["y"] - 1500) < 150
+
+
+# the pipeline
+
+
+def test_pipeline(spark):
+    """run() against each stage's definition in plain Python."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    assert len(rows) == docs.count()
+    kept = {r.doc_id for r in language.identified(docs).where("accepted").collect()}
+    first: dict[str, int] = {}
+    for k in sorted(kept):
+        first.setdefault(rows[k].text, k)
+    kept = sorted(first.values())
+    keeper = _near_keepers([(k, rows[k].text) for k in kept])
+    kept = [k for k in kept if keeper[k] == k]
+    left = spark.createDataFrame([rows[k] for k in kept], docs.schema)
+    left.createOrReplaceTempView("left_docs")
+    c = duckdb.connect()
+    c.register("left_docs", pa.Table.from_pylist([rows[k].asDict() for k in kept]))
+    want = Counter(r[0] for r in c.execute(f"SELECT doc_id FROM ({mixing.oracle_sql('left_docs', number=False)})").fetchall())
+    processor = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert Counter(r.doc_id for r in got) == want
+    for r in got:
+        assert r.decoded == rows[r.doc_id].text and r.ids == processor.encode(rows[r.doc_id].text)
+
+
+def test_buffer_of_slices():
+    data, offsets = buffer(strings(pa.array(["ab", None, "c"]).slice(1)))
+    assert bytes(data) == b"c" and offsets.tolist() == [0, 0, 1]

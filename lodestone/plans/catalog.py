@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import findings, flows, graphs, relations, search, structure
+from lodestone.plans import extraction, findings, flows, graphs, relations, search, structure
 from lodestone.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "findings", "flows", "graphs", "relations", "search", "structure"]
+__all__ = ["ORACLES", "QUERIES", "extraction", "findings", "flows", "graphs", "relations", "search", "structure"]

@@ -30,7 +30,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' piece ids in place of their text, and the text that these decode to."""
-    return pieces.decode(pieces.encode(docs))
+    return pieces.encode(docs, decoded=True)
 
 
 STAGES = [

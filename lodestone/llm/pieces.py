@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm._common import RID, columns, map_batches, numbered, tidy, written
+from lodestone.llm._common import RID, columns, map_batches, numbered, quoted, tidy, written
 from lodestone.llm._text import blocks, buffer, span_hash, strings
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -379,14 +379,15 @@ def dictionary(encoded: DataFrame, pieces: Pieces, files: int = 8) -> Dictionary
     return Dictionary(keys, offsets.astype(np.int64 if offsets[-1] >= 1 << 31 else np.int32), ids, np.minimum(first, max(len(keys) - 1, 0)), bits)
 
 
-def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int = DICTIONARY_WORDS, decoded: bool = False) -> DataFrame:
     """docs without text, with ids: the piece ids of the whole text; other columns stay.
 
     A null or an empty text has no ids (an empty array). Repeated rows are encoded alike. An empty table gives an empty
-    result; an input column named ids is replaced.
+    result; an input column named ids is replaced. With `decoded` the result is that of decode(), made by the same Python
+    workers, so that an executor runs one of them for each core, not two.
     """
     pieces = pieces or load()
-    docs = numbered(tidy(docs, ["ids"]))
+    docs = numbered(tidy(docs, ["ids", "decoded", "__e"] if decoded else ["ids"]))
     texts = columns(docs, **{RID: "bigint", "text": "string"})
     encoded = encoded_words(vocabulary(texts, pieces), pieces)
     alone = separators(pieces)
@@ -394,7 +395,9 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int
     if encoded.limit(dictionary_words + 1).count() <= dictionary_words:
         known = docs.sparkSession.sparkContext.broadcast(dictionary(encoded, pieces))
 
-        @F.arrow_udf("array<int>")
+        back = decoder(pieces) if decoded else None
+        empty = [pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())][: 1 + decoded]
+
         def put_together(text: pa.Array) -> pa.Array:
             d, out = known.value, []
             for _, block in blocks(strings(text)):
@@ -405,10 +408,14 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int
                 total = np.r_[0, np.cumsum(n)]
                 ids = d.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)].astype(np.int32)
                 rows = total[np.searchsorted(row, np.arange(len(block) + 1))].astype(np.int32)
-                out.append(pa.ListArray.from_arrays(pa.array(rows), pa.array(ids)))
-            return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
+                lists = pa.ListArray.from_arrays(pa.array(rows), pa.array(ids))
+                out.append([lists, back(lists)] if decoded else [lists])
+            columns_ = [pa.concat_arrays(list(c)) for c in zip(*out, strict=True)] or empty
+            return pa.StructArray.from_arrays(columns_, ["ids", "decoded"][: len(columns_)])
 
-        return docs.withColumn("ids", put_together(F.col(name).cast("string"))).drop(RID, name)
+        kind = "struct<ids:array<int>,decoded:string>" if decoded else "struct<ids:array<int>>"
+        made = docs.withColumn("__e", F.arrow_udf(put_together, kind)(F.col(name).cast("string"))).drop(RID, name)
+        return made.select(*[F.col(quoted(c)) for c in made.columns if c != "__e"], "__e.*")
 
     def occurrences(batch: pa.RecordBatch) -> pa.RecordBatch:
         rid, parts = batch.column(RID), []
@@ -420,22 +427,16 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int
 
     found = map_batches(texts, occurrences, f"{RID} bigint, at bigint, h bigint").join(_hashed(encoded), "h")
     lists = found.groupBy(RID).agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("w")).select(RID, F.flatten(F.col("w.ids")).alias("ids"))
-    return docs.drop(name).join(lists, RID, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).drop(RID)
+    out = docs.drop(name).join(lists, RID, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).drop(RID)
+    return decode(out, pieces) if decoded else out
 
 
-def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
-    """encoded with decoded, the text of the ids: pieces joined, the leading space dropped. Null ids give null.
-
-    Ids outside the model count as unknown. Byte pieces that make no valid UTF-8 become U+FFFD. An input column named
-    decoded is replaced.
-    """
-    pieces = pieces or load()
-    encoded = tidy(encoded, ["decoded"])
+def decoder(pieces: Pieces):
+    """The function from arrays of ids to an array of their texts."""
     data = np.frombuffer(b"".join(pieces.decoded), np.uint8)
     size = np.array([len(p) for p in pieces.decoded], np.int64)
     first = np.cumsum(size) - size
 
-    @F.arrow_udf("string")
     def text(ids: pa.Array) -> pa.Array:
         lists = pc.if_else(pc.is_valid(ids), ids, pa.scalar([], ids.type)) if ids.null_count else ids
         flat = np.asarray(lists.flatten().fill_null(-1)).astype(np.int64)
@@ -459,13 +460,21 @@ def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
         result = pc.if_else(pc.is_valid(ids), result, pa.scalar(None, pa.large_string())) if ids.null_count else result
         return result.cast(pa.string())
 
-    return encoded.withColumn("decoded", text("ids"))
+    return text
+
+
+def decode(encoded: DataFrame, pieces: Pieces | None = None) -> DataFrame:
+    """encoded with decoded, the text of the ids: pieces joined, the leading space dropped. Null ids give null.
+
+    Ids outside the model count as unknown. Byte pieces that make no valid UTF-8 become U+FFFD. An input column named
+    decoded is replaced.
+    """
+    encoded = tidy(encoded, ["decoded"])
+    return encoded.withColumn("decoded", F.arrow_udf(decoder(pieces or load()), "string")("ids"))
 
 
 def round_trip(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, ids, decoded) of every row of docs: encode(), then decode(). Null texts decode to empty ones."""
     pieces = load(path)
     rows = columns(docs, doc_id="bigint", text="string")
-    return decode(encode(rows, pieces), pieces).select("doc_id", "ids", "decoded")
-
-
+    return encode(rows, pieces, decoded=True).select("doc_id", "ids", "decoded")

@@ -6,6 +6,7 @@ whatever the number of its rows; nothing here loops over words or characters.
 
 from __future__ import annotations
 
+import ctypes
 from functools import lru_cache
 
 import numpy as np
@@ -13,15 +14,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Texts whose bytes go through the kernels together; a longer text makes a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: executors run a worker for each core, and allocators keep what a batch needed."""
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def strings(column: pa.Array) -> pa.LargeStringArray:
-    """The column as large strings without nulls (a null text counts as an empty one)."""
+    """The column as large strings without nulls (a null text counts as an empty one); called once a batch."""
+    give_back()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if pa.types.is_null(column.type):

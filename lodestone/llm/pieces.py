@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -21,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from lodestone.llm._common import RID, columns, map_batches, numbered, quoted, tidy, written
 from lodestone.llm._text import blocks, buffer, span_hash, strings
@@ -387,7 +389,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int
     workers, so that an executor runs one of them for each core, not two.
     """
     pieces = pieces or load()
-    docs = numbered(tidy(docs, ["ids", "decoded", "__e"] if decoded else ["ids"]))
+    docs = numbered(tidy(docs, ["ids", "decoded"] if decoded else ["ids"]))
     texts = columns(docs, **{RID: "bigint", "text": "string"})
     encoded = encoded_words(vocabulary(texts, pieces), pieces)
     alone = separators(pieces)
@@ -396,26 +398,28 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int
         known = docs.sparkSession.sparkContext.broadcast(dictionary(encoded, pieces))
 
         back = decoder(pieces) if decoded else None
-        empty = [pa.array([], pa.list_(pa.int32())), pa.array([], pa.string())][: 1 + decoded]
-
-        def put_together(text: pa.Array) -> pa.Array:
-            d, out = known.value, []
-            for _, block in blocks(strings(text)):
-                data, start, end, row = segments(block, alone)
-                at = d.find(span_hash(data, start, end))
-                begin = d.offsets[at].astype(np.int64)
-                n = d.offsets[at + 1] - begin
-                total = np.r_[0, np.cumsum(n)]
-                ids = d.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)].astype(np.int32)
-                rows = total[np.searchsorted(row, np.arange(len(block) + 1))].astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(rows), pa.array(ids))
-                out.append([lists, back(lists)] if decoded else [lists])
-            columns_ = [pa.concat_arrays(list(c)) for c in zip(*out, strict=True)] or empty
-            return pa.StructArray.from_arrays(columns_, ["ids", "decoded"][: len(columns_)])
-
-        kind = "struct<ids:array<int>,decoded:string>" if decoded else "struct<ids:array<int>>"
-        made = docs.withColumn("__e", F.arrow_udf(put_together, kind)(F.col(name).cast("string"))).drop(RID, name)
-        return made.select(*[F.col(quoted(c)) for c in made.columns if c != "__e"], "__e.*")
+        rest = [c for c in docs.columns if c not in (RID, name)]
+
+        def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            # A block's rows go out at once, so a worker holds the results of half a megabyte of text, not of a batch.
+            d = known.value
+            for batch in batches:
+                for first, block in blocks(strings(batch.column(len(rest)))):
+                    data, start, end, row = segments(block, alone)
+                    at = d.find(span_hash(data, start, end))
+                    begin = d.offsets[at].astype(np.int64)
+                    n = d.offsets[at + 1] - begin
+                    total = np.r_[0, np.cumsum(n)]
+                    ids = d.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)].astype(np.int32)
+                    rows = total[np.searchsorted(row, np.arange(len(block) + 1))].astype(np.int32)
+                    made = [pa.ListArray.from_arrays(pa.array(rows), pa.array(ids))]
+                    made += [back(made[0])] if decoded else []
+                    kept = [batch.column(i).slice(first, len(block)) for i in range(len(rest))]
+                    yield pa.RecordBatch.from_arrays([*kept, *made], [*rest, "ids", "decoded"][: len(rest) + len(made)])
+
+        schema = StructType([docs.schema[c] for c in rest]).add("ids", ArrayType(IntegerType()))
+        rows = docs.select(*[F.col(quoted(c)) for c in rest], F.col(quoted(name)).cast("string"))
+        return rows.mapInArrow(put_together, schema.add("decoded", "string") if decoded else schema)
 
     def occurrences(batch: pa.RecordBatch) -> pa.RecordBatch:
         rid, parts = batch.column(RID), []

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from lodestone.llm._common import RID, columns, map_batches, numbered, quoted, tidy, written
-from lodestone.llm._text import blocks, buffer, span_hash, strings
+from lodestone.llm._text import blocks, buffer, give_back, span_hash, strings
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Distinct words whose ids are broadcast at most (about 400 MB at 12 million); beyond it occurrences are joined by shuffle.
@@ -352,7 +352,7 @@ class Dictionary:
         return at
 
 
-def dictionary(encoded: DataFrame, pieces: Pieces, files: int = 8) -> Dictionary:
+def dictionary(encoded: DataFrame, pieces: Pieces, files: int = 2) -> Dictionary:
     """The encoded words' ids on the driver, fetched a few files at a time and kept in as few bytes as will do."""
     small = np.uint16 if len(pieces.decoded) <= 1 << 16 else np.int32
     keys, sizes, flat = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, small)]
@@ -364,6 +364,8 @@ def dictionary(encoded: DataFrame, pieces: Pieces, files: int = 8) -> Dictionary
             keys.append(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64).copy())
             sizes.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32))
             flat.append(lists.flatten().to_numpy(zero_copy_only=False).astype(small))
+            del batch, lists
+        give_back()
     keys, n, flat = np.concatenate(keys), np.concatenate(sizes), np.concatenate(flat)
     start = np.cumsum(n, dtype=np.int64) - n
     order = np.argsort(keys)
@@ -377,7 +379,11 @@ def dictionary(encoded: DataFrame, pieces: Pieces, files: int = 8) -> Dictionary
         lo, hi = offsets[at], offsets[min(at + (1 << 18), len(n))]
         ids[lo:hi] = flat[np.arange(hi - lo) - np.repeat(offsets[k][: len(n[k])] - lo, n[k]) + np.repeat(start[k], n[k])]
     bits = max(1, len(keys).bit_length())
-    first = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).astype(np.int32)
+    del flat, order, start
+    first = np.empty(1 << bits, np.int32)
+    for at in range(0, 1 << bits, 1 << 18):
+        first[at : at + (1 << 18)] = np.searchsorted(keys, np.arange(at, min(at + (1 << 18), 1 << bits), dtype=np.uint64) << np.uint64(64 - bits))
+    give_back()
     return Dictionary(keys, offsets.astype(np.int64 if offsets[-1] >= 1 << 31 else np.int32), ids, np.minimum(first, max(len(keys) - 1, 0)), bits)
 
 

@@ -1,8 +1,7 @@
 """Near-duplicate detection: SimHash fingerprints searched with vantage-point trees.
 
 A document's fingerprint has 128 bits, each the sign of a sum over its distinct words. Two fingerprints within RADIUS of
-each other are within (RADIUS / 8 =) 1 on at least one of their eight 16-bit blocks, so for each block a vantage-point
-tree over Hamming distance cuts the fingerprints into shards. A fingerprint lives in the leaf that its block falls into and
+each other are within (RADIUS / 7 =) 2 on at least one of seven 18-bit blocks, so for each block a vantage-point tree over Hamming distance cuts the fingerprints into shards. A fingerprint lives in the leaf that its block falls into and
 is sent, too, to the leaves that its ball overlaps, which triangle bounds on the distances to the vantage points tell. Each
 shard then yields its exact pairs. Pairs are joined to groups, of which one document is kept.
 """
@@ -20,13 +19,15 @@ from pyspark.sql import functions as F
 from lodestone.llm._common import RID, columns, map_batches, numbered, small, tidy, without_rows, written
 from lodestone.llm._text import bit_counts, blocks, distinct_hashes, mix, span_hash, strings, words
 
-#: Hamming distance, of 128 bits, up to which documents are near-duplicates: (BLOCK_RADIUS + 1) * 8 - 1 at most.
-RADIUS = 15
-BLOCKS, BLOCK_RADIUS = 8, 1
-#: Fingerprints that a leaf holds on average at most, and fingerprints that vantage points are chosen from.
-LEAF, SAMPLE = 40_000, 2_000
+#: Hamming distance, of 128 bits, up to which documents are near-duplicates: (BLOCK_RADIUS + 1) * BLOCKS - 1 at most.
+RADIUS = 19
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 7, 18, 2
+VALUES = 1 << BLOCK_BITS
+#: Fingerprints that a leaf holds on average at most, and fingerprints that vantage points are chosen from. A leaf's search
+#: is indexed by block value, so a large leaf costs no more comparisons, and fewer leaves mean fewer guests.
+LEAF, SAMPLE = 250_000, 2_000
 #: Candidate pairs of a shard that are compared at once.
-STEP = 2_000_000
+STEP = 1_000_000
 
 
 def simhash(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +55,14 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def block_values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """n x 8 block values."""
-    return np.stack([(h >> np.uint64(16 * k)).astype(np.uint16) for h in (a, b) for k in range(4)], axis=1)
+    """n x 7 block values; the fingerprint's last two bits are in none."""
+    parts = [a, a >> np.uint64(18), a >> np.uint64(36), (a >> np.uint64(54)) | (b << np.uint64(10)), b >> np.uint64(8), b >> np.uint64(26), b >> np.uint64(44)]
+    return np.stack([(p & np.uint64(VALUES - 1)).astype(np.uint32) for p in parts], axis=1)
 
 
 @dataclass(frozen=True)
 class Tree:
-    """A vantage-point tree over 16-bit values: home[v] is v's leaf, guests[v] the leaves above it that v's ball overlaps."""
+    """A vantage-point tree over block values: home[v] is v's leaf, guests[v] the leaves above it that v's ball overlaps."""
 
     home: np.ndarray
     guest_first: np.ndarray
@@ -70,9 +72,9 @@ class Tree:
 def grown(sample: np.ndarray, depth: int, radius: int = BLOCK_RADIUS, seed: int = 0) -> Tree:
     """Each node's vantage point, of a few drawn from its part of the sample, spreads that part's distances the most."""
     rng = np.random.default_rng(seed)
-    values = np.arange(1 << 16, dtype=np.uint16)
-    home = np.zeros(1 << 16, np.int32)
-    reach = [(np.arange(1 << 16), np.ones(1 << 16, bool), sample)]  # per node: values whose ball meets it, which live there
+    values = np.arange(VALUES, dtype=np.uint32)
+    home = np.zeros(VALUES, np.int32)
+    reach = [(np.arange(VALUES), np.ones(VALUES, bool), sample)]  # per node: values whose ball meets it, which live there
     for _ in range(depth):
         below = []
         for who, lives, part in reach:
@@ -94,11 +96,12 @@ def grown(sample: np.ndarray, depth: int, radius: int = BLOCK_RADIUS, seed: int
     value = np.concatenate([w for w, _ in guest]) if guest else np.zeros(0, int)
     leaves = np.concatenate([np.full(len(w), leaf, np.int32) for w, leaf in guest]) if guest else np.zeros(0, np.int32)
     order = np.argsort(value, kind="stable")
-    first = np.searchsorted(value[order], np.arange((1 << 16) + 1))
+    first = np.searchsorted(value[order], np.arange(VALUES + 1))
     return Tree(home, first, leaves[order])
 
 
-_BALL = np.array([0] + [1 << i for i in range(16)], np.uint16)
+_BITS = [1 << i for i in range(BLOCK_BITS)]
+_BALL = np.array([0, *_BITS, *(x | y for i, x in enumerate(_BITS) for y in _BITS[:i])], np.uint32)
 
 
 def shard_pairs(block: int, a: np.ndarray, b: np.ndarray, lives: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -110,9 +113,9 @@ def shard_pairs(block: int, a: np.ndarray, b: np.ndarray, lives: np.ndarray, rad
     order = np.argsort(mine[:, block], kind="stable")
     a, b, lives, mine = a[order], b[order], lives[order], mine[order]
     value = mine[:, block]
+    begin = np.searchsorted(value, np.arange(VALUES + 1, dtype=np.uint32))
     for e in _BALL:
-        left = np.searchsorted(value, value ^ e, "left")
-        right = np.searchsorted(value, value ^ e, "right")
+        left, right = begin[value ^ e], begin[(value ^ e) + np.uint32(1)]
         left = np.maximum(left, np.arange(len(a)) + 1)  # each pair from its first member
         n = np.maximum(right - left, 0)
         total = np.cumsum(n)

@@ -134,15 +134,6 @@ def distinct_rows(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.nd
     return row[new], value[new]
 
 
-def distinct_hashes(row: np.ndarray, value: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """distinct_rows for hashes: sorts one packed integer, which keeps 64 - bit_length(rows) bits of each hash."""
-    bits = np.uint64(max(1, int(rows).bit_length()))
-    packed = np.sort((row.astype(np.uint64) << (np.uint64(64) - bits)) | (value >> bits))
-    if len(packed):
-        packed = packed[np.r_[True, packed[1:] != packed[:-1]]]
-    return (packed >> (np.uint64(64) - bits)).astype(np.int64), packed << bits
-
-
 _LANES = np.array([[(b >> (7 - i)) & 1 for i in range(8)] for b in range(256)], np.uint8).view(np.uint64).ravel()
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import RID, columns, map_batches, numbered, small, tidy, without_rows, written
-from lodestone.llm._text import bit_counts, blocks, distinct_hashes, mix, span_hash, strings, words
+from lodestone.llm._text import bit_counts, blocks, distinct_rows, mix, span_hash, strings, words
 
 #: Hamming distance, of 128 bits, up to which documents are near-duplicates: (BLOCK_RADIUS + 1) * BLOCKS - 1 at most.
 RADIUS = 19
@@ -35,7 +35,7 @@ def simhash(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     out, has = np.zeros((len(column), 2), np.uint64), np.zeros(len(column), bool)
     for at, block in blocks(column):
         data, start, end, row = words(block)
-        row, h = distinct_hashes(row, span_hash(data, start, end), len(block))
+        row, h = distinct_rows(row, span_hash(data, start, end))
         for half in (0, 1):
             count, ones = bit_counts(row, mix(h + np.uint64(half + 1)), len(block))
             out[at : at + len(block), half] = np.packbits(2 * ones > count[:, None], axis=1).view(np.uint64).ravel()

@@ -103,6 +103,16 @@ def test_near_pairs(spark, leaf):
     assert len(got) == len(set(got)) and set(got) == {frozenset((int(p), int(q)) for p, q in s) for s in want}
 
 
+@pytest.mark.parametrize("others", [10, 100, 300, 1_000])
+def test_fingerprints_do_not_depend_on_the_block(others):
+    """A text alone and amid any number of rows of its block has one fingerprint."""
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200))
+    alone, _ = near_dedup.simhash(strings(pa.array([text])))
+    amid, _ = near_dedup.simhash(strings(pa.array(["a few words"] * others + [text])))
+    assert amid[-1].tolist() == alone[0].tolist()
+
+
 def _near_keepers(rows: list[tuple[int, str]]) -> dict[int, int]:
     """Groups by all pairs' distances."""
     fp, has = near_dedup.simhash(strings(pa.array([t for _, t in rows])))

@@ -4,6 +4,10 @@ The kernel of two texts is the number of byte n-grams, of 1 to ORDERS bytes, tha
 product of their numbers of n-grams (blended spectrum, presence only). Nystroem landmarks span its feature space, and a
 ridge regression for each language against the rest is fitted there. n-grams live in BUCKETS hashed buckets, so texts and
 landmarks are 0/1 rows; scores are their matrix product with landmarks x weights, multiplied once when fitting.
+
+Scores only compare the languages with each other, so what is none of them is told by another measure, which their number
+doesn't move: the share of a text's n-grams that the best language's fitted rows hold. What share a language's own texts
+have is found by leaving each fitted row out in turn.
 """
 
 from __future__ import annotations
@@ -25,8 +29,11 @@ BUCKETS = 1 << 15
 FIT_ROWS = 300
 LANDMARKS = 48
 RIDGE = 1e-3
-#: A text whose best score is below this is rejected: it looks like none of the languages.
+#: A text whose best score is below this is rejected. The best of k scores is never below (2 - k) / k.
 MIN_SCORE = -0.4
+#: A text is rejected, too, if its share of n-grams unknown to its language is over SLACK times what all but TAIL of that
+#: language's fitted rows stay within.
+TAIL, SLACK = 0.01, 2.0
 _SHIFT = np.uint32(32 - 15)
 
 
@@ -59,15 +66,37 @@ class Model:
     languages: tuple[str, ...]
     weights: np.ndarray  # buckets x languages
     bias: np.ndarray
+    known: np.ndarray  # languages x buckets: n-grams of the language's fitted rows
+    min_known: np.ndarray  # the least share of known n-grams, of each language
 
-    def scores(self, column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        """(scores of each language, distinct n-grams) of each text; batched sums of the weights of present n-grams."""
+    def judged(self, column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores of each language, distinct n-grams, whether the best language knows enough of them) of each text."""
         out, sizes = np.zeros((len(column), len(self.languages))), np.zeros(len(column), np.int64)
+        familiar = np.zeros(len(column), bool)
         for i, p in enumerate(presence(column)):
             sizes[i] = len(p)
             if len(p):
                 out[i] = self.weights[p].sum(axis=0) / np.sqrt(len(p))
-        return out + self.bias, sizes
+                best = (out[i] + self.bias).argmax()
+                familiar[i] = self.known[best][p].mean() >= self.min_known[best]
+        return out + self.bias, sizes, familiar
+
+    def scores(self, column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores of each language, distinct n-grams) of each text; batched sums of the weights of present n-grams."""
+        return self.judged(column)[:2]
+
+
+def _familiarity(rows: np.ndarray, texts: list[str], labels: list[str], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(known n-grams, least known share) of each language, by its distinct rows; a row's share is what the others know of it."""
+    known, least = np.zeros((len(names), rows.shape[1]), bool), np.zeros(len(names))
+    first = {(label, text): i for i, (label, text) in reversed(list(enumerate(zip(labels, texts, strict=True))))}
+    for k, name in enumerate(names):
+        own = rows[sorted(i for (label, _), i in first.items() if label == name)] > 0
+        times = own.sum(axis=0)
+        known[k] = times > 0
+        share = (own & (times > 1)).sum(axis=1) / np.maximum(1, own.sum(axis=1))
+        least[k] = 1 - SLACK * (1 - np.quantile(share, TAIL))
+    return known, least
 
 
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -86,7 +115,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     mean, target = features.mean(axis=0), y.mean(axis=0)
     centred = features - mean
     w = np.linalg.solve(centred.T @ centred + ridge * len(texts) * np.eye(centred.shape[1]), centred.T @ (y - target))
-    return Model(tuple(names), (marks.T @ (root @ w)).astype(np.float32), target - mean @ w)
+    return Model(tuple(names), (marks.T @ (root @ w)).astype(np.float32), target - mean @ w, *_familiarity(rows, texts, labels, names))
 
 
 def fitted(docs: DataFrame, rows_each: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Model | None:
@@ -108,12 +137,13 @@ def _classifier(model: Model | None, min_score: float):
         column = strings(text)
         if model is None:
             best, score, sizes, names = np.zeros(len(column), int), np.full(len(column), -1.0), np.zeros(len(column)), ("",)
+            familiar = np.zeros(len(column), bool)
         else:
-            scores, sizes = model.scores(column)
+            scores, sizes, familiar = model.judged(column)
             best, names = scores.argmax(axis=1), model.languages
             score = scores[np.arange(len(column)), best]
         letters = np.array(pc.match_substring_regex(column, r"\p{L}").to_pylist(), bool)
-        ok = (score >= min_score) & (sizes > 0) & letters
+        ok = (score >= min_score) & (sizes > 0) & familiar & letters
         language = pa.array([names[b] if k else None for b, k in zip(best, ok, strict=True)], pa.string())
         return pa.StructArray.from_arrays([language, pa.array(score.astype(np.float64)), pa.array(ok)], ["language", "score", "accepted"])
 
@@ -124,8 +154,9 @@ def identified(docs: DataFrame, model: Model | None = None, min_score: float = M
     """Every row of docs as (doc_id, language, score, accepted), by the whole text.
 
     Rejected, with a null language: null and empty texts, texts without a letter, texts that score below min_score for
-    every language, and every text if no row is labelled. With one labelled language all others get that one. Ties go to
-    the name that sorts first. An empty table gives an empty result; extra columns are ignored.
+    every language, texts too few of whose n-grams their best language's fitted rows hold, and every text if no row is
+    labelled. The fewer distinct rows a language has, the looser that bound; with one row it rejects nothing. Ties go to the
+    name that sorts first. An empty table gives an empty result; extra columns are ignored.
     """
     model = model or fitted(docs)
     rows = columns(docs, doc_id="bigint", text="string")

@@ -168,6 +168,35 @@ def test_language_held_out(spark):
     assert np.mean(right) > 0.9
 
 
+UNSEEN = [
+    "Rzeka płynie wzdłuż starego młyna i obok miasta, a ludzie idą na targ wcześnie rano",
+    "Joki virtaa vanhan myllyn ohi ja kaupungin läpi kohti merta",
+    "De rivier loopt langs de oude molen en voorbij de stad",
+    "Река течёт вдоль старой мельницы мимо города",
+    "河流沿着旧磨坊流过城镇",
+    "النهر يجري بجانب المطحنة القديمة",
+    "川は古い水車小屋に沿って町を流れています",
+    "qzxv wkjq pfgh zxcv bnmq wrtp lkjh gfds qwxz",
+    "a3f9c2e1b7d804 9fe3a1c2b4d6 77aa01bc fe23d9",
+]
+
+
+@pytest.mark.parametrize("names", [("de", "en"), ("es", "fr"), ("de", "en", "fr"), ("de", "en", "es", "fr")])
+def test_unseen_languages_and_junk_are_rejected(names, spark):
+    """However many languages the model has; nearly all held-out texts of its own languages stay."""
+    rows = [r for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text", "lang").collect() if r.text and r.lang in names]
+    random.Random(2).shuffle(rows)
+    fitted, held, of = [], [], Counter()
+    for r in rows:
+        of[r.lang] += 1
+        (fitted if of[r.lang] <= language.FIT_ROWS else held).append(r)
+    model = language.fit([r.text for r in fitted], [r.lang for r in fitted])
+    probes = spark.createDataFrame(list(enumerate(UNSEEN + [r.text for r in held[:1500]])), "doc_id bigint, text string")
+    got = {r.doc_id: r.accepted for r in language.identified(probes, model).collect()}
+    assert not any(got[i] for i in range(len(UNSEEN)))
+    assert sum(got[len(UNSEEN) + i] for i in range(1500)) > 0.99 * 1500
+
+
 def test_language_scores_are_kernel_products():
     """The folded weights give the same scores as Nystrom features of the kernel computed pair by pair."""
     texts, labels = ["the old mill", "la vieja casa", "the town river", "una casa roja"], ["en", "es", "en", "es"]

@@ -69,11 +69,12 @@ def _phone(s: str) -> float:
 
 
 _LEFT, _RIGHT = r"(?<![\w.+-])", r"(?![\w-])"
-#: kind, a needle that any match contains (None: a digit), pattern, base score, validator's change of score (-1 rejects), context words
+_SECRET = r"password|passwd|pwd|token|secret|api[_-]?key"
+#: kind, what any match contains (None: a digit), pattern, base score, validator's change of score (-1 rejects), context words
 KINDS = [
     ("email", "@", re.compile(r"(?<![\w.+%-])[A-Za-z0-9_][\w.+%-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.){1,8}[A-Za-z]{2,24}(?![\w-])"), 0.9, None, ("mail", "contact", "write")),
     ("aws_key", "A", re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"), 0.9, None, ("key", "aws", "secret")),
-    ("secret", None, re.compile(r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|token|secret|api[_-]?key)[ \t]{0,3}[:=][ \t]{0,3}\"?[A-Za-z0-9_/+=-]{12,}\"?"), 0.8, None, ("login", "auth", "key")),
+    ("secret", re.compile(rf"(?i){_SECRET}"), re.compile(rf"(?i)(?<![A-Za-z0-9])(?:{_SECRET})[ \t]{{0,3}}[:=][ \t]{{0,3}}\"?[A-Za-z0-9_/+=-]{{12,}}\"?"), 0.8, None, ("login", "auth", "key")),
     ("iban", None, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])"), 0.4, _iban, ("iban", "account", "bank", "konto")),
     ("card", None, re.compile(r"(?<![\w.-])[2-6][0-9]{3}(?:[0-9]{9,15}|(?:[ -][0-9]{4}){2}[ -][0-9]{1,7}|[ -][0-9]{6}[ -][0-9]{4,5})(?![\w-])"), 0.4, _card, ("card", "visa", "credit", "pay", "karte")),
     ("ipv4", None, re.compile(r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?[\w])"), 0.5, _ip, ("ip", "host", "server", "address", "log")),
@@ -87,7 +88,7 @@ def spans(text: str, min_score: float = MIN_SCORE) -> list[tuple[str, int, int,
     """(kind, start, end, score) of the text's spans, in order; of overlapping ones the best, then the first, stays."""
     found, digit = [], re.search("[0-9]", text) is not None
     for rank, (kind, needle, pattern, base, validate, context) in enumerate(KINDS):
-        if not (digit if needle is None else needle in text):
+        if not (digit if needle is None else needle in text if isinstance(needle, str) else needle.search(text)):
             continue
         for m in pattern.finditer(text):
             score = base
@@ -132,7 +133,7 @@ def personal_data(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
             {"doc_id": ids, "kind": pa.array(kind, pa.string()), "start": pa.array(start, pa.int32()), "end": pa.array(end, pa.int32()), "score": pa.array(score, pa.float64())}
         )
 
-    texts = columns(docs, doc_id="bigint", text="string").where(F.col("text").rlike("[0-9@]|A[KS]IA"))
+    texts = columns(docs, doc_id="bigint", text="string").where(F.col("text").rlike(f"[0-9@]|A[KS]IA|(?iu:{_SECRET})"))
     return map_batches(texts, run, SCHEMA)
 
 

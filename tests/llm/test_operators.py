@@ -259,6 +259,16 @@ def test_pii(text, kinds):
     assert [s[0] for s in pii.spans(text)] == kinds
 
 
+SECRETS = ["password: correcthorsebattery", "the API_KEY = abcdefghijklmn", "Token:abcdefghijklmn", "api-key=abcdefghijklmn", "pa\u017fsword: correcthorsebattery", "to\u212aen: correcthorsebattery"]
+
+
+def test_secrets_without_a_digit(spark):
+    """Found alone as well as beside a digit; the row filter leaves none out."""
+    assert all([k[0] for k in pii.spans(t)] == ["secret"] for t in SECRETS)
+    docs = spark.createDataFrame(list(enumerate([*SECRETS, "a password is needed"])), "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.kind) for r in pii.personal_data(docs).collect()) == [(i, "secret") for i in range(len(SECRETS))]
+
+
 def test_pii_table(spark):
     """The query is the function over every row."""
     want = Counter()

@@ -3,7 +3,8 @@
 Templates of S/2 to S shingles are looked for in windows of 2 S shingles that start every S shingles, so any place where a
 template stands lies whole in some window, and the window's Jaccard similarity with it is 1/4 at least. With BANDS bands
 of one hash each a window then meets the template with probability 1 - (3/4) ** BANDS, over 0.9999; a match with
-containment c is met with probability 1 - (1 - c / (4 - c)) ** BANDS or more, 0.999 at 0.8.
+containment c is met with probability 1 - (1 - c / (4 - c)) ** BANDS or more, 0.999 at 0.8. Templates of one shingle need
+no bands: they are where their shingle is.
 """
 
 from __future__ import annotations
@@ -50,7 +51,7 @@ def _band(h: np.ndarray, k: int) -> np.ndarray:
 class Index:
     names: tuple[str, ...]
     shingles: tuple[np.ndarray, ...]  # sorted, distinct
-    size: np.ndarray  # the class S of each template
+    single: tuple[np.ndarray, np.ndarray]  # the sorted shingles of templates that have one, templates
     bands: dict[int, list[tuple[np.ndarray, np.ndarray]]]  # by S and band: sorted minima, templates
 
 
@@ -62,20 +63,29 @@ def index(templates: list[tuple[str, str]]) -> Index:
             raise ValueError(f"a template needs at least {SHINGLE} words: {name}")
         names.append(name)
         sets.append(h)
-    size = np.array([max(4, 1 << int(len(h) - 1).bit_length()) for h in sets])
+    one = np.array([t for t, h in enumerate(sets) if len(h) == 1], np.int64)
+    lone = np.array([sets[t][0] for t in one], np.uint64)
+    order = np.argsort(lone, kind="stable")
+    single = lone[order], one[order]
+    size = np.array([max(4, 1 << int(len(h) - 1).bit_length()) if len(h) > 1 else 0 for h in sets], np.int64)
     bands = {}
-    for s in sorted(set(size.tolist())):
+    for s in sorted(set(size[size > 0].tolist())):
         of = np.flatnonzero(size == s)
         bands[s] = []
         for k in range(BANDS):
             low = np.array([_band(sets[t], k).min() for t in of])
             order = np.argsort(low, kind="stable")
             bands[s].append((low[order], of[order]))
-    return Index(tuple(names), tuple(sets), size, bands)
+    return Index(tuple(names), tuple(sets), single, bands)
 
 
 def _candidates(ix: Index, first: np.ndarray, n: np.ndarray, h: np.ndarray):
-    """(template, first shingle, end) of the windows that meet a template's minimum in some band."""
+    """(template, first shingle, end) of the windows that meet a template's minimum in some band, and of lone shingles."""
+    lone, of = ix.single
+    left, right = np.searchsorted(lone, h, "left"), np.searchsorted(lone, h, "right")
+    for w in np.flatnonzero(left < right):
+        for t in of[left[w] : right[w]]:
+            yield int(t), int(w), int(w) + 1
     hashed = [_band(h, k) for k in range(BANDS)]
     for s, tables in ix.bands.items():
         steps = -(-n // s)

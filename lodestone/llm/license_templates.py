@@ -28,5 +28,6 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-long", "licensed under a Creative Commons Attribution 4.0 International License"),
     ("CC-BY-NC-long", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
     ("CC-BY-SA-long", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("all-rights-reserved", "All rights reserved. No part of this publication may be reproduced"),
+    ("all-rights-reserved", "All rights reserved"),
+    ("all-rights-reserved-notice", "All rights reserved. No part of this publication may be reproduced"),
 ]

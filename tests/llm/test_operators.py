@@ -77,6 +77,25 @@ def test_license_scan(spark):
     assert missed == 0
 
 
+LICENSE_LINES = {
+    "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0",
+    "All rights reserved.": "all-rights-reserved",
+    "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+    "Released under the MIT License.": "MIT",
+    "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+}
+
+
+def test_license_lines_of_the_documents(spark):
+    """Each line that the documents hold gives its row, and a notice in full one of its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    want = {(r.doc_id, LICENSE_LINES[line]) for r in docs.collect() for line in (r.text or "").split("\n") if line in LICENSE_LINES}
+    got = {(r.doc_id, r.license) for r in license_scan.scanned(docs).collect()}
+    assert {name for _, name in want} == set(LICENSE_LINES.values()) and want <= got
+    full = spark.createDataFrame([(1, "All rights reserved. No part of this publication may be reproduced."), (2, "all rights were reserved")], "doc_id bigint, text string")
+    assert sorted((r.doc_id, r.license, r.word) for r in license_scan.scanned(full).collect()) == [(1, "all-rights-reserved", 0), (1, "all-rights-reserved-notice", 0)]
+
+
 # 2
 
 

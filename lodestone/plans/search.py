@@ -97,14 +97,11 @@ def tx_route(f: Facts) -> DataFrame:
     return f["conversations"].select("conv_id", "turn", text.route(F.col("text")).alias("r")).select("conv_id", "turn", "r.route")
 
 
-QUESTIONS = ['repo:web what calls UserService.find in "src/a.ts"', "repos:a,b explain camelCase and PascalCase and a.b.c", "why is OrderHandler in OrderHandler risky", "plain words"]
-
-
 @query("tx_entities")
 def tx_entities(f: Facts) -> DataFrame:
-    q = f.spark.createDataFrame([(i, t) for i, t in enumerate(QUESTIONS)], "id int, q string")
-    s = q.select("id", text.scope(F.col("q")).alias("s")).select("id", F.array_join("s.repos", ",").alias("repos"), F.col("s.question").alias("question"))
-    return s.select("id", "repos", F.array_join(text.entities(F.col("question")), ",").alias("entities"))
+    s = f["conversations"].select("conv_id", "turn", text.scope(F.col("text")).alias("s"))
+    s = s.select("conv_id", "turn", F.array_join("s.repos", ",").alias("repos"), F.col("s.question").alias("question"))
+    return s.select("conv_id", "turn", "repos", F.array_join(text.entities(F.col("question")), ",").alias("entities"))
 
 
 @query("tx_classify_q", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(error|fail|fault|exception)') THEN 'errors' WHEN regexp_matches(lower(text), '\\b(endpoint|api|operation|method)') THEN 'api' ELSE 'services' END AS kind FROM conversations")

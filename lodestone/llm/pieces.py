@@ -1,12 +1,16 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Texts fall into words that no piece crosses: a run of spaces with what follows it, or one character that stands in no
-longer piece. Each distinct word is encoded once: its substrings of bounded length are exploded, joined to the piece table
-by equality, grouped by word as the lattice's edges, and folded by the higher-order function aggregate. For a unigram model
-the fold is Viterbi's: the best path to each position, extended by the edges that end there. A BPE model's scores are merge
-ranks, and the path of the greatest sum isn't what the model means: there the fold takes, again and again, the best-ranked
-leftmost edge that spans exactly two neighbouring pieces. Characters without a piece become byte pieces. Documents are then
-put together from their words' ids.
+Texts fall into words that no piece crosses: two characters are parted where no piece holds two such characters side by
+side. A word's substrings of bounded length are exploded, joined to the piece table by equality, grouped by word as the
+lattice's edges, and folded by the higher-order function aggregate. For a unigram model the fold is Viterbi's: the best path
+to each position, extended by the edges that end there. A BPE model's scores are merge ranks, and the path of the greatest
+sum isn't what the model means: there the fold takes, again and again, the best-ranked leftmost edge that spans exactly two
+neighbouring pieces. Characters without a piece become byte pieces.
+
+Documents never move. Each task sends its documents as word codes and, once, every word that it meets for the first time;
+these words' edges come out of explode and join side by side, so they are grouped where they are, without a shuffle, folded,
+and the same task's last step puts the documents together from the ids. The most frequent words of the whole table,
+HOT_WORDS at most, are encoded beforehand by the same lattice and broadcast; what isn't among them is folded once a task.
 """
 
 from __future__ import annotations
@@ -22,15 +26,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from lodestone.llm._common import RID, columns, map_batches, numbered, quoted, tidy, written
+from lodestone.llm._common import columns, quoted, tidy, written
 from lodestone.llm._text import blocks, buffer, give_back, span_hash, strings
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Distinct words whose ids are broadcast at most (about 400 MB at 12 million); beyond it occurrences are joined by shuffle.
-DICTIONARY_WORDS = 12_000_000
-#: The fold's state is a 64-bit mask; longer words, which are rare, are encoded by a heap in Python.
+#: Frequent words whose ids are broadcast at most: 24 bytes of table for each and 2 or 4 bytes for each id.
+HOT_WORDS = 1 << 20
+#: Words that a task remembers at most before it starts anew, which costs repeated work only.
+TASK_WORDS = 1 << 20
+#: The fold's state is a 64-bit mask. A word of more characters, which no place parts, is folded by a heap in Python.
 LONGEST = 61
 SPACE = "▁"
 
@@ -110,22 +116,25 @@ def parse(model: bytes) -> Pieces:
     )
 
 
-def separators(pieces: Pieces) -> np.ndarray:
-    """By byte: ASCII characters other than the space that no piece of several characters contains."""
-    inside = set().union(*(p for p in pieces.ids if len(p) > 1)) if pieces.ids else set()
-    return np.array([b < 128 and b != 32 and chr(b) not in inside for b in range(256)])
+def joined(pieces: Pieces) -> np.ndarray:
+    """256 x 256: whether a piece has a character that ends with the first byte before one that begins with the second."""
+    out = np.zeros((256, 256), bool)
+    for p in pieces.ids:
+        p = p.replace(SPACE, " ")
+        for x, y in zip(p, p[1:], strict=False):
+            out[x.encode()[-1], y.encode()[0]] = True
+    return out
 
 
-def segments(column: pa.LargeStringArray, alone: np.ndarray):
+def segments(column: pa.LargeStringArray, joins: np.ndarray):
     """(data, start, end, row): the words of the texts, each text with a space before it; an empty text has none."""
     empty = pc.equal(pc.binary_length(column), 0)
     column = pc.if_else(empty, pa.scalar("", pa.large_string()), pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())))
     data, offsets = buffer(column)
     if not len(data):
         return data, offsets[:0], offsets[:0], offsets[:0]
-    space, single = data == 32, alone[data]
-    first = single.copy()
-    first[1:] |= single[:-1] | (space[1:] & ~space[:-1])
+    first = np.empty(len(data), bool)
+    first[1:] = ~joins.ravel()[(data[:-1].astype(np.int32) << 8) | data[1:]] & ((data[1:] & 0xC0) != 0x80)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
     start = np.flatnonzero(first)
     return data, start, np.r_[start[1:], len(data)], np.searchsorted(offsets, start, "right") - 1
@@ -140,24 +149,110 @@ def sliced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStri
     return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data[at]))
 
 
-def vocabulary(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """The distinct words of docs."""
-    alone = separators(pieces)
+class Places:
+    """A table from words' keys, a 64-bit hash and a 32-bit check, to numbers: open addressing over numpy arrays."""
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen, parts = np.zeros(0, np.uint64), []
-        for _, block in blocks(strings(batch.column("text"))):
-            data, start, end, _ = segments(block, alone)
-            h, at = np.unique(span_hash(data, start, end), return_index=True)
-            place = np.searchsorted(seen, h)
-            fresh = np.ones(len(h), bool)
-            inside = place < len(seen)
-            fresh[inside] = seen[place[inside]] != h[inside]
-            parts.append(sliced(data, start[at[fresh]], end[at[fresh]]))
-            seen = np.sort(np.concatenate([seen, h[fresh]]))
-        return pa.RecordBatch.from_arrays([pa.concat_arrays(parts).cast(pa.string())] if parts else [pa.array([], pa.string())], ["word"])
+    def __init__(self, room: int):
+        self.bits = max(4, int(2 * max(room, 1)).bit_length())
+        n = 1 << self.bits
+        self.key, self.check, self.value = np.zeros(n, np.uint64), np.zeros(n, np.uint32), np.full(n, -1, np.int32)
 
-    return map_batches(docs.select("text"), run, "word string").distinct()
+    def find(self, h: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.value[slot]
+        open_ = np.flatnonzero((out >= 0) & ((self.key[slot] != h) | (self.check[slot] != check)))
+        slot = slot[open_]
+        while len(open_):
+            slot = (slot + 1) & ((1 << self.bits) - 1)
+            got = self.value[slot]
+            out[open_] = got
+            more = (got >= 0) & ((self.key[slot] != h[open_]) | (self.check[slot] != check[open_]))
+            open_, slot = open_[more], slot[more]
+        return out
+
+    def add(self, h: np.ndarray, check: np.ndarray, value: np.ndarray) -> None:
+        """Enters distinct keys that aren't there, with distinct values."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(h):
+            free = self.value[slot] < 0
+            self.value[slot[free]] = value[free]  # of several in one place one stays
+            won = self.value[slot] == value
+            self.key[slot[won]], self.check[slot[won]] = h[won], check[won]
+            h, check, value, slot = h[~won], check[~won], value[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+
+class Words:
+    """The distinct words of a task, numbered from 0."""
+
+    def __init__(self, room: int):
+        self.room, self.n, self.places = room, 0, Places(room)
+
+    def full(self, more: int) -> bool:
+        return self.n + more > self.room
+
+    def numbers(self, h: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the number of each key, where the words that are new stand, by number)."""
+        number = self.places.find(h, check)
+        new = np.flatnonzero(number < 0)
+        order = new[np.lexsort((check[new], h[new]))]
+        first = np.ones(len(order), bool)
+        first[1:] = (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]])
+        number[order] = self.n + np.cumsum(first) - 1
+        at = order[first]
+        self.places.add(h[at], check[at], number[at])
+        self.n += len(at)
+        return number, at
+
+
+_OTHER = np.random.default_rng(20240608).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, independent 32-bit check) of each data[start:end]."""
+    return span_hash(data, start, end), (span_hash(data, start, end, _OTHER) >> np.uint64(32)).astype(np.uint32)
+
+
+def counted(texts: DataFrame, pieces: Pieces, room: int = TASK_WORDS) -> DataFrame:
+    """(word, n): how often each word occurs, without what occurs once in what a task remembers."""
+    joins = joined(pieces)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, parts, count = Words(room), [], np.zeros(0, np.int64)
+
+        def out() -> pa.RecordBatch:
+            n = pa.array(count)
+            often = pc.greater(n, 1)
+            return pa.RecordBatch.from_arrays([pa.concat_arrays(parts).cast(pa.string()).filter(often), n.filter(often)], ["word", "n"])
+
+        for batch in batches:
+            for _, block in blocks(strings(batch.column(0))):
+                data, start, end, _ = segments(block, joins)
+                if not len(start):
+                    continue
+                if seen.n and seen.full(len(start)):
+                    yield out()
+                    seen, parts, count = Words(max(room, len(start))), [], np.zeros(0, np.int64)
+                elif seen.full(len(start)):
+                    seen = Words(len(start))
+                number, at = seen.numbers(*keys(data, start, end))
+                parts.append(sliced(data, start[at], end[at]))
+                count = np.r_[count, np.zeros(seen.n - len(count), np.int64)] + np.bincount(number, minlength=seen.n)
+        if parts:
+            yield out()
+
+    return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def hot_words(texts: DataFrame, pieces: Pieces, most: int = HOT_WORDS) -> DataFrame:
+    """(word) of the most frequent words of texts, `most` at most, by levels of an eighth of an octave."""
+    counts = written(counted(texts, pieces).where(F.length("word") <= LONGEST).withColumn("level", F.floor(F.log2("n") * 8).cast("int")))
+    taken, least = 0, 1 << 30
+    for level, n in sorted(map(tuple, counts.groupBy("level").count().collect()), reverse=True):  # some hundred levels
+        if taken + n > most:
+            break
+        taken, least = taken + n, level
+    return counts.where(F.col("level") >= least).select("word").repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 #: An edge is one integer: rank, start, end, whether its merge is risky, id; from the highest bits down.
@@ -180,22 +275,56 @@ def risky(pieces: Pieces) -> set[str]:
     return out
 
 
-def lattice(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, edges): the piece matches in each word as sorted integers; words have LONGEST characters at most."""
+def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """rows with edges: the piece matches in each row's word as sorted integers; none where the word is null or too long.
+
+    Nothing is shuffled: the rows of a word's spans stay side by side through explode and the join with the broadcast table,
+    and the first of them, which alone carries the row's other columns, tells where the next word begins.
+    """
     if max(pieces.decoded and len(pieces.decoded), len(pieces.ranks)) >= _NO_ID:
         raise ValueError("too many pieces")
     at_risk = set() if pieces.unigram else risky(pieces)
     rank = lambda p: pieces.ranks[p] if pieces.unigram or len(p) > 1 else _LAST_RANK
-    rows = [(p, rank(p) << _RANK | (p in at_risk) << _RISKY | i) for p, i in pieces.ids.items()]
-    table = F.broadcast(words.sparkSession.createDataFrame(rows, "piece string, code bigint"))  # fixed by the model
-    spans = words.select("word", F.translate("word", " ", SPACE).alias("text"), F.length("word").alias("n")).sortWithinPartitions("word")
-    spans = spans.select("word", "text", "n", F.explode(F.expr("sequence(0, n - 1)")).alias("start"))
-    spans = spans.select("word", "text", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, n - start))")).alias("size"))
-    spans = spans.select("word", "start", "size", F.expr("substr(text, start + 1, size)").alias("piece"))
+    codes = [(p, rank(p) << _RANK | (p in at_risk) << _RISKY | i) for p, i in pieces.ids.items()]
+    table = F.broadcast(rows.sparkSession.createDataFrame(codes, "piece string, code bigint"))  # fixed by the model
+    names = rows.columns
+    spans = rows.withColumn("text", F.when(F.length("word") <= LONGEST, F.translate("word", " ", SPACE)))
+    spans = spans.withColumn("length", F.coalesce(F.length("text"), F.lit(1)))
+    spans = spans.select(*names, "text", "length", F.explode(F.expr("sequence(0, length - 1)")).alias("start"))
+    spans = spans.select(*names, "text", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length - start))")).alias("size"))
+    first = F.expr("start = 0 AND size = 1")
+    carried = [c if c != "word" else F.when(first, F.col("word")).alias("word") for c in names]
+    spans = spans.select(*carried, first.alias("first"), "start", "size", F.col("text").isNotNull().alias("real"), F.expr("substr(text, start + 1, size)").alias("piece"))
     spans = spans.join(table, "piece", "left").where("code IS NOT NULL OR size = 1")
     lost = _LAST_RANK << _RANK | _NO_ID
     edge = F.expr(f"coalesce(code, {lost}L) | (cast(start AS BIGINT) << {_START}) | (cast(start + size AS BIGINT) << {_END})")
-    return spans.select("word", edge.alias("edge")).groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    spans = spans.select(*names, "first", F.when(F.col("real"), edge).alias("edge"))
+
+    def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
+        first = batch.column("first").to_numpy(zero_copy_only=False)
+        edge = batch.column("edge")
+        owner = (np.cumsum(first) - 1)[edge.is_valid().to_numpy(zero_copy_only=False)]
+        edge = edge.drop_null().to_numpy()
+        order = np.lexsort((edge, owner))
+        n = np.bincount(owner, minlength=int(first.sum()))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(edge[order]))
+        kept = batch.filter(batch.column("first"))
+        return pa.RecordBatch.from_arrays([*[kept.column(c) for c in names], lists], [*names, "edges"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last word, which may go on in the next batch
+        for batch in batches:
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            last = len(batch) - 1 - int(np.argmax(batch.column("first").to_numpy(zero_copy_only=False)[::-1])) if len(batch) else 0
+            if last:
+                yield whole(batch.slice(0, last))
+            held = batch.slice(last)
+        if held is not None and len(held):
+            yield whole(held)
+
+    kinds = StructType([StructField(f.name, f.dataType) for f in rows.schema]).add("edges", ArrayType(LongType()))
+    return spans.mapInArrow(gathered, kinds)
 
 
 def merged(edges: str, n: str) -> Column:
@@ -297,148 +426,141 @@ def encoded_long(word: str, pieces: Pieces) -> list[int]:
     return [i for a, b in zip(cuts, cuts[1:], strict=False) for i in _chars(word[a:b], pieces)]
 
 
-def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids), written: each distinct word's ids."""
-    spark = words.sparkSession
-    edges = lattice(words.where(F.length("word") <= LONGEST), pieces)
+def folded(rows: DataFrame, pieces: Pieces) -> DataFrame:
+    """rows with ids: those of each row's word; null where there is none or it is longer than LONGEST."""
+    names, edges = rows.columns, lattice(rows, pieces)
     if pieces.unigram:
-        path = edges.select("word", viterbi_path("edges", "length(word)", pieces).alias("path"))
+        path = edges.select(*names, F.when(F.size("edges") > 0, viterbi_path("edges", "length(word)", pieces)).alias("path"))
     else:
-        path = edges.select("word", "edges", merged("edges", "length(word)").alias("mask")).select("word", merged_path("edges", "mask").alias("path"))
-    short = path.select("word", _ids("path", f"translate(word, ' ', '{SPACE}')", pieces).alias("ids"))
-
-    @F.arrow_udf("array<int>")
-    def slow(word: pa.Array) -> pa.Array:
-        return pa.array([encoded_long(w, pieces) for w in word.to_pylist()], pa.list_(pa.int32()))
-
-    long = words.where(F.length("word") > LONGEST).select("word", slow("word").alias("ids"))
-    # The lattice comes sorted by word; a hash aggregate of lists would sort it again.
-    name, before = "spark.sql.execution.useObjectHashAggregateExec", None
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
-    try:
-        return written(short.unionByName(long))
-    finally:
-        spark.conf.set(name, before)
-
-
-def _hashed(encoded: DataFrame) -> DataFrame:
-    """(h, ids) of the encoded words."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = buffer(strings(batch.column("word")))
-        return pa.RecordBatch.from_arrays([pa.array(span_hash(data, offsets[:-1], offsets[1:]).view(np.int64)), batch.column("ids")], ["h", "ids"])
-
-    return map_batches(encoded, run, "h bigint, ids array<int>")
-
-
-@dataclass(frozen=True)
-class Dictionary:
-    """Sorted hashes, their ids in one array, and where each of 2**bits ranges of hashes begins."""
-
-    keys: np.ndarray
-    offsets: np.ndarray
-    ids: np.ndarray
-    first: np.ndarray
-    bits: int
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """The place of each hash; all of them are there."""
-        at = self.first[(h >> np.uint64(64 - self.bits)).astype(np.int64)].astype(np.int64)
-        open_ = np.flatnonzero(self.keys[at] != h)
-        while len(open_):
-            at[open_] += 1
-            open_ = open_[self.keys[at[open_]] != h[open_]]
-        return at
-
-
-def dictionary(encoded: DataFrame, pieces: Pieces, files: int = 2) -> Dictionary:
-    """The encoded words' ids on the driver, fetched a few files at a time and kept in as few bytes as will do."""
-    small = np.uint16 if len(pieces.decoded) <= 1 << 16 else np.int32
-    keys, sizes, flat = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, small)]
-    names = sorted(encoded.inputFiles())
-    for i in range(0, len(names), files):
-        part = encoded.sparkSession.read.schema(encoded.schema).parquet(*names[i : i + files])
-        for batch in _hashed(part).toArrow().to_batches():
-            lists = batch.column("ids")
-            keys.append(batch.column("h").to_numpy(zero_copy_only=False).view(np.uint64).copy())
-            sizes.append(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32))
-            flat.append(lists.flatten().to_numpy(zero_copy_only=False).astype(small))
-            del batch, lists
-        give_back()
-    keys, n, flat = np.concatenate(keys), np.concatenate(sizes), np.concatenate(flat)
-    start = np.cumsum(n, dtype=np.int64) - n
-    order = np.argsort(keys)
-    keys, n, start = keys[order], n[order], start[order]
-    if len(keys) > 1 and (keys[1:] == keys[:-1]).any():
-        raise ValueError("two words have the same 64-bit hash")
-    offsets = np.r_[0, np.cumsum(n, dtype=np.int64)]
-    ids = np.empty(len(flat), small)
-    for at in range(0, len(n), 1 << 18):
-        k = slice(at, at + (1 << 18))
-        lo, hi = offsets[at], offsets[min(at + (1 << 18), len(n))]
-        ids[lo:hi] = flat[np.arange(hi - lo) - np.repeat(offsets[k][: len(n[k])] - lo, n[k]) + np.repeat(start[k], n[k])]
-    bits = max(1, len(keys).bit_length())
-    del flat, order, start
-    first = np.empty(1 << bits, np.int32)
-    for at in range(0, 1 << bits, 1 << 18):
-        first[at : at + (1 << 18)] = np.searchsorted(keys, np.arange(at, min(at + (1 << 18), 1 << bits), dtype=np.uint64) << np.uint64(64 - bits))
-    give_back()
-    return Dictionary(keys, offsets.astype(np.int64 if offsets[-1] >= 1 << 31 else np.int32), ids, np.minimum(first, max(len(keys) - 1, 0)), bits)
-
-
-def encode(docs: DataFrame, pieces: Pieces | None = None, dictionary_words: int = DICTIONARY_WORDS, decoded: bool = False) -> DataFrame:
+        mask = F.when(F.size("edges") > 0, merged("edges", "length(word)")).alias("mask")
+        path = edges.select(*names, "edges", mask).select(*names, F.when(F.col("mask").isNotNull(), merged_path("edges", "mask")).alias("path"))
+    return path.select(*names, F.when(F.col("path").isNotNull(), _ids("path", f"translate(word, ' ', '{SPACE}')", pieces)).alias("ids"))
+
+
+class Store:
+    """Lists of ids by number, in one array: those of the hot words, then those of the task's own."""
+
+    def __init__(self, sizes: np.ndarray, ids: np.ndarray):
+        self.hot, self.n, self.used, self.base = len(sizes), len(sizes), len(ids), 0
+        self.start, self.size, self.ids = np.cumsum(sizes, dtype=np.int64) - sizes, sizes.astype(np.int64), ids
+        self.hot_ids = len(ids)
+
+    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        def room(a: np.ndarray, used: int, more: int) -> np.ndarray:
+            return a if used + more <= len(a) else np.concatenate([a[:used], np.empty(max(used // 2, more, 1 << 12), a.dtype)])
+
+        self.start, self.size, self.ids = room(self.start, self.n, len(sizes)), room(self.size, self.n, len(sizes)), room(self.ids, self.used, len(ids))
+        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.n, self.used = self.n + len(sizes), self.used + len(ids)
+
+    def forget(self, base: int) -> None:
+        """Drops the task's words numbered below base."""
+        gone = base - self.base
+        cut = int(self.start[self.hot + gone]) if self.hot + gone < self.n else self.used
+        left = slice(self.hot + gone, self.n)
+        sizes, ids = self.size[left].copy(), self.ids[cut : self.used].copy()
+        self.n, self.used, self.base = self.hot, self.hot_ids, base
+        self.add(sizes, ids)
+
+    def lists(self, codes: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, how many each code has); code -1 - i is the task's word base + i."""
+        at = np.where(codes >= 0, codes, self.hot + base - self.base - 1 - codes)
+        n = self.size[at]
+        total = np.cumsum(n)
+        return self.ids[np.arange(total[-1] if len(n) else 0) + np.repeat(self.start[at] - (total - n), n)], n
+
+
+def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS, room: int = TASK_WORDS, decoded: bool = False) -> DataFrame:
     """docs without text, with ids: the piece ids of the whole text; other columns stay.
 
-    A null or an empty text has no ids (an empty array). Repeated rows are encoded alike. An empty table gives an empty
-    result; an input column named ids is replaced. With `decoded` the result is that of decode(), made by the same Python
-    workers, so that an executor runs one of them for each core, not two.
+    A null or an empty text has no ids (an empty array). A text of any length is encoded whole, half a megabyte of short
+    ones at a time. Repeated rows are encoded alike. An empty table gives an empty result; without a column text every row
+    counts as a null one; an input column named ids is replaced. With `decoded` the result is that of decode(), made by the
+    same Python workers. Words are told apart by 96 bits of hash among the hot ones and the task's own: that two of 2 million
+    unlike words meet has a probability below 1e-16 a task.
     """
     pieces = pieces or load()
-    docs = numbered(tidy(docs, ["ids", "decoded"] if decoded else ["ids"]))
-    texts = columns(docs, **{RID: "bigint", "text": "string"})
-    encoded = encoded_words(vocabulary(texts, pieces), pieces)
-    alone = separators(pieces)
-    name = next(c for c in docs.columns if c.lower() == "text")
-    if encoded.limit(dictionary_words + 1).count() <= dictionary_words:
-        known = docs.sparkSession.sparkContext.broadcast(dictionary(encoded, pieces))
-
-        back = decoder(pieces) if decoded else None
-        rest = [c for c in docs.columns if c not in (RID, name)]
-
-        def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            # A block's rows go out at once, so a worker holds the results of half a megabyte of text, not of a batch.
-            d = known.value
-            for batch in batches:
-                for first, block in blocks(strings(batch.column(len(rest)))):
-                    data, start, end, row = segments(block, alone)
-                    at = d.find(span_hash(data, start, end))
-                    begin = d.offsets[at].astype(np.int64)
-                    n = d.offsets[at + 1] - begin
-                    total = np.r_[0, np.cumsum(n)]
-                    ids = d.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], n)].astype(np.int32)
-                    rows = total[np.searchsorted(row, np.arange(len(block) + 1))].astype(np.int32)
-                    made = [pa.ListArray.from_arrays(pa.array(rows), pa.array(ids))]
+    docs = tidy(docs, ["ids", "decoded"] if decoded else ["ids"])
+    name = next((c for c in docs.columns if c.lower() == "text"), None)
+    text = F.col(quoted(name)).cast("string") if name else F.lit(None).cast("string")
+    rest = [f for f in docs.schema if f.name != name]
+    joins, context = joined(pieces), docs.sparkSession.sparkContext
+    small = np.uint16 if len(pieces.decoded) <= 1 << 16 else np.int32
+
+    frequent = written(folded(hot_words(docs.select(text.alias("text")), pieces, hot), pieces)).toArrow()  # HOT_WORDS rows at most
+    data, offsets = buffer(strings(frequent.column("word")))
+    lists = frequent.column("ids").combine_chunks()
+    places = Places(len(lists))
+    places.add(*keys(data, offsets[:-1], offsets[1:]), np.arange(len(lists), dtype=np.int32))
+    known = context.broadcast(places)
+    sizes, ids = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
+    kept = context.broadcast((sizes.astype(np.int32), ids.astype(small)))
+    del frequent, data, offsets, lists, sizes, ids
+    give_back()
+
+    own = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(rest)])
+    own = own.add("base", LongType()).add("codes", BinaryType()).add("word", StringType()).add("ready", ArrayType(IntegerType()))
+    names = own.names
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For each block its new words, then its rows: four bytes for each word, the hot word's number or -1 - its own's."""
+        table, own, base = known.value, Words(room), 0
+        for batch in batches:
+            for first, block in blocks(strings(batch.column(len(rest)))):
+                data, start, end, row = segments(block, joins)
+                h, check = keys(data, start, end)
+                code = table.find(h, check)
+                cold = np.flatnonzero(code < 0)
+                if own.full(len(cold)):
+                    base += own.n
+                    own = Words(max(room, len(cold)))
+                number, at = own.numbers(h[cold], check[cold])
+                code[cold] = -1 - number
+                columns = [batch.column(i).slice(first, len(block)) for i in range(len(rest))]
+                if len(at):
+                    word = sliced(data, start[cold[at]], end[cold[at]]).cast(pa.string())
+                    long = pc.greater(pc.utf8_length(word), LONGEST)
+                    ready = pa.array([encoded_long(w, pieces) if big else None for w, big in zip(word.to_pylist(), long.to_pylist(), strict=True)] if pc.any(long).as_py() else [None] * len(word), pa.list_(pa.int32()))
+                    nothing = [pa.nulls(len(word), c.type) for c in columns]
+                    yield pa.RecordBatch.from_arrays([*nothing, pa.nulls(len(word), pa.int64()), pa.nulls(len(word), pa.binary()), word, ready], names)
+                bounds = (np.searchsorted(row, np.arange(len(block) + 1)) * 4).astype(np.int32)
+                codes = pa.BinaryArray.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(bounds), pa.py_buffer(code)])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(block), base)), codes, pa.nulls(len(block), pa.string()), pa.nulls(len(block), pa.list_(pa.int32()))], names)
+
+    back = decoder(pieces) if decoded else None
+    labels = [*[f.name for f in rest], "ids", *(["decoded"] if decoded else [])]
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(*kept.value)
+        for batch in batches:
+            is_doc = batch.column("base").is_valid().to_numpy(zero_copy_only=False)
+            edges = np.r_[0, np.flatnonzero(np.diff(is_doc)) + 1, len(batch)]
+            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                part = batch.slice(lo, hi - lo)
+                if not len(part):
+                    continue
+                if not is_doc[lo]:
+                    lists = part.column("ids")
+                    store.add(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(small))
+                    continue
+                for first, block in blocks(part.column("codes").cast(pa.large_binary())):
+                    raw, offsets = buffer(block)
+                    bases = part.column("base").slice(first, len(block)).to_numpy(zero_copy_only=False)
+                    if bases[0] > store.base:
+                        store.forget(int(bases[0]))
+                    n = np.diff(offsets) // 4
+                    ids, each = store.lists(raw.view(np.int32), np.repeat(bases, n))
+                    rows = np.r_[0, np.cumsum(each)][offsets // 4].astype(np.int32)
+                    made = [pa.ListArray.from_arrays(pa.array(rows), pa.array(ids.astype(np.int32)))]
                     made += [back(made[0])] if decoded else []
-                    kept = [batch.column(i).slice(first, len(block)) for i in range(len(rest))]
-                    yield pa.RecordBatch.from_arrays([*kept, *made], [*rest, "ids", "decoded"][: len(rest) + len(made)])
-
-        schema = StructType([docs.schema[c] for c in rest]).add("ids", ArrayType(IntegerType()))
-        rows = docs.select(*[F.col(quoted(c)) for c in rest], F.col(quoted(name)).cast("string"))
-        return rows.mapInArrow(put_together, schema.add("decoded", "string") if decoded else schema)
-
-    def occurrences(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rid, parts = batch.column(RID), []
-        for first, block in blocks(strings(batch.column("text"))):
-            data, start, end, row = segments(block, alone)
-            parts.append((rid.take(pa.array(row + first)), pa.array(start), pa.array(span_hash(data, start, end).view(np.int64))))
-        cols = [pa.concat_arrays(list(c)) for c in zip(*parts, strict=True)] if parts else [pa.array([], pa.int64())] * 3
-        return pa.RecordBatch.from_arrays(cols, [RID, "at", "h"])
-
-    found = map_batches(texts, occurrences, f"{RID} bigint, at bigint, h bigint").join(_hashed(encoded), "h")
-    lists = found.groupBy(RID).agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("w")).select(RID, F.flatten(F.col("w.ids")).alias("ids"))
-    out = docs.drop(name).join(lists, RID, "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<int>"))).drop(RID)
-    return decode(out, pieces) if decoded else out
+                    yield pa.RecordBatch.from_arrays([*[part.column(i).slice(first, len(block)) for i in range(len(rest))], *made], labels)
+
+    rows = docs.select(*[F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(rest)], text.alias("text")).mapInArrow(cut, own)
+    done = folded(rows, pieces).select(*names[: len(rest)], "base", "codes", F.coalesce("ready", "ids").alias("ids"))
+    schema = StructType([StructField(f.name, f.dataType) for f in rest]).add("ids", ArrayType(IntegerType()))
+    return done.mapInArrow(put_together, schema.add("decoded", StringType()) if decoded else schema)
 
 
 def decoder(pieces: Pieces):

@@ -313,7 +313,7 @@ def _check_pieces(spark, processor, texts: list[str], **kw) -> None:
         assert rows[i][1] == t, t[:80]
 
 
-TEXTS = ["", " ", "  two  spaces ", "one\ntwo\n\nthree\t", "café naïve über", "你好世界", "\U0001f600 x", "a" * 200, "https://x.org/a?b=c&d=1", "ABCabc123", "▁x"[1:], "word " * 300]
+TEXTS = ["", " ", "  two  spaces ", "one\ntwo\n\nthree\t", "café naïve über", "你好世界", "\U0001f600 x", "a" * 200, "https://x.org/a?b=c&d=1", "ABCabc123", "▁x"[1:], "word " * 300, "x" + "ab" * 4000, "的一是不" * 60]
 
 
 def test_pieces_are_those_of_the_library(spark, processor):
@@ -321,9 +321,48 @@ def test_pieces_are_those_of_the_library(spark, processor):
     _check_pieces(spark, processor, TEXTS + docs)
 
 
-def test_pieces_by_shuffle(spark, processor):
-    """Beyond the dictionary's bound occurrences are joined by a shuffle, with the same result."""
-    _check_pieces(spark, processor, TEXTS, dictionary_words=0)
+@pytest.mark.parametrize(("hot", "room"), [(0, 1), (0, 40), (5, 7), (1000, 1 << 20)])
+def test_pieces_whatever_words_are_hot(spark, processor, hot, room):
+    """No, few or many frequent words, and tasks that forget their own again and again, give the same ids."""
+    docs = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").limit(40).collect()]
+    _check_pieces(spark, processor, (TEXTS + docs) * 2, hot=hot, room=room)
+
+
+def _varints(n: int) -> bytes:
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + _varints(n >> 7)
+
+
+def _message(*fields: tuple[int, int, bytes | int]) -> bytes:
+    """A protocol buffer of (number, wire type, value)."""
+    out = b""
+    for number, kind, value in fields:
+        out += _varints(number << 3 | kind) + (_varints(value) if kind == 0 else _varints(len(value)) + value if kind == 2 else value)
+    return out
+
+
+def _unigram_model(seed: int) -> bytes:
+    """A model file written by hand, nothing trained: random pieces over a few letters with random scores, byte pieces."""
+    rng = random.Random(seed)
+    made = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+    pieces_ = {"▁"} | set("abcdefé世界") | {"".join(rng.choice("▁abcdefé世" if k == 0 else "abcdefé世") for k in range(rng.randint(2, 5))) for _ in range(120)}
+    made += [(p, -rng.uniform(1, 12), 1) for p in sorted(pieces_)]
+    body = [(1, 2, _message((1, 2, p.encode()), (2, 5, np.float32(s).tobytes()), (3, 0, kind))) for p, s, kind in made]
+    trainer = _message((3, 0, 1), (35, 0, 1))  # unigram, byte fallback
+    return _message(*body, (2, 2, trainer), (3, 2, _message((1, 2, b"identity"), (3, 0, 1), (4, 0, 0), (5, 0, 1))))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_unigram_paths_are_those_of_the_library(spark, seed):
+    """Viterbi over the lattice, and by the long words' way, against the library on a model of random pieces."""
+    model = _unigram_model(seed)
+    p, library, rng = pieces.parse(model), sentencepiece.SentencePieceProcessor(model_proto=model), random.Random(seed)
+    assert p.unigram
+    texts = ["".join(rng.choice("aabbcdefé世界 xü") for _ in range(rng.randint(0, 60))) for _ in range(150)] + ["a" * 150, "abcé" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in pieces.encode(df, p, decoded=True, hot=50).collect():
+        assert r.ids == library.encode(texts[r.doc_id]), texts[r.doc_id]
+        assert r.decoded == texts[r.doc_id]
+        assert not r.ids or pieces.encoded_long(" " + texts[r.doc_id], p) == r.ids
 
 
 @settings(max_examples=60, deadline=None)

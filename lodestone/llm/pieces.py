@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lodestone.llm._common import columns, quoted, tidy, written
 from lodestone.llm._text import blocks, buffer, give_back, span_hash, strings
@@ -276,10 +276,11 @@ def risky(pieces: Pieces) -> set[str]:
 
 
 def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """rows with edges: the piece matches in each row's word as sorted integers; none where the word is null or too long.
+    """(base, body, word) rows with edges: the piece matches in each row's word as sorted integers; none without a word.
 
     Nothing is shuffled: the rows of a word's spans stay side by side through explode and the join with the broadcast table,
-    and the first of them, which alone carries the row's other columns, tells where the next word begins.
+    and the first of them, which alone has the word, tells where the next word begins. Words have LONGEST characters at most.
+    A row without a word, which has a body, passes through.
     """
     if max(pieces.decoded and len(pieces.decoded), len(pieces.ranks)) >= _NO_ID:
         raise ValueError("too many pieces")
@@ -287,44 +288,43 @@ def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
     rank = lambda p: pieces.ranks[p] if pieces.unigram or len(p) > 1 else _LAST_RANK
     codes = [(p, rank(p) << _RANK | (p in at_risk) << _RISKY | i) for p, i in pieces.ids.items()]
     table = F.broadcast(rows.sparkSession.createDataFrame(codes, "piece string, code bigint"))  # fixed by the model
-    names = rows.columns
-    spans = rows.withColumn("text", F.when(F.length("word") <= LONGEST, F.translate("word", " ", SPACE)))
-    spans = spans.withColumn("length", F.coalesce(F.length("text"), F.lit(1)))
-    spans = spans.select(*names, "text", "length", F.explode(F.expr("sequence(0, length - 1)")).alias("start"))
-    spans = spans.select(*names, "text", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length - start))")).alias("size"))
-    first = F.expr("start = 0 AND size = 1")
-    carried = [c if c != "word" else F.when(first, F.col("word")).alias("word") for c in names]
-    spans = spans.select(*carried, first.alias("first"), "start", "size", F.col("text").isNotNull().alias("real"), F.expr("substr(text, start + 1, size)").alias("piece"))
+    spans = rows.select("base", "body", "word", F.translate("word", " ", SPACE).alias("text"), F.coalesce(F.length("word"), F.lit(1)).alias("length"))
+    spans = spans.select("base", "body", "word", "text", "length", F.explode(F.expr("sequence(0, length - 1)")).alias("start"))
+    spans = spans.select("base", "body", "word", "text", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length - start))")).alias("size"))
+    word = F.expr("CASE WHEN start = 0 AND size = 1 THEN word END").alias("word")
+    spans = spans.select("base", "body", word, F.col("text").isNotNull().alias("real"), "start", "size", F.expr("substr(text, start + 1, size)").alias("piece"))
     spans = spans.join(table, "piece", "left").where("code IS NOT NULL OR size = 1")
     lost = _LAST_RANK << _RANK | _NO_ID
     edge = F.expr(f"coalesce(code, {lost}L) | (cast(start AS BIGINT) << {_START}) | (cast(start + size AS BIGINT) << {_END})")
-    spans = spans.select(*names, "first", F.when(F.col("real"), edge).alias("edge"))
+    spans = spans.select("base", "body", "word", F.when(F.col("real"), edge).alias("edge"))
+
+    def firsts(batch: pa.RecordBatch) -> pa.Array:
+        return pc.or_(batch.column("word").is_valid(), batch.column("body").is_valid())
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        first = batch.column("first").to_numpy(zero_copy_only=False)
-        edge = batch.column("edge")
-        owner = (np.cumsum(first) - 1)[edge.is_valid().to_numpy(zero_copy_only=False)]
+        first, edge = firsts(batch), batch.column("edge")
+        at = np.cumsum(first.to_numpy(zero_copy_only=False))
+        owner = (at - 1)[edge.is_valid().to_numpy(zero_copy_only=False)]
         edge = edge.drop_null().to_numpy()
-        order = np.lexsort((edge, owner))
-        n = np.bincount(owner, minlength=int(first.sum()))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(edge[order]))
-        kept = batch.filter(batch.column("first"))
-        return pa.RecordBatch.from_arrays([*[kept.column(c) for c in names], lists], [*names, "edges"])
+        n = np.bincount(owner, minlength=int(at[-1]))
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(edge[np.lexsort((edge, owner))]))
+        return pa.RecordBatch.from_arrays([*(batch.column(c).filter(first) for c in ("base", "body", "word")), lists], ["base", "body", "word", "edges"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last word, which may go on in the next batch
         for batch in batches:
-            if held is not None:
+            if held is not None and len(held):
                 batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            last = len(batch) - 1 - int(np.argmax(batch.column("first").to_numpy(zero_copy_only=False)[::-1])) if len(batch) else 0
+            if not len(batch):
+                continue
+            last = len(batch) - 1 - int(np.argmax(firsts(batch).to_numpy(zero_copy_only=False)[::-1]))
             if last:
                 yield whole(batch.slice(0, last))
-            held = batch.slice(last)
+            held = pa.Table.from_batches([batch.slice(last)]).take(pa.array(range(len(batch) - last))).combine_chunks().to_batches()[0]
         if held is not None and len(held):
             yield whole(held)
 
-    kinds = StructType([StructField(f.name, f.dataType) for f in rows.schema]).add("edges", ArrayType(LongType()))
-    return spans.mapInArrow(gathered, kinds)
+    return spans.mapInArrow(gathered, "base bigint, body binary, word string, edges array<bigint>")
 
 
 def merged(edges: str, n: str) -> Column:
@@ -427,14 +427,15 @@ def encoded_long(word: str, pieces: Pieces) -> list[int]:
 
 
 def folded(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """rows with ids: those of each row's word; null where there is none or it is longer than LONGEST."""
-    names, edges = rows.columns, lattice(rows, pieces)
+    """(base, body, word) rows with ids: those of each row's word, null where there is none."""
+    edges = lattice(rows, pieces)
+    own, some = ("base", "body", "word"), F.col("word").isNotNull()
     if pieces.unigram:
-        path = edges.select(*names, F.when(F.size("edges") > 0, viterbi_path("edges", "length(word)", pieces)).alias("path"))
+        path = edges.select(*own, F.when(some, viterbi_path("edges", "length(word)", pieces)).alias("path"))
     else:
-        mask = F.when(F.size("edges") > 0, merged("edges", "length(word)")).alias("mask")
-        path = edges.select(*names, "edges", mask).select(*names, F.when(F.col("mask").isNotNull(), merged_path("edges", "mask")).alias("path"))
-    return path.select(*names, F.when(F.col("path").isNotNull(), _ids("path", f"translate(word, ' ', '{SPACE}')", pieces)).alias("ids"))
+        path = edges.select(*own, "edges", F.when(some, merged("edges", "length(word)")).alias("mask"))
+        path = path.select(*own, F.when(some, merged_path("edges", "mask")).alias("path"))
+    return path.select(*own, F.when(some, _ids("path", f"translate(word, ' ', '{SPACE}')", pieces)).alias("ids"))
 
 
 class Store:
@@ -464,7 +465,7 @@ class Store:
         self.n, self.used, self.base = self.hot, self.hot_ids, base
         self.add(sizes, ids)
 
-    def lists(self, codes: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def lists(self, codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids in a row, how many each code has); code -1 - i is the task's word base + i."""
         at = np.where(codes >= 0, codes, self.hot + base - self.base - 1 - codes)
         n = self.size[at]
@@ -489,7 +490,8 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS,
     joins, context = joined(pieces), docs.sparkSession.sparkContext
     small = np.uint16 if len(pieces.decoded) <= 1 << 16 else np.int32
 
-    frequent = written(folded(hot_words(docs.select(text.alias("text")), pieces, hot), pieces)).toArrow()  # HOT_WORDS rows at most
+    frequent = hot_words(docs.select(text.alias("text")), pieces, hot).select(F.lit(None).cast("bigint").alias("base"), F.lit(None).cast("binary").alias("body"), "word")
+    frequent = written(folded(frequent, pieces).select("word", "ids")).toArrow()  # HOT_WORDS rows at most
     data, offsets = buffer(strings(frequent.column("word")))
     lists = frequent.column("ids").combine_chunks()
     places = Places(len(lists))
@@ -500,12 +502,20 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS,
     del frequent, data, offsets, lists, sizes, ids
     give_back()
 
-    own = StructType([StructField(f"c{i}", f.dataType) for i, f in enumerate(rest)])
-    own = own.add("base", LongType()).add("codes", BinaryType()).add("word", StringType()).add("ready", ArrayType(IntegerType()))
-    names = own.names
+    names = ["base", "body", "word"]
+
+    def packed(batch: pa.RecordBatch) -> pa.Array:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema) as out:
+            out.write_batch(batch)
+        return pa.array([sink.getvalue().to_pybytes()], pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block its new words, then its rows: four bytes for each word, the hot word's number or -1 - its own's."""
+        """For each block its new words, then one row that holds the block's rows and, of each, its words' codes.
+
+        A code is the hot word's number, or -1 - the number of the task's own word, from base. A word that is too long for
+        the lattice has its ids for a body.
+        """
         table, own, base = known.value, Words(room), 0
         for batch in batches:
             for first, block in blocks(strings(batch.column(len(rest)))):
@@ -518,16 +528,17 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS,
                     own = Words(max(room, len(cold)))
                 number, at = own.numbers(h[cold], check[cold])
                 code[cold] = -1 - number
-                columns = [batch.column(i).slice(first, len(block)) for i in range(len(rest))]
                 if len(at):
                     word = sliced(data, start[cold[at]], end[cold[at]]).cast(pa.string())
                     long = pc.greater(pc.utf8_length(word), LONGEST)
-                    ready = pa.array([encoded_long(w, pieces) if big else None for w, big in zip(word.to_pylist(), long.to_pylist(), strict=True)] if pc.any(long).as_py() else [None] * len(word), pa.list_(pa.int32()))
-                    nothing = [pa.nulls(len(word), c.type) for c in columns]
-                    yield pa.RecordBatch.from_arrays([*nothing, pa.nulls(len(word), pa.int64()), pa.nulls(len(word), pa.binary()), word, ready], names)
-                bounds = (np.searchsorted(row, np.arange(len(block) + 1)) * 4).astype(np.int32)
-                codes = pa.BinaryArray.from_buffers(pa.binary(), len(block), [None, pa.py_buffer(bounds), pa.py_buffer(code)])
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(np.full(len(block), base)), codes, pa.nulls(len(block), pa.string()), pa.nulls(len(block), pa.list_(pa.int32()))], names)
+                    body = pa.nulls(len(word), pa.binary())
+                    if pc.any(long).as_py():
+                        body = pa.array([np.array(encoded_long(w, pieces), np.int32).tobytes() if big else None for w, big in zip(word.to_pylist(), long.to_pylist(), strict=True)], pa.binary())
+                        word = pc.if_else(long, pa.scalar(None, pa.string()), word)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(len(word), pa.int64()), body, word], names)
+                codes = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(block) + 1)).astype(np.int32)), pa.array(code))
+                rows = pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(block)) for i in range(len(rest))), codes], [str(i) for i in range(len(rest) + 1)])
+                yield pa.RecordBatch.from_arrays([pa.array([base], pa.int64()), packed(rows), pa.nulls(1, pa.string())], names)
 
     back = decoder(pieces) if decoded else None
     labels = [*[f.name for f in rest], "ids", *(["decoded"] if decoded else [])]
@@ -535,32 +546,33 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS,
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = Store(*kept.value)
         for batch in batches:
-            is_doc = batch.column("base").is_valid().to_numpy(zero_copy_only=False)
-            edges = np.r_[0, np.flatnonzero(np.diff(is_doc)) + 1, len(batch)]
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                part = batch.slice(lo, hi - lo)
-                if not len(part):
-                    continue
-                if not is_doc[lo]:
-                    lists = part.column("ids")
-                    store.add(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False).astype(small))
-                    continue
-                for first, block in blocks(part.column("codes").cast(pa.large_binary())):
-                    raw, offsets = buffer(block)
-                    bases = part.column("base").slice(first, len(block)).to_numpy(zero_copy_only=False)
-                    if bases[0] > store.base:
-                        store.forget(int(bases[0]))
-                    n = np.diff(offsets) // 4
-                    ids, each = store.lists(raw.view(np.int32), np.repeat(bases, n))
-                    rows = np.r_[0, np.cumsum(each)][offsets // 4].astype(np.int32)
-                    made = [pa.ListArray.from_arrays(pa.array(rows), pa.array(ids.astype(np.int32)))]
-                    made += [back(made[0])] if decoded else []
-                    yield pa.RecordBatch.from_arrays([*[part.column(i).slice(first, len(block)) for i in range(len(rest))], *made], labels)
-
-    rows = docs.select(*[F.col(quoted(f.name)).alias(f"c{i}") for i, f in enumerate(rest)], text.alias("text")).mapInArrow(cut, own)
-    done = folded(rows, pieces).select(*names[: len(rest)], "base", "codes", F.coalesce("ready", "ids").alias("ids"))
+            base, body, lists = batch.columns
+            long = pc.and_(base.is_null(), body.is_valid())
+            if pc.any(long).as_py():
+                given = pa.array([np.frombuffer(b, np.int32) if b is not None else None for b in pc.if_else(long, body, pa.scalar(None, body.type)).to_pylist()], pa.list_(pa.int32()))
+                lists = pc.if_else(long, given, lists)
+            last = 0
+            for at in [*np.flatnonzero(base.is_valid().to_numpy(zero_copy_only=False)).tolist(), len(batch)]:
+                if at > last:
+                    part = lists.slice(last, at - last)
+                    store.add(pc.list_value_length(part).to_numpy(zero_copy_only=False).astype(np.int64), part.flatten().to_numpy(zero_copy_only=False).astype(small))
+                last = at + 1
+                if at == len(batch):
+                    break
+                number = base[at].as_py()
+                if number > store.base:
+                    store.forget(number)
+                rows = pa.ipc.open_stream(body[at].as_buffer()).read_next_batch()
+                codes = rows.column(len(rest))
+                bounds = codes.offsets.to_numpy()
+                ids, each = store.lists(codes.values.to_numpy(), number)
+                made = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)][bounds].astype(np.int32)), pa.array(ids.astype(np.int32)))]
+                made += [back(made[0])] if decoded else []
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(rest)], *made], labels)
+
+    rows = docs.select(*[F.col(quoted(f.name)) for f in rest], text.alias("text")).mapInArrow(cut, "base bigint, body binary, word string")
     schema = StructType([StructField(f.name, f.dataType) for f in rest]).add("ids", ArrayType(IntegerType()))
-    return done.mapInArrow(put_together, schema.add("decoded", StringType()) if decoded else schema)
+    return folded(rows, pieces).select("base", "body", "ids").mapInArrow(put_together, schema.add("decoded", StringType()) if decoded else schema)
 
 
 def decoder(pieces: Pieces):

@@ -84,8 +84,8 @@ def inventory(items: DataFrame, search: str | None = None, repo: str | None = No
 
 
 def enriched(flags: DataFrame, registry: DataFrame) -> DataFrame:
-    """flags with is_registry and description from the registry (name, description), whose last row of a name counts."""
-    r = registry.groupBy("name").agg(F.last("description").alias("description"))
+    """flags with is_registry and description from the registry (ord, name, description), whose last row of a name counts."""
+    r = registry.groupBy("name").agg(F.max_by("description", F.struct("ord", "description")).alias("description"))
     return flags.join(r.withColumn("is_registry", F.lit(True)), "name", "left").withColumn("is_registry", F.coalesce("is_registry", F.lit(False)))
 
 
@@ -97,9 +97,9 @@ def catalog_links(catalog: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def resolved_repos(edges: DataFrame, known: DataFrame, roots: DataFrame) -> DataFrame:
-    """edges with target_repo: the id's repo if known, else the edge's own target_repo, else the package root's; URLs have none."""
+    """edges with target_repo: the id's repo if known, else the edge's own target_repo, else that of the package's last root (ord, package, repo); URLs have none."""
     names = known.select(F.col("repo").alias("k")).distinct()
-    r = roots.groupBy("package").agg(F.max("repo").alias("root_repo"))
+    r = roots.groupBy("package").agg(F.max_by("repo", F.struct("ord", "repo")).alias("root_repo"))
     e = edges.withColumn("__id", repo_of(F.col("target"))).withColumn("package", package_of(F.col("target")))
     e = e.where(~F.col("target").rlike("^[a-zA-Z][a-zA-Z+.-]*://")).join(names, F.col("__id") == F.col("k"), "left").join(r, "package", "left")
     own = F.col("target_hint") if "target_hint" in edges.columns else F.lit(None)

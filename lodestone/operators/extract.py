@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators import graph
 from lodestone.operators import rules
 from lodestone.operators.text import conjugated, purpose
 
@@ -117,12 +118,17 @@ def documentation_gaps(symbols: DataFrame, documented: DataFrame) -> DataFrame:
 def fault_tree(steps: DataFrame, links: DataFrame) -> DataFrame:
     """(tree_id, node_id, parent_id, ordinal, kind, label): a tree as rows.
 
-    steps: (tree_id, label, condition) of a trace; links: (tree_id, a, b), labels that reach each other. Conditions that are
-    linked form AND groups below an OR; the root is the trace's failure.
+    steps: (tree_id, label, condition) of a trace; links: (tree_id, a, b), its control-flow edges between labels. Conditions of
+    which one reaches the other, and what this joins step by step, form an AND group below an OR; the root is the trace's
+    failure. A group is named by its least label.
     """
-    pairs = links.select("tree_id", "a", "b").unionAll(links.select("tree_id", F.col("b").alias("a"), F.col("a").alias("b")))
-    least = pairs.groupBy("tree_id", F.col("a").alias("label")).agg(F.min("b").alias("m"))
-    s = steps.where("condition").join(least, ["tree_id", "label"], "left").withColumn("g", F.least("label", F.coalesce("m", "label")))
+    key = lambda c: F.concat_ws("\0", "tree_id", c)
+    conditions = steps.where("condition").select("tree_id", "label", key("label").alias("node")).distinct()
+    flow = links.select(key("a").alias("a"), key("b").alias("b"))
+    seeds = conditions.select(F.col("node").alias("origin"), "node")
+    reached = graph.levels(flow, seeds, keys=("origin",)).join(conditions.select("node"), "node", "left_semi")
+    group = graph.components(reached.select(F.col("origin").alias("source"), F.col("node").alias("target")))
+    s = conditions.join(group, "node").select("tree_id", "label", F.substring_index("component", "\0", -1).alias("g"))
     root = steps.select("tree_id").distinct().select("tree_id", F.lit("or").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("OR").alias("kind"), F.lit("failure").alias("label"))
     group = s.select("tree_id", F.concat(F.lit("and:"), "g").alias("node_id"), F.lit("or").alias("parent_id"), F.lit("AND").alias("kind"), F.col("g").alias("label")).distinct()
     leaf = s.select("tree_id", F.concat(F.lit("event:"), "label").alias("node_id"), F.concat(F.lit("and:"), "g").alias("parent_id"), F.lit("BASIC").alias("kind"), "label")
@@ -130,6 +136,7 @@ def fault_tree(steps: DataFrame, links: DataFrame) -> DataFrame:
     return root.unionByName(group).unionByName(leaf).withColumn("ordinal", F.row_number().over(w) - 1)
 
 
+
 def report(scores: DataFrame, top: DataFrame, limit: int = 20) -> str:
     """Markdown of the repos' scores and the rules to fix first; both are small tables, one row a repo and a rule."""
     lines = ["| repo | score |", "|---|---|"] + [f"| {r.repo} | {r.score} |" for r in scores.orderBy("repo").collect()]

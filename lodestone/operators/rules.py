@@ -53,16 +53,16 @@ def excluded(path: Column) -> Column:
     return path.rlike(r"(?:^|/)(?:\.next|build/output|dist|node_modules)/")
 
 
-_KINDS = {"typescript": "cts mts ts tsx", "javascript": "cjs js jsx mjs", "json": "json", "yaml": "yaml yml", "markdown": "md mdx", "python": "py", "shell": "bash sh"}
+_KINDS = {"typescript": "cts mts ts tsx", "javascript": "cjs js jsx mjs", "json": "json", "yaml": "yaml yml", "markdown": "md mdx"}
 
 
 def file_kind(path: Column) -> Column:
-    """By extension, then Dockerfiles, then Kubernetes folders."""
-    ext = F.when(F.instr(path, ".") > 0, F.lower(F.substring_index(path, ".", -1)))
-    out = F.when(F.lower(path).rlike(r"(?:^|/)(?:k8s|kubernetes)/.*\.ya?ml$"), "kubernetes")
+    """By what follows the last point, then Dockerfiles, then paths that name Kubernetes; a null path is unknown."""
+    ext = F.lower(F.substring_index(path, ".", -1))
+    out = F.when(path.isNull(), "unknown")
     for kind, names in _KINDS.items():
         out = out.when(ext.isin(*names.split()), kind)
-    return out.when(F.lower(path).rlike(r"(?:^|/)dockerfile(?:\.|$)"), "docker").otherwise("unknown")
+    return out.when(path.rlike("[Dd]ockerfile"), "dockerfile").when(F.lower(path).rlike("k8s|kubernetes"), "kubernetes").otherwise("unknown")
 
 
 def symbol_id(repo: Column, path: Column, symbol: Column | None = None) -> Column:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder is set for this session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; where it is unset, a temporary folder of a local session, as in tests. A cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="facts-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="facts-")
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
     return folder.rstrip("/")
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 import pyarrow as pa
@@ -207,89 +207,139 @@ def entities(query: Column) -> Column:
     return F.array_distinct(F.concat(every('"([^"]+)"', 1), every(r"\b[A-Z][a-z]+[A-Z][a-zA-Z]*\b"), every(r"\b[a-z]+[A-Z][a-zA-Z]*\b"), every(r"\b\w+(?:\.\w+)+\b")))
 
 
+STRUCTURAL = "calls?|depends?|imports?|extends?|implements?|graph|reference|definition"
+ANALYTICAL = "risk|fault|error|failure|bug|vulnerability|issue|problem|configuration|flag"
+
+
 def question_kind(query: Column) -> Column:
-    """Which functional-model executor answers a question."""
+    """Which functional-model executor answers a question; a null one is a search."""
     q = F.lower(query)
-    return F.when(q.rlike(r"\b(?:error|fail|fault|exception)"), "errors").when(q.rlike(r"\b(?:endpoint|api|operation|method)"), "api").otherwise("services")
+    return F.when(q.rlike(rf"\b(?:{STRUCTURAL})\b"), "structural").when(q.rlike(rf"\b(?:{ANALYTICAL})\b"), "analytical").otherwise("search")
 
 
 WILD = "<*>"
 
 
-def _drain(messages: Sequence[str], similarity: float, clusters: int) -> list[tuple[list[str], list[int]]]:
-    """Greedy templates: the first cluster of equal first word and length that is alike enough takes a message."""
-    found: list[tuple[list[str], list[int]]] = []
-    by_shape: dict[tuple[str, int], list[int]] = {}
-    for i, message in enumerate(messages):
-        words = message.split()
-        shape = (words[0] if words else "", len(words))
+class Drain:
+    """Greedy templates: the first cluster of equal length that is alike enough takes a message.
+
+    When `clusters` have been made the likest of equal length takes what none of them would; without one the message is left
+    out. A message that came before goes where it went as long as no template has changed since.
+    """
+
+    def __init__(self, similarity: float, clusters: int):
+        self.similarity, self.clusters, self.changes = similarity, clusters, 0
+        self.templates: list[list[str]] = []
+        self.firsts: list[object] = []  # what each cluster's first message came with
+        self.counts: list[int] = []
+        self._of_length: dict[int, list[int]] = {}
+        self._known: dict[str, tuple[int, int]] = {}
+
+    def add(self, message: str, tag: object = None) -> int | None:
+        """The number of the message's cluster."""
+        at, when = self._known.get(message, (-1, -1))
+        if when != self.changes:
+            at = self._placed(message.split(), tag)
+            if len(self._known) >= 100_000:  # a memory of what was just done: forgetting it changes no result
+                self._known.clear()
+            self._known[message] = at, self.changes
+        if at < 0:
+            return None
+        self.counts[at] += 1
+        return at
+
+    def _placed(self, words: list[str], tag: object) -> int:
         best, score = -1, -1.0
-        for c in by_shape.get(shape, []):
-            s = sum(t in (w, WILD) for t, w in zip(found[c][0], words, strict=True)) / len(words) if words else 0.0
+        for c in self._of_length.get(len(words), []):
+            s = sum(t in (w, WILD) for t, w in zip(self.templates[c], words, strict=True)) / len(words) if words else 0.0
             if s > score:
                 best, score = c, s
-            if s >= similarity:
+            if s >= self.similarity:
+                best = c
                 break
-        if best < 0 or (score < similarity and len(found) < clusters):
-            if len(found) >= clusters:
-                continue
-            by_shape.setdefault(shape, []).append(len(found))
-            found.append((words, [i]))
-        else:
-            t = found[best][0]
-            t[:] = [a if a == b else WILD for a, b in zip(t, words, strict=True)]
-            found[best][1].append(i)
-    return found
+        if score < self.similarity and len(self.templates) < self.clusters:
+            self._of_length.setdefault(len(words), []).append(len(self.templates))
+            self.templates.append(words)
+            self.firsts.append(tag)
+            self.counts.append(0)
+            self.changes += 1
+            return len(self.templates) - 1
+        if best >= 0:
+            merged = [t if t == w else WILD for t, w in zip(self.templates[best], words, strict=True)]
+            if merged != self.templates[best]:
+                self.templates[best] = merged
+                self.changes += 1
+        return best
 
 
 def log_templates(logs: DataFrame, similarity: float = 0.5, clusters: int = 100) -> DataFrame:
     """(repo, severity, template, frequency) of logs (ord, repo, severity, message), in the order of ord.
 
-    The severity leads each message while clustering and severities never merge; templates that are empty without it go.
-    The algorithm is sequential within a repo. Equal messages are adjacent in effect, so they are counted before the shuffle:
-    a message repeated after its cluster exists can't change it, and only first appearances move.
+    The severity leads each message while clustering; a template has that of its first message, and templates that are empty
+    without it go. Each message can change what the next one meets, so a repo's messages go through one task in order; they
+    stream through it, and what it holds is the templates, `clusters` at most. Null messages are empty ones.
     """
-    firsts = logs.groupBy("repo", "severity", "message").agg(F.min("ord").alias("ord"), F.count("*").alias("n"))
+    rows = logs.select("repo", "ord", "severity", F.concat_ws(" ", "severity", "message").alias("message"))
+    rows = rows.repartition("repo").sortWithinPartitions("repo", "ord", "message")
 
-    def run(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: r["ord"])
-        out = []
-        for words, members in _drain([f"{r['severity']} {r['message']}" for r in rows], similarity, clusters):
-            if len(words) > 1:
-                out.append({"repo": rows[0]["repo"], "severity": rows[members[0]]["severity"], "template": " ".join(words[1:]), "frequency": sum(rows[i]["n"] for i in members)})
-        return pa.Table.from_pylist(out, pa.schema([("repo", pa.string()), ("severity", pa.string()), ("template", pa.string()), ("frequency", pa.int64())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, found = None, None
 
-    return firsts.groupBy("repo").applyInArrow(run, "repo string, severity string, template string, frequency bigint")
+        def out() -> pa.RecordBatch:
+            kept = [i for i, t in enumerate(found.templates) if len(t) > 1]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([last] * len(kept), pa.string()), pa.array([found.firsts[i] for i in kept], pa.string()), pa.array([" ".join(found.templates[i][1:]) for i in kept], pa.string()), pa.array([found.counts[i] for i in kept], pa.int64())],
+                ["repo", "severity", "template", "frequency"],
+            )
+
+        for batch in batches:
+            for repo, severity, message in zip(*(batch.column(c).to_pylist() for c in ("repo", "severity", "message")), strict=True):
+                if found is None or repo != last:
+                    if found is not None:
+                        yield out()
+                    last, found = repo, Drain(similarity, clusters)
+                found.add(message, severity)
+        if found is not None:
+            yield out()
+
+    return rows.mapInArrow(run, "repo string, severity string, template string, frequency bigint")
 
 
 def log_pairs(logs: DataFrame, lines: int = 20, overlap: float = 0.3) -> DataFrame:
     """Pairs of templates of a repo, by the strongest relation: same function, shared traces, same file, joined by a call.
 
-    logs: (repo, id, module, line, traces, calls). The range condition is a post-filter of an equality on the module.
+    logs: (repo, id, module, line, traces, calls). Each relation is an equality of its own (on the module, on a trace, on a
+    called module), so no repo is joined with itself whole; of a pair's relations the best stays.
     """
-    a = logs.select("repo", *[F.col(c).alias(f"{c}_a") for c in ("id", "module", "line", "traces", "calls")])
-    b = logs.select("repo", *[F.col(c).alias(f"{c}_b") for c in ("id", "module", "line", "traces", "calls")])
-    j = a.join(b, "repo").where("id_a < id_b")
-    both = F.size(F.array_union("traces_a", "traces_b"))
-    jaccard = F.when(both > 0, F.size(F.array_intersect("traces_a", "traces_b")) / both).otherwise(0.0)
-    same = F.col("module_a") == F.col("module_b")
-    kind = (
-        F.when(same & (F.abs(F.col("line_a") - F.col("line_b")) <= lines), F.struct(F.lit("same-function").alias("relation"), F.lit(0.9).alias("score")))
-        .when(jaccard > overlap, F.struct(F.lit("trace-overlap").alias("relation"), F.lit(0.7).alias("score")))
-        .when(same, F.struct(F.lit("same-file").alias("relation"), F.lit(0.6).alias("score")))
-        .when(F.array_contains("calls_a", F.col("module_b")) | F.array_contains("calls_b", F.col("module_a")), F.struct(F.lit("call-connected").alias("relation"), F.lit(0.4).alias("score")))
-    )
-    return j.select("repo", "id_a", "id_b", kind.alias("k")).where("k IS NOT NULL").select("repo", "id_a", "id_b", "k.*")
+    plain = logs.select("repo", "id", "module", "line")
+    a, b = (plain.select("repo", F.col("id").alias(f"id_{x}"), "module", F.col("line").alias(f"line_{x}")) for x in "ab")
+    mates = a.join(b, ["repo", "module"]).where("id_a < id_b")
+    close = F.abs(F.col("line_a") - F.col("line_b")) <= lines
+    mates = mates.select("repo", "id_a", "id_b", F.when(close, 0.9).otherwise(0.6).alias("score"), F.when(close, "same-function").otherwise("same-file").alias("relation"))
+    traces = logs.select("repo", "id", F.explode(F.array_distinct("traces")).alias("trace"), F.size(F.array_distinct("traces")).alias("n"))
+    a, b = (traces.select("repo", "trace", F.col("id").alias(f"id_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    shared = a.join(b, ["repo", "trace"]).where("id_a < id_b").groupBy("repo", "id_a", "id_b").agg(F.count("*").alias("k"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
+    shared = shared.where(F.col("k") / (F.col("n_a") + F.col("n_b") - F.col("k")) > overlap).select("repo", "id_a", "id_b", F.lit(0.7).alias("score"), F.lit("trace-overlap").alias("relation"))
+    calls = logs.select("repo", F.col("id").alias("x"), F.explode(F.array_distinct("calls")).alias("module")).join(plain.select("repo", F.col("id").alias("y"), "module"), ["repo", "module"]).where("x <> y")
+    calls = calls.select("repo", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), F.lit(0.4).alias("score"), F.lit("call-connected").alias("relation"))
+    best = mates.unionByName(shared).unionByName(calls).groupBy("repo", "id_a", "id_b").agg(F.max(F.struct("score", "relation")).alias("m"))
+    return best.select("repo", "id_a", "id_b", "m.relation", "m.score")
 
 
-CONTEXTS = {"auth": "auth|login|token", "database": "database|query|sql", "network": "connect|http|network|timeout", "validation": "invalid|required|valid"}
+CONTEXTS = {"database": "database|query|sql", "network": "http|request|api", "authentication": "auth|token|permission", "filesystem": "file|disk", "memory": "memory|heap"}
 
 
 def shared_context(groups: DataFrame) -> DataFrame:
-    """(group_id, context) of the keyword families that at least half of a group's templates match."""
-    hits = groups.select("group_id", F.explode(F.array(*[F.struct(F.lit(n).alias("context"), F.lower("template").rlike(p).alias("hit")) for n, p in CONTEXTS.items()])).alias("h"))
-    per = hits.groupBy("group_id", "h.context").agg(F.count_if("h.hit").alias("k"), F.count("*").alias("n"))
-    return per.where(F.col("k") >= F.ceil(F.col("n") / 2)).select("group_id", "context")
+    """(group_id, context): the keyword family that most of a group's templates match, if at least half of them do.
+
+    groups: (group_id, ord, template). Of families that are matched equally often the one that is matched first counts, and
+    of those that the same template matches first, the one that comes first in CONTEXTS.
+    """
+    families = F.array(*[F.struct(F.lit(n).alias("context"), F.lit(-i).alias("rank"), F.lower("template").rlike(p).alias("hit")) for i, (n, p) in enumerate(CONTEXTS.items())])
+    hits = groups.select("group_id", "ord", F.explode(families).alias("h")).select("group_id", "ord", "h.*")
+    per = hits.groupBy("group_id", "context", "rank").agg(F.count_if("hit").alias("k"), F.count("*").alias("n"), (-F.min(F.when(F.col("hit"), F.col("ord")))).alias("first"))
+    per = per.where((F.col("k") > 0) & (F.col("k") >= F.ceil(F.col("n") / 2)))
+    return per.groupBy("group_id").agg(F.max_by("context", F.struct("k", "first", "rank")).alias("context"))
 
 
 def log_roots(templates: DataFrame) -> DataFrame:

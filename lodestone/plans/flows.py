@@ -261,6 +261,6 @@ def ag_repo_states(f: Facts) -> DataFrame:
     return inc.state_summary(inc.folded_states(_actions(f)))
 
 
-@query("src_files", "SELECT * FROM (VALUES ('a.ts', 'typescript'), ('Dockerfile', 'docker'), ('k8s/x.yml', 'kubernetes')) v(path, kind)")
+@query("src_files", "SELECT * FROM (VALUES ('a.ts', 'typescript'), ('Dockerfile', 'dockerfile'), ('k8s/x.yml', 'yaml'), ('k8s/configmap', 'kubernetes')) v(path, kind)")
 def src_files(f: Facts) -> DataFrame:
-    return f.spark.createDataFrame([("a.ts",), ("Dockerfile",), ("k8s/x.yml",)], "path string").select("path", rules.file_kind(F.col("path")).alias("kind"))
+    return f.spark.createDataFrame([("a.ts",), ("Dockerfile",), ("k8s/x.yml",), ("k8s/configmap",)], "path string").select("path", rules.file_kind(F.col("path")).alias("kind"))

@@ -217,7 +217,7 @@ def gr_paths(f: Facts) -> DataFrame:
     return graph.shortest_paths(_repos(f), "r0", "r3")
 
 
-@query("gr_critical", "SELECT start, CAST(max(len(path)) AS BIGINT) AS nodes, min(array_to_string(path, '>')) FILTER (len(path) = 5) AS path FROM sp GROUP BY 1 HAVING max(len(path)) >= 4", **REPOS, **_PATHS)
+@query("gr_critical", "SELECT start, CAST(len(path) AS BIGINT) AS nodes, min(array_to_string(path, '>')) AS path FROM (SELECT *, max(len(path)) OVER (PARTITION BY start) AS longest FROM sp) WHERE len(path) = longest AND longest >= 4 GROUP BY 1, 2", **REPOS, **_PATHS)
 def gr_critical(f: Facts) -> DataFrame:
     return graph.critical_paths(_repos(f))
 

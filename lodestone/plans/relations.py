@@ -78,7 +78,7 @@ def flt_inventory(f: Facts) -> DataFrame:
 
 @query("jn_registry", "SELECT b.repo, b.name, b.module, v.name IS NOT NULL AS is_registry, d AS description FROM br_flags b LEFT JOIN (VALUES ('k1', 'one'), ('k22', 'twice')) v(name, d) ON b.name = v.name")
 def jn_registry(f: Facts) -> DataFrame:
-    return correlate.enriched(f["br_flags"], f.spark.createDataFrame([("k1", "one"), ("k22", "twice")], "name string, description string")).select("repo", "name", "module", "is_registry", "description")
+    return correlate.enriched(f["br_flags"], f.spark.createDataFrame([(1, "k1", "first"), (3, "k22", "twice"), (2, "k1", "one")], "ord int, name string, description string")).select("repo", "name", "module", "is_registry", "description")
 
 
 @query(
@@ -87,7 +87,7 @@ def jn_registry(f: Facts) -> DataFrame:
 )
 def jn_cross_repo(f: Facts) -> DataFrame:
     known = f.spark.createDataFrame([("r0",), ("r1",), ("r2",)], "repo string")
-    roots = f.spark.createDataFrame([("@org/x", "r3")], "package string, repo string")
+    roots = f.spark.createDataFrame([(1, "@org/x", "r3")], "ord int, package string, repo string")
     return correlate.resolved_repos(f["br_edges"], known, roots).select("source", "target", "repo", "target_repo")
 
 
@@ -218,7 +218,12 @@ def flt_barrel(f: Facts) -> DataFrame:
     return _files(f).where(is_barrel(F.col("path")))
 
 
-@query("src_classify", f"SELECT path, CASE WHEN regexp_matches(path, '(?:^|/)k8s/.*\\.yaml$') THEN 'kubernetes' WHEN path LIKE '%.ts' THEN 'typescript' WHEN path LIKE '%.js' THEN 'javascript' WHEN path LIKE '%.yaml' THEN 'yaml' WHEN path LIKE '%.py' THEN 'python' ELSE 'unknown' END AS kind FROM ({FILES}) WHERE NOT regexp_matches(path, '(?:^|/)(?:dist|node_modules)/')")
+FILE_KIND = """CASE WHEN ext IN ('ts', 'tsx', 'mts', 'cts') THEN 'typescript' WHEN ext IN ('js', 'jsx', 'mjs', 'cjs') THEN 'javascript' WHEN ext = 'json' THEN 'json'
+  WHEN ext IN ('yml', 'yaml') THEN 'yaml' WHEN ext IN ('md', 'mdx') THEN 'markdown' WHEN path LIKE '%Dockerfile%' OR path LIKE '%dockerfile%' THEN 'dockerfile'
+  WHEN lower(path) LIKE '%k8s%' OR lower(path) LIKE '%kubernetes%' THEN 'kubernetes' ELSE 'unknown' END"""
+
+
+@query("src_classify", f"SELECT path, {FILE_KIND} AS kind FROM (SELECT path, lower(string_split(path, '.')[-1]) AS ext FROM ({FILES})) WHERE NOT regexp_matches(path, '(?:^|/)(?:dist|node_modules)/')")
 def src_classify(f: Facts) -> DataFrame:
     return flt_excluded(f).select("path", rules.file_kind(F.col("path")).alias("kind"))
 

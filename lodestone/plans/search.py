@@ -104,7 +104,13 @@ def tx_entities(f: Facts) -> DataFrame:
     return s.select("conv_id", "turn", "repos", F.array_join(text.entities(F.col("question")), ",").alias("entities"))
 
 
-@query("tx_classify_q", "SELECT conv_id, turn, CASE WHEN regexp_matches(lower(text), '\\b(error|fail|fault|exception)') THEN 'errors' WHEN regexp_matches(lower(text), '\\b(endpoint|api|operation|method)') THEN 'api' ELSE 'services' END AS kind FROM conversations")
+@query(
+    "tx_classify_q",
+    """SELECT conv_id, turn, CASE
+      WHEN len(list_intersect(w, ['call', 'calls', 'depend', 'depends', 'import', 'imports', 'extend', 'extends', 'implement', 'implements', 'graph', 'reference', 'definition'])) > 0 THEN 'structural'
+      WHEN len(list_intersect(w, ['risk', 'fault', 'error', 'failure', 'bug', 'vulnerability', 'issue', 'problem', 'configuration', 'flag'])) > 0 THEN 'analytical' ELSE 'search' END AS kind
+    FROM (SELECT conv_id, turn, string_split_regex(lower(coalesce(text, '')), '[^a-z0-9_]+') AS w FROM conversations)""",
+)
 def tx_classify_q(f: Facts) -> DataFrame:
     return f["conversations"].select("conv_id", "turn", text.question_kind(F.col("text")).alias("kind"))
 
@@ -133,7 +139,17 @@ def tx_log_pairs(f: Facts) -> DataFrame:
     return text.log_pairs(f.spark.sql(f"SELECT * FROM {LOGS}").withColumn("calls", F.col("calls").cast("array<string>")))
 
 
-@query("tx_context", "SELECT * FROM (VALUES (1, 'database'), (2, 'auth'), (2, 'network')) v(group_id, context)")
+@query(
+    "tx_context",
+    """WITH t AS (SELECT conv_id, turn, lower(text) AS t FROM conversations),
+    h AS (SELECT conv_id, turn, 'database' AS context, 0 AS rank, t LIKE '%database%' OR t LIKE '%query%' OR t LIKE '%sql%' AS hit FROM t
+      UNION ALL SELECT conv_id, turn, 'network', 1, t LIKE '%http%' OR t LIKE '%request%' OR t LIKE '%api%' FROM t
+      UNION ALL SELECT conv_id, turn, 'authentication', 2, t LIKE '%auth%' OR t LIKE '%token%' OR t LIKE '%permission%' FROM t
+      UNION ALL SELECT conv_id, turn, 'filesystem', 3, t LIKE '%file%' OR t LIKE '%disk%' FROM t
+      UNION ALL SELECT conv_id, turn, 'memory', 4, t LIKE '%memory%' OR t LIKE '%heap%' FROM t),
+    g AS (SELECT conv_id, context, rank, count(*) FILTER (hit) AS k, count(*) AS n, min(turn) FILTER (hit) AS f FROM h GROUP BY 1, 2, 3)
+    SELECT conv_id AS group_id, context FROM g WHERE k > 0 AND 2 * k >= n QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC, f, rank) = 1""",
+)
 def tx_context(f: Facts) -> DataFrame:
-    rows = [(1, "sql failed"), (1, "query took long"), (1, "login"), (2, "login timeout"), (2, "other")]
-    return text.shared_context(f.spark.createDataFrame(rows, "group_id int, template string"))
+    """Conversations stand for groups, turns for their templates."""
+    return text.shared_context(f["conversations"].select(F.col("conv_id").alias("group_id"), F.col("turn").alias("ord"), F.col("text").alias("template")))

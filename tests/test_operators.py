@@ -8,8 +8,9 @@ import random
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from lodestone.operators import diagnostics, graph, metrics, mining, models, rules, text
+from lodestone.operators import correlate, diagnostics, extract, graph, metrics, mining, models, rules, text
 from lodestone.streaming import incremental
 
 
@@ -147,3 +148,82 @@ def test_redaction(spark):
 
     row = spark.range(1).select(diagnostics.redacted(F.lit("UserService in src/a/UserService.ts and MyUserService"), "s", paths=True).alias("t")).first()
     assert "Service" not in row.t and row.t.count("[REDACTED:") == 3
+
+
+def test_file_kinds(spark):
+    want = {
+        "src/a.ts": "typescript", "A.TSX": "typescript", "x.mjs": "javascript", "package.json": "json", "k8s/deployment.yaml": "yaml", "README.MD": "markdown", "docs/a.mdx": "markdown",
+        "Dockerfile": "dockerfile", "docker/dockerfile.dev": "dockerfile", "k8s/configmap": "kubernetes", "deploy/Kubernetes/service": "kubernetes", "main.py": "unknown", "": "unknown",
+    }
+    rows = spark.createDataFrame([(p,) for p in [*want, None]], "path string").select("path", rules.file_kind(F.col("path")).alias("kind")).collect()
+    assert {r.path: r.kind for r in rows} == want | {None: "unknown"}
+
+
+def test_question_kinds(spark):
+    want = {"what calls login": "structural", "Show the dependency graph": "structural", "which error is likely": "analytical", "any RISK here": "analytical", "errors everywhere": "search", "where is auth": "search"}
+    rows = spark.createDataFrame([(q,) for q in want], "q string").select("q", text.question_kind(F.col("q")).alias("kind")).collect()
+    assert {r.q: r.kind for r in rows} == want
+
+
+def test_shared_contexts(spark):
+    groups = {
+        1: ["sql failed", "query took long", "permission"], 2: ["token expired", "other"], 3: ["a", "b", "disk"], 4: ["http request", "file is gone"], 5: ["file api"], 6: [None, "heap is full"],
+    }
+    rows = [(g, i, t) for g, ts in groups.items() for i, t in enumerate(ts)]
+    got = {r.group_id: r.context for r in text.shared_context(spark.createDataFrame(rows, "group_id int, ord int, template string")).collect()}
+    assert got == {1: "database", 2: "authentication", 4: "network", 5: "network", 6: "memory"}
+
+
+def _drain_by_hand(messages, similarity, clusters):
+    found = []
+    for m in messages:
+        words, best = m.split(), None
+        alike = lambda c: sum(t in (w, "<*>") for t, w in zip(c[0], words, strict=True)) / len(words) if words else 0  # noqa: B023, E731
+        same = [c for c in found if len(c[0]) == len(words)]
+        best = next((c for c in same if alike(c) >= similarity), None)
+        if best is None and len(found) < clusters:
+            found.append([words, 1])
+            continue
+        best = best or max(same, key=alike, default=None)
+        if best:
+            best[0], best[1] = [t if t == w else "<*>" for t, w in zip(best[0], words, strict=True)], best[1] + 1
+    return [(" ".join(t), n) for t, n in found]
+
+
+@given(st.lists(st.lists(st.sampled_from("abcd"), min_size=1, max_size=4).map(" ".join), max_size=40), st.sampled_from([0.4, 0.5, 0.75]), st.integers(1, 6))
+def test_drain_takes_the_first_cluster_that_is_alike(messages, similarity, clusters):
+    """Repeats too go to an earlier cluster that has become alike meanwhile."""
+    d = text.Drain(similarity, clusters)
+    for m in messages:
+        d.add(m)
+    assert [(" ".join(t), n) for t, n in zip(d.templates, d.counts, strict=True)] == _drain_by_hand(messages, similarity, clusters)
+
+
+def test_log_templates(spark):
+    rows = [(3, "r", "error", "user 2 lost"), (1, "r", "error", "user 1 lost"), (2, "r", "warn", "disk full"), (4, "r", "error", None), (1, "q", "error", "user 1 lost")]
+    got = {tuple(r) for r in text.log_templates(spark.createDataFrame(rows, "ord int, repo string, severity string, message string")).collect()}
+    assert got == {("r", "error", "user <*> lost", 2), ("r", "warn", "disk full", 1), ("q", "error", "user 1 lost", 1)}
+
+
+def test_fault_tree_joins_what_reaches_each_other(spark):
+    """a-b and c-b make one group; a way through a step that is no condition counts, a common end that is none does not."""
+    steps = spark.createDataFrame([("t", n, n != "x") for n in "abcdefx"] + [("u", n, True) for n in "ab"], "tree_id string, label string, condition boolean")
+    links = spark.createDataFrame([("t", "a", "b"), ("t", "c", "b"), ("t", "d", "x"), ("t", "e", "x"), ("t", "x", "f")], "tree_id string, a string, b string")
+    rows = [r for r in extract.fault_tree(steps, links).collect() if r.kind == "BASIC"]
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.tree_id, r.parent_id), set()).add(r.label)
+    assert groups == {("t", "and:a"): set("abc"), ("t", "and:d"): set("def"), ("u", "and:a"): {"a"}, ("u", "and:b"): {"b"}}
+
+
+def test_last_registry_row_wins(spark):
+    flags = spark.createDataFrame([("r", "k", "m")], "repo string, name string, module string")
+    registry = spark.createDataFrame([(2, "k", "zz"), (9, "k", "aa"), (5, "k", "mm")], "ord int, name string, description string").repartition(3)
+    assert [r.description for r in correlate.enriched(flags, registry).collect()] == ["aa"]
+
+
+def test_log_pairs_take_the_best_relation(spark):
+    rows = [(1, "a.ts", 10, ["x", "y"], ["b.ts"]), (2, "a.ts", 25, ["z"], []), (3, "a.ts", 90, ["z", "w"], []), (4, "b.ts", 5, ["q"], []), (5, "c.ts", 5, ["x", "y", "k"], ["c.ts"])]
+    logs = spark.createDataFrame([("r1", *r) for r in rows], "repo string, id int, module string, line int, traces array<string>, calls array<string>")
+    got = {(r.id_a, r.id_b): r.relation for r in text.log_pairs(logs).collect()}
+    assert got == {(1, 2): "same-function", (1, 3): "same-file", (1, 4): "call-connected", (1, 5): "trace-overlap", (2, 3): "trace-overlap"}

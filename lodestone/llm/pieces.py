@@ -35,7 +35,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Frequent words whose ids are broadcast at most: 24 bytes of table for each and 2 or 4 bytes for each id.
 HOT_WORDS = 1 << 20
 #: Words that a task remembers at most before it starts anew, which costs repeated work only.
-TASK_WORDS = 1 << 20
+TASK_WORDS = 1 << 18
+#: Bytes of short texts that travel in one row: small enough for the JVM to copy them without large allocations.
+PACK_BYTES = 1 << 17
 #: The fold's state is a 64-bit mask. A word of more characters, which no place parts, is folded by a heap in Python.
 LONGEST = 61
 SPACE = "▁"
@@ -149,6 +151,16 @@ def sliced(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeStri
     return pa.LargeStringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data[at]))
 
 
+def tidied(fn):
+    """fn over batches, after which the worker, which later tasks use for other work, gives its memory back."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return run
+
+
 class Places:
     """A table from words' keys, a 64-bit hash and a 32-bit check, to numbers: open addressing over numpy arrays."""
 
@@ -241,7 +253,7 @@ def counted(texts: DataFrame, pieces: Pieces, room: int = TASK_WORDS) -> DataFra
         if parts:
             yield out()
 
-    return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(tidied(run), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def hot_words(texts: DataFrame, pieces: Pieces, most: int = HOT_WORDS) -> DataFrame:
@@ -324,7 +336,7 @@ def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
         if held is not None and len(held):
             yield whole(held)
 
-    return spans.mapInArrow(gathered, "base bigint, body binary, word string, edges array<bigint>")
+    return spans.mapInArrow(tidied(gathered), "base bigint, body binary, word string, edges array<bigint>")
 
 
 def merged(edges: str, n: str) -> Column:
@@ -476,8 +488,8 @@ class Store:
 def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS, room: int = TASK_WORDS, decoded: bool = False) -> DataFrame:
     """docs without text, with ids: the piece ids of the whole text; other columns stay.
 
-    A null or an empty text has no ids (an empty array). A text of any length is encoded whole, half a megabyte of short
-    ones at a time. Repeated rows are encoded alike. An empty table gives an empty result; without a column text every row
+    A null or an empty text has no ids (an empty array). A text of any length is encoded whole, short ones
+    PACK_BYTES at a time. Repeated rows are encoded alike. An empty table gives an empty result; without a column text every row
     counts as a null one; an input column named ids is replaced. With `decoded` the result is that of decode(), made by the
     same Python workers. Words are told apart by 96 bits of hash among the hot ones and the task's own: that two of 2 million
     unlike words meet has a probability below 1e-16 a task.
@@ -518,7 +530,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS,
         """
         table, own, base = known.value, Words(room), 0
         for batch in batches:
-            for first, block in blocks(strings(batch.column(len(rest)))):
+            for first, block in blocks(strings(batch.column(len(rest))), PACK_BYTES):
                 data, start, end, row = segments(block, joins)
                 h, check = keys(data, start, end)
                 code = table.find(h, check)
@@ -570,9 +582,9 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS,
                 made += [back(made[0])] if decoded else []
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(rest)], *made], labels)
 
-    rows = docs.select(*[F.col(quoted(f.name)) for f in rest], text.alias("text")).mapInArrow(cut, "base bigint, body binary, word string")
+    rows = docs.select(*[F.col(quoted(f.name)) for f in rest], text.alias("text")).mapInArrow(tidied(cut), "base bigint, body binary, word string")
     schema = StructType([StructField(f.name, f.dataType) for f in rest]).add("ids", ArrayType(IntegerType()))
-    return folded(rows, pieces).select("base", "body", "ids").mapInArrow(put_together, schema.add("decoded", StringType()) if decoded else schema)
+    return folded(rows, pieces).select("base", "body", "ids").mapInArrow(tidied(put_together), schema.add("decoded", StringType()) if decoded else schema)
 
 
 def decoder(pieces: Pieces):

@@ -156,11 +156,16 @@ def _near_keepers(rows: list[tuple[int, str]]) -> dict[int, int]:
 def test_near_duplicates(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     want = _near_keepers([(r.doc_id, r.text) for r in docs.collect()])
-    assert {r.doc_id: r.keeper for r in queries.op2_simhash_near_dedup(spark, DATA).collect()} == want
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: (r.keeper, r.links) for r in queries.op2_simhash_near_dedup(spark, DATA).collect()}
+    assert {k: keeper for k, (keeper, _) in got.items()} == want
+    fp, has = near_dedup.simhash(strings(pa.array([t for _, t in rows])))
+    near = (_hamming(fp) <= near_dedup.RADIUS) & has[:, None] & has[None]
+    assert {k: links for k, (_, links) in got.items()} == {k: int(n) - bool(h) for (k, _), n, h in zip(rows, near.sum(axis=1), has, strict=True)}
 
 
 def test_edited_copies_are_near(spark):
-    """Of copies with a tenth of their words replaced nearly all are found, and no unlike documents are."""
+    """Of copies with a twentieth of their words replaced nearly all are found, and no unlike documents are."""
     rng = random.Random(9)
     vocabulary = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(3000)]
     rows = []

@@ -62,6 +62,23 @@ SELECT DISTINCT concat('f', CAST(l_suppkey AS STRING)) AS source, concat('ep', C
        CASE l_returnflag WHEN 'A' THEN 'producer' WHEN 'R' THEN 'consumer' ELSE 'client' END AS role,
        concat('r', CAST(l_suppkey % 7 AS STRING)) AS repo
 FROM {lineitem} WHERE l_linenumber = 7 AND l_quantity >= 48""",
+    "br_nodes": """
+SELECT event_id, concat('fn', CAST(user_id AS STRING)) AS function_id,
+       CASE event_id % 12 WHEN 0 THEN 'await api.get(x)' WHEN 1 THEN 'await api.post(y)' WHEN 2 THEN 'await bus.send(z)' WHEN 3 THEN 'fetch(u)'
+         WHEN 4 THEN 'catch (e)' WHEN 5 THEN 'for attempt in retry' WHEN 6 THEN 'users.findOne(i)' WHEN 7 THEN 'new AbortController()'
+         WHEN 8 THEN 'm.get(k) ?? d' WHEN 9 THEN 'await sleep(1)' WHEN 10 THEN 'delay * 2' ELSE 'x = 1' END AS label
+FROM {events}""",
+    "br_params": """
+SELECT concat('p', CAST(p_partkey AS STRING)) AS name, CASE WHEN p_size % 3 = 0 THEN 'setting' ELSE 'flag' END AS kind,
+       CASE p_size % 3 WHEN 0 THEN 'number' ELSE 'boolean' END AS value_type,
+       CASE WHEN p_size % 7 <> 0 THEN concat('r', CAST(p_partkey % 5 AS STRING), ':p', CAST(p_partkey - p_partkey % 20 + p_partkey % 5 AS STRING)) END AS module,
+       CASE WHEN p_size % 4 = 0 THEN p_brand END AS choice, CASE WHEN p_size % 5 = 0 THEN 1 END AS range_min, CASE WHEN p_size % 5 = 0 THEN p_size END AS range_max
+FROM {part}""",
+    "br_constraints": """
+SELECT DISTINCT CASE l_linenumber WHEN 1 THEN 'requires' WHEN 2 THEN 'mutex' WHEN 3 THEN 'implies' WHEN 4 THEN 'always' WHEN 5 THEN 'excludes' ELSE 'requires' END AS kind,
+       concat('p', CAST(l_partkey AS STRING)) AS a, CASE WHEN l_linenumber <> 4 THEN concat('p', CAST(l_partkey * 7 % 2100 AS STRING)) END AS b
+FROM {lineitem} WHERE l_linenumber <= 6""",
+    "br_registry": "SELECT DISTINCT concat('p', CAST(user_id * 3 AS STRING)) AS name FROM {events}",
     "br_logs": """
 SELECT event_id AS ord, concat('r', CAST(user_id % 5 AS STRING)) AS repo,
        CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warn' ELSE 'info' END AS severity,

@@ -258,43 +258,43 @@ def ht_nest_role(f: Facts) -> DataFrame:
     return rows.select("id", rules.nest_role(F.col("d")).alias("role"))
 
 
-@query("ht_gaps", "SELECT * FROM (VALUES ('f1', 'c1', 'fault/silent-failure'), ('f3', 'c1', 'fault/unhandled-error-path')) v(function_id, node, rule_id)")
-def ht_gaps(f: Facts) -> DataFrame:
-    catches = f.spark.createDataFrame([("f1", "c1"), ("f2", "c1"), ("f3", "c1")], "function_id string, node string")
-    reach = f.spark.createDataFrame([("f2", "c1", "logger.error(e)"), ("f3", "c1", "x = 1")], "function_id string, start string, label string")
-    return rules.error_gaps(catches, reach)
-
-
-NODES = [("f1", "await a.get(x)"), ("f1", "await b.post(y)"), ("f1", "await c.send(z)"), ("f2", "fetch(u)"), ("f2", "catch (e)"), ("f3", "for attempt in retry"), ("f4", "users.findOne(i)"), ("f5", "fetch(u, { signal })"), ("f6", "m.get(k) ?? d")]
+_CATCH = "SELECT user_id, event_id, CASE event_id // 12 % 5 WHEN 0 THEN 'logger.error(e)' WHEN 1 THEN 'x = 1' WHEN 2 THEN 'throw e' WHEN 3 THEN 'y = 2' END AS reached FROM events WHERE event_id % 12 = 4"
 
 
-@query("ht_cascade", "SELECT 'f1' AS function_id, 'fault/cascading-failure-risk' AS rule_id")
-def ht_cascade(f: Facts) -> DataFrame:
-    return _faults(f).where("rule_id = 'fault/cascading-failure-risk'")
+@query(
+    "ht_gaps",
+    f"""SELECT concat('fn', user_id) AS function_id, concat('c', event_id) AS node, CASE WHEN reached IS NULL THEN 'fault/silent-failure' ELSE 'fault/unhandled-error-path' END AS rule_id
+    FROM ({_CATCH}) WHERE reached IS NULL OR reached IN ('x = 1', 'y = 2')""",
+)
+def ht_gaps(f: Facts) -> DataFrame:
+    """Catch nodes are events; what a catch reaches hangs on its id, every fifth reaches nothing."""
+    catches = f["br_nodes"].where("label = 'catch (e)'").withColumn("node", F.concat(F.lit("c"), F.col("event_id").cast("string")))
+    label = F.expr("CASE event_id div 12 % 5 WHEN 0 THEN 'logger.error(e)' WHEN 1 THEN 'x = 1' WHEN 2 THEN 'throw e' WHEN 3 THEN 'y = 2' END")
+    reach = catches.select("function_id", F.col("node").alias("start"), label.alias("label")).where("label IS NOT NULL")
+    return rules.error_gaps(catches.select("function_id", "node"), reach)
 
 
 def _faults(f: Facts) -> DataFrame:
-    return rules.function_faults(f.spark.createDataFrame(NODES, "function_id string, label string"))
+    return rules.function_faults(f["br_nodes"].select("function_id", "label"))
 
 
-@query("ht_timeout", "SELECT 'f2' AS function_id, 'fault/timeout-missing' AS rule_id")
-def ht_timeout(f: Facts) -> DataFrame:
-    return _faults(f).where("rule_id = 'fault/timeout-missing'")
-
-
-@query("ht_retry", "SELECT 'f3' AS function_id, 'fault/retry-without-backoff' AS rule_id")
-def ht_retry(f: Facts) -> DataFrame:
-    return _faults(f).where("rule_id = 'fault/retry-without-backoff'")
+_FAULTS = {
+    "ht_cascade": ("cascading-failure-risk", "count(*) FILTER (k IN (0, 1, 2)) >= 3 AND count(*) FILTER (k = 4) = 0"),
+    "ht_timeout": ("timeout-missing", "count(*) FILTER (k = 3) > 0 AND count(*) FILTER (k = 7) = 0"),
+    "ht_retry": ("retry-without-backoff", "count(*) FILTER (k = 5) > 0 AND count(*) FILTER (k IN (9, 10)) = 0"),
+    "ht_null": ("unchecked-null-return", "count(*) FILTER (k IN (0, 6, 8)) > 0 AND count(*) FILTER (k = 8) = 0"),
+    "ht_boundary": ("missing-error-boundary", "count(*) FILTER (k IN (0, 1, 2, 9)) > 0 AND count(*) FILTER (k = 4) = 0"),
+}
 
 
-@query("ht_null", "SELECT * FROM (VALUES ('f1', 'fault/unchecked-null-return'), ('f4', 'fault/unchecked-null-return')) v(function_id, rule_id)")
-def ht_null(f: Facts) -> DataFrame:
-    return _faults(f).where("rule_id = 'fault/unchecked-null-return'")
+def _fault(name: str, rule: str, having: str) -> None:
+    @query(name, f"SELECT concat('fn', user_id) AS function_id, 'fault/{rule}' AS rule_id FROM (SELECT user_id, event_id % 12 AS k FROM events) GROUP BY user_id HAVING {having}")
+    def one(f: Facts) -> DataFrame:
+        return _faults(f).where(F.col("rule_id") == f"fault/{rule}")
 
 
-@query("ht_boundary", "SELECT 'f1' AS function_id, 'fault/missing-error-boundary' AS rule_id")
-def ht_boundary(f: Facts) -> DataFrame:
-    return _faults(f).where("rule_id = 'fault/missing-error-boundary'")
+for _name, (_rule, _having) in _FAULTS.items():
+    _fault(_name, _rule, _having)
 
 
 ARCH = [("shop", "react", "imports", None, None), ("shop", "/api", "service-call", "client", "http"), ("api", "express", "imports", None, None), ("api", "/api", "service-call", "producer", "http"), ("my-lib", "x", "calls", None, None), ("tool", "y", "imports", None, None)]
@@ -305,9 +305,14 @@ def ag_architecture(f: Facts) -> DataFrame:
     return correlate.architecture(f.spark.createDataFrame(ARCH, "repo string, target string, kind string, role string, protocol string"))
 
 
-@query("wn_highest_tier", "SELECT * FROM (VALUES ('a', 2, 'y', 0.9::DOUBLE), ('b', 1, 'z', 0.5::DOUBLE)) v(entity_id, tier, description, confidence)")
+@query(
+    "wn_highest_tier",
+    "SELECT concat('u', user_id) AS entity_id, e.tier, e.description, e.confidence FROM (SELECT user_id, CAST(length(event_type) % 4 AS INTEGER) AS tier, max(event_type) AS description, round(max(value), 3) AS confidence FROM events GROUP BY 1, 2) e WHERE e.tier = (SELECT max(length(event_type) % 4) FROM events x WHERE x.user_id = e.user_id)",
+)
 def wn_highest_tier(f: Facts) -> DataFrame:
-    return correlate.highest_tier(f.spark.createDataFrame([("a", 1, "x", 0.6), ("a", 2, "y", 0.9), ("b", 1, "z", 0.5)], "entity_id string, tier int, description string, confidence double"))
+    """A user's event types stand for an entity's summaries, their names' lengths for tiers."""
+    rows = f["events"].groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("entity_id"), F.expr("length(event_type) % 4").alias("tier"))
+    return correlate.highest_tier(rows.agg(F.max("event_type").alias("description"), F.round(F.max("value"), 3).alias("confidence")))
 
 
 # feature models and configurations
@@ -320,32 +325,55 @@ def _items(f: Facts) -> DataFrame:
     return f.spark.createDataFrame(ITEMS, "name string, kind string, value_type string, module string, enum_values array<string>, range_min int, range_max int")
 
 
+def _params(f: Facts) -> DataFrame:
+    """Parts as flags and settings."""
+    return f["br_params"].withColumn("enum_values", F.when(F.col("choice").isNotNull(), F.array("choice")).otherwise(F.array().cast("array<string>"))).drop("choice")
+
+
 def _issues(f: Facts) -> DataFrame:
-    cons = f.spark.createDataFrame(CONS, "kind string, flags array<string>")
-    return models.model_issues(_items(f), cons, f.spark.createDataFrame([("a",), ("old",)], "name string"))
+    cons = f["br_constraints"].select("kind", F.array_compact(F.array("a", "b")).alias("flags"))
+    return models.model_issues(_params(f), cons, f["br_registry"])
 
 
-@query("fm_build", "SELECT * FROM (VALUES ('implies', 'a,b'), ('requires', 'a,c'), ('requires', 'b,c'), ('enum', 'c'), ('range', 'd')) v(kind, flags)")
+_COUPLED = "SELECT DISTINCT a.name AS a, b.name AS b FROM br_edges e JOIN br_params a ON a.module = e.source JOIN br_params b ON b.module = e.target WHERE a.name <> b.name"
+
+
+@query(
+    "fm_build",
+    f"""SELECT 'implies' AS kind, concat(a.name, ',', b.name) AS flags FROM br_params a JOIN br_params b ON a.module = b.module AND a.name < b.name WHERE (SELECT count(*) FROM br_params c WHERE c.module = a.module) <= 10
+    UNION ALL SELECT 'requires', concat(a, ',', b) FROM ({_COUPLED})
+    UNION ALL SELECT CASE WHEN choice IS NOT NULL THEN 'enum' ELSE 'range' END, name FROM br_params WHERE choice IS NOT NULL OR range_min IS NOT NULL""",
+)
 def fm_build(f: Facts) -> DataFrame:
-    edges = f.spark.createDataFrame([("m1", "m2")], "source string, target string")
-    return models.built(_items(f), edges).select("kind", F.array_join("flags", ",").alias("flags"))
+    return models.built(_params(f), f["br_edges"]).select("kind", F.array_join("flags", ",").alias("flags"))
 
 
-@query("jn_constraints_edges", "SELECT * FROM (VALUES ('a', 'c'), ('b', 'c')) v(a, b)")
+@query("jn_constraints_edges", _COUPLED)
 def jn_constraints_edges(f: Facts) -> DataFrame:
-    return models.required_by_edges(_items(f), f.spark.createDataFrame([("m1", "m2"), ("m9", "m1")], "source string, target string"))
-
+    return models.required_by_edges(_params(f), f["br_edges"])
+
+
+_BOTH = "SELECT DISTINCT r.a, r.b FROM br_constraints r JOIN br_constraints x ON r.kind = 'requires' AND x.kind IN ('mutex', 'excludes') AND ((r.a = x.a AND r.b = x.b) OR (r.a = x.b AND r.b = x.a))"
+_ISSUES = {
+    "fm_dead": ("dead-flag", f"SELECT DISTINCT a AS name FROM ({_BOTH}) WHERE a IN (SELECT name FROM br_params WHERE kind = 'flag')"),
+    "fm_always": ("always-on-flag", "SELECT a AS name FROM br_constraints JOIN br_params p ON p.name = a WHERE br_constraints.kind = 'always' AND p.kind = 'flag'"),
+    "fm_untested": ("untested-interaction", "SELECT DISTINCT concat(a, ',', b) AS name FROM br_constraints WHERE kind = 'implies'"),
+    "fm_unused_reg": ("unused-registry-flag", "SELECT name FROM br_registry EXCEPT SELECT name FROM br_params WHERE kind = 'flag'"),
+    "fm_unreg": ("unregistered-flag", "SELECT name FROM br_params WHERE kind = 'flag' EXCEPT SELECT name FROM br_registry"),
+    "fm_dead_setting": ("dead-setting", "SELECT name FROM br_params WHERE kind = 'setting' AND module IS NULL"),
+    "fm_missing_dep": ("missing-dependency", "SELECT DISTINCT b AS name FROM br_constraints WHERE kind = 'requires' AND b NOT IN (SELECT name FROM br_params)"),
+    "fm_conflict": ("conflicting-settings", f"SELECT concat(a, ',', b) AS name FROM ({_BOTH})"),
+}
 
-def _issue(name: str, rule: str, found: list[str]) -> None:
-    values = ", ".join(f"('config/{rule}', '{n}')" for n in found)
 
-    @query(name, f"SELECT * FROM (VALUES {values}) v(rule_id, name)")
+def _issue(name: str, rule: str, found: str) -> None:
+    @query(name, f"SELECT 'config/{rule}' AS rule_id, name FROM ({found})")
     def one(f: Facts) -> DataFrame:
         return _issues(f).where(F.col("rule_id") == f"config/{rule}")
 
 
-for _n, _r, _f in (("fm_dead", "dead-flag", ["a"]), ("fm_always", "always-on-flag", ["e"]), ("fm_untested", "untested-interaction", ["c,d"]), ("fm_unused_reg", "unused-registry-flag", ["old"]), ("fm_unreg", "unregistered-flag", ["b", "e"]), ("fm_dead_setting", "dead-setting", ["d"]), ("fm_missing_dep", "missing-dependency", ["zz"]), ("fm_conflict", "conflicting-settings", ["a,b"])):
-    _issue(_n, _r, _f)
+for _name, (_rule, _found) in _ISSUES.items():
+    _issue(_name, _rule, _found)
 
 
 @query("ag_interaction", "SELECT * FROM (VALUES ('a', 3::BIGINT, 3::BIGINT), ('b', 3, 2), ('c', 3, 3)) v(name, arity, neighbours)")
@@ -376,10 +404,15 @@ def fm_cover(f: Facts) -> DataFrame:
     return f.spark.createDataFrame([tuple(r[k] for k in "abcd") for r in rows], "a string, b string, c string, d string")
 
 
-@query("ct_level", "SELECT * FROM (VALUES ('x', 'always'), ('y', 'never'), ('z', 'conditional')) v(field, level)")
+@query(
+    "ct_level",
+    "SELECT field, CASE WHEN g = 0 AND d = 0 THEN 'always' WHEN g = n AND d = n THEN 'never' ELSE 'conditional' END AS level FROM (SELECT p_brand AS field, count(*) AS n, count(*) FILTER (p_size > 25) AS g, count(*) FILTER (p_size > 25) AS d FROM part GROUP BY 1) UNION ALL SELECT concat('size', p_size), CASE WHEN p_size % 3 = 0 THEN 'never' WHEN p_size % 3 = 1 THEN 'always' ELSE 'conditional' END FROM (SELECT DISTINCT p_size FROM part)",
+)
 def ct_level(f: Facts) -> DataFrame:
-    rows = [("x", False, False), ("x", False, False), ("y", True, True), ("z", True, False), ("z", False, False)]
-    return models.requirement_level(f.spark.createDataFrame(rows, "field string, guarded boolean, has_default boolean"))
+    """Brands and sizes as fields, parts as the places that read them."""
+    brands = f["part"].selectExpr("p_brand AS field", "p_size > 25 AS guarded", "p_size > 25 AS has_default")
+    sizes = f["part"].selectExpr("concat('size', p_size) AS field", "p_size % 3 <> 1 AS guarded", "p_size % 3 = 0 AS has_default")
+    return models.requirement_level(brands.unionByName(sizes))
 
 
 @query("ct_build", "SELECT * FROM (VALUES ('a', 'conditional'), ('a.b', 'conditional'), ('a.b.c', 'conditional'), ('d', 'always'), ('d.e', 'always')) v(field, level)")

@@ -120,15 +120,16 @@ def tx_drain(f: Facts) -> DataFrame:
     return text.log_templates(f["br_logs"])
 
 
-@query("tx_logs", "SELECT repo, severity, count(*) AS messages FROM br_logs GROUP BY 1, 2")
+@query("tx_logs", "SELECT repo, count(*) AS messages FROM br_logs GROUP BY 1")
 def tx_logs(f: Facts) -> DataFrame:
-    """The templates' frequencies add up to the messages of each severity."""
-    return text.log_templates(f["br_logs"]).groupBy("repo", "severity").agg(F.sum("frequency").alias("messages"))
+    """The templates' frequencies add up to the messages of each repo."""
+    return text.log_templates(f["br_logs"]).groupBy("repo").agg(F.sum("frequency").alias("messages"))
 
 
-@query("tx_log_roots", "SELECT severity, CASE severity WHEN 'error' THEN 'high' ELSE 'medium' END AS level, count(DISTINCT repo) AS repos FROM br_logs WHERE severity IN ('error', 'warn') GROUP BY 1, 2")
+@query("tx_log_roots", "SELECT repo, severity, CASE severity WHEN 'error' THEN 'high' ELSE 'medium' END AS level, message FROM br_logs WHERE severity IN ('error', 'warn')")
 def tx_log_roots(f: Facts) -> DataFrame:
-    return text.log_roots(text.log_templates(f["br_logs"])).groupBy("severity", "level").agg(F.count_distinct("repo").alias("repos"))
+    """Each message as a template of its own."""
+    return text.log_roots(f["br_logs"].select("repo", "severity", F.col("message").alias("template"))).select("repo", "severity", "level", F.col("template").alias("message"))
 
 
 LOGS = "(VALUES ('r1', 1, 'a.ts', 10, array('x', 'y'), array('b.ts')), ('r1', 2, 'a.ts', 25, array('z'), array()), ('r1', 3, 'a.ts', 90, array('z', 'w'), array()), ('r1', 4, 'b.ts', 5, array('q'), array()), ('r1', 5, 'c.ts', 5, array('x', 'y', 'k'), array())) AS v(repo, id, module, line, traces, calls)"

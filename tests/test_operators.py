@@ -11,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lodestone.operators import correlate, diagnostics, extract, graph, metrics, mining, models, rules, text
+from lodestone.plans import catalog, registry
 from lodestone.streaming import incremental
 
 
@@ -227,3 +228,13 @@ def test_log_pairs_take_the_best_relation(spark):
     logs = spark.createDataFrame([("r1", *r) for r in rows], "repo string, id int, module string, line int, traces array<string>, calls array<string>")
     got = {(r.id_a, r.id_b): r.relation for r in text.log_pairs(logs).collect()}
     assert got == {(1, 2): "same-function", (1, 3): "same-file", (1, 4): "call-connected", (1, 5): "trace-overlap", (2, 3): "trace-overlap"}
+
+
+def test_drain_over_the_events(spark):
+    """The query against the plain algorithm over each repo's messages in order."""
+    rows = registry.Facts(spark, "/root/testdata/sf0.001")["br_logs"].orderBy("ord").collect()
+    want = []
+    for repo in {r.repo for r in rows}:
+        want += [(repo, t.split(" ", 1)[1], n) for t, n in _drain_by_hand([f"{r.severity} {r.message}" for r in rows if r.repo == repo], 0.5, 100)]
+    got = [(r.repo, r.template, r.frequency) for r in catalog.QUERIES["tx_drain"](spark, "/root/testdata/sf0.001").collect()]
+    assert sorted(got) == sorted(want)

@@ -230,7 +230,7 @@ def cross_pairs(edges: DataFrame, kinds: Sequence[str] = ("imports", "depends-on
     return e.where("source_repo <> target_repo").groupBy("source_repo", "target_repo").agg(F.count("*").alias("n"))
 
 
-def shortest_paths(pairs: DataFrame, start: str, goal: str, max_depth: int = 10) -> DataFrame:
+def shortest_paths(pairs: DataFrame, start: str, goal: str, max_depth: int | None = None) -> DataFrame:
     """Every shortest path (path, joined by >) from start to goal over (a, b).
 
     Nodes off the shortest paths are dropped first: those whose distances from the start and to the goal don't add up.
@@ -249,16 +249,14 @@ def shortest_paths(pairs: DataFrame, start: str, goal: str, max_depth: int = 10)
     return paths.where(F.col("node") == goal).select(F.array_join("path", ">").alias("path"))
 
 
-def simple_paths(pairs: DataFrame, max_nodes: int = 12) -> DataFrame:
+def simple_paths(pairs: DataFrame) -> DataFrame:
     """(start, path) of all simple paths over (a, b), a graph of few nodes such as one of repos."""
     pairs = written(pairs.distinct())
     seen = Grown(pairs.where("a <> b").select(F.col("a").alias("start"), F.array("a", "b").alias("path")))
     frontier = seen.table()
-    for _ in range(max_nodes - 2):
+    while not frontier.isEmpty():
         longer = frontier.join(pairs, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b")))
         frontier = seen.add(longer.select("start", F.concat("path", F.array("b")).alias("path")))
-        if frontier.isEmpty():
-            break
     return seen.table()
 
 

@@ -26,10 +26,10 @@ def src_git_log(f: Facts) -> DataFrame:
     return readers.last_commits(_lines(f), 2)
 
 
-@query("wn_fill_hash", "SELECT hash, count(*) AS files FROM (SELECT l_orderkey AS hash, l_linenumber FROM lineitem WHERE l_quantity = 50) GROUP BY 1")
+@query("wn_fill_hash", "SELECT hash, count(*) AS files FROM (SELECT l_orderkey AS hash, l_linenumber FROM lineitem) GROUP BY 1")
 def wn_fill_hash(f: Facts) -> DataFrame:
     """Commits and files as log lines: each order's number, then its rows; the hash is carried down to them."""
-    rows = f["lineitem"].where("l_quantity = 50").selectExpr("l_orderkey", "sha1(cast(l_orderkey AS string)) AS h", "concat('f', l_linenumber) AS file")
+    rows = f["lineitem"].selectExpr("l_orderkey", "sha1(cast(l_orderkey AS string)) AS h", "concat('f', l_linenumber) AS file")
     rows = rows.unionByName(rows.select("l_orderkey", "h", F.lit(None).cast("string").alias("file")).distinct())
     lines = rows.select(F.lit("r").alias("repo"), F.struct("l_orderkey", F.col("file").isNotNull(), "file").alias("ord"), F.coalesce("file", "h").alias("line"), "l_orderkey", "h")
     filled = readers.git_log(lines.withColumn("repo", F.concat("repo", (F.col("l_orderkey") % 16).cast("string"))))

@@ -188,25 +188,19 @@ def gr_barrel_expand(f: Facts) -> DataFrame:
     return graph.barrel_expansion(f["br_edges"].where("kind = 'imports'"), _seeds(f, 2))
 
 
-@query(
-    "gr_unionfind",
-    "SELECT node, min(other) AS component FROM (SELECT DISTINCT source AS node, source AS other FROM lk UNION SELECT node, other FROM cc) GROUP BY 1",
-    lk="SELECT l_orderkey, source, target FROM (SELECT l_orderkey, concat('s', CAST(l_suppkey AS STRING)) AS source, concat('p', CAST(l_partkey AS STRING)) AS target FROM lineitem WHERE l_quantity = 50 AND l_linenumber = 1)",
-    bi="SELECT source AS x, target AS y FROM lk UNION SELECT target, source FROM lk",
-    cc="SELECT x AS node, y AS other FROM bi UNION SELECT cc.node, bi.y FROM cc JOIN bi ON bi.x = cc.other",
-)
+@query("gr_unionfind")
 def gr_unionfind(f: Facts) -> DataFrame:
-    links = f["lineitem"].where("l_quantity = 50 AND l_linenumber = 1").selectExpr("concat('s', l_suppkey) AS source", "concat('p', l_partkey) AS target")
+    """Suppliers and parts that line items join; a recursive query over the whole table is too slow, so there is no SQL."""
+    links = f["lineitem"].selectExpr("concat('s', l_suppkey) AS source", "concat('p', l_partkey) AS target")
     return graph.components(links)
 
 
-REPOS = {"rp": "SELECT DISTINCT substr(source, 1, instr(source, ':') - 1) AS a, substr(target, 1, instr(target, ':') - 1) AS b FROM br_edges WHERE kind = 'imports' AND (CAST(substr(source, 2, 1) AS INT) + 1) % 5 = CAST(substr(target, 2, 1) AS INT)"}
+REPOS = {"rp": "SELECT DISTINCT substr(source, 1, instr(source, ':') - 1) AS a, substr(target, 1, instr(target, ':') - 1) AS b FROM br_edges WHERE kind = 'imports' AND substr(source, 1, instr(source, ':') - 1) <> substr(target, 1, instr(target, ':') - 1)"}
 
 
 def _repos(f: Facts) -> DataFrame:
-    """Repo pairs of imports from one repo to the next in the ring."""
-    pairs = graph.cross_pairs(f["br_edges"]).select(F.col("source_repo").alias("a"), F.col("target_repo").alias("b"))
-    return pairs.where("(int(substr(a, 2, 1)) + 1) % 5 = int(substr(b, 2, 1))")
+    """Repo pairs of imports from one repo to another."""
+    return graph.cross_pairs(f["br_edges"]).select(F.col("source_repo").alias("a"), F.col("target_repo").alias("b"))
 
 
 _PATHS = {"sp": "SELECT a AS start, [a, b] AS path FROM rp UNION ALL SELECT start, list_append(path, b) FROM sp JOIN rp ON a = path[-1] WHERE NOT list_contains(path, b)"}

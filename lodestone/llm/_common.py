@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of narrow keys that are broadcast at most (about 64 MB as a hashed relation); beyond it the join shuffles.
@@ -59,12 +61,17 @@ def numbered(df: DataFrame) -> DataFrame:
     return tidy(df, [RID]).withColumn(RID, F.monotonically_increasing_id())
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset, as in tests, a temporary folder is set for this session."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; where it is unset, a temporary folder of a local session, as in tests. A cluster must name one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
     return folder.rstrip("/")
 
 
@@ -76,9 +83,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, a written table of narrow rows, marked for broadcast if it is counted to be small enough."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_merge")
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, weight: Column | None = None) -> DataFrame:
+    """df, a written table of narrow rows, marked for broadcast if it is counted to be small enough.
+
+    Rows that hold lists count by `weight`, their number of entries.
+    """
+    few = df.limit(rows + 1)
+    n = few.count() if weight is None else few.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if n <= rows else df.hint("shuffle_merge")
 
 
 def without_rows(docs: DataFrame, dropped: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -128,7 +128,11 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with one row of each distinct text, that of the least doc_id; all columns stay."""
+    """docs with one row of each distinct text, that of the least doc_id; all columns stay.
+
+    Null texts all stay, of empty ones one; of repeated rows one stays, as of rows that tie in doc_id. Null doc_ids, as which
+    those count that are no integers, come last. An empty table stays empty. An input column named __rid goes.
+    """
     docs = numbered(tidy(docs))
     found = written(classes(docs).where(f"keeper_rid <> {RID}").select(RID))
     return without_rows(docs, found)

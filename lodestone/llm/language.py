@@ -12,6 +12,7 @@ have is found by leaving each fitted row out in turn.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +36,8 @@ MIN_SCORE = -0.4
 #: language's fitted rows stay within.
 TAIL, SLACK = 0.01, 2.0
 _SHIFT = np.uint32(32 - 15)
+#: Texts whose rows are multiplied together.
+ROWS = 128
 
 
 def _grams(data: np.ndarray) -> list[np.ndarray]:
@@ -48,17 +51,20 @@ def _grams(data: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def presence(column: pa.LargeStringArray):
-    """The sorted distinct buckets of each lower-cased text."""
-    seen = np.zeros(BUCKETS, bool)
-    for _, block in blocks(column):
+def presence(column: pa.LargeStringArray, rows: int = ROWS) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, rows x BUCKETS) blocks: which buckets each lower-cased text has an n-gram in."""
+    for first, block in blocks(column):
         data, offsets = buffer(pc.utf8_lower(block))
         grams = _grams(data)
-        for start, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            seen[:] = False
+        for at in range(0, len(block), rows):
+            ends = offsets[at : min(at + rows, len(block)) + 1]
+            seen = np.zeros((len(ends) - 1, BUCKETS), bool)
             for n, g in enumerate(grams):
-                seen[g[start : max(start, end - n)]] = True
-            yield np.flatnonzero(seen)
+                lengths = np.maximum(np.diff(ends) - n, 0)
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(ends[:-1], lengths)
+                seen[row, g[place]] = True
+            yield first + at, seen
 
 
 @dataclass(frozen=True)
@@ -73,16 +79,20 @@ class Model:
         """(scores of each language, distinct n-grams, whether the best language knows enough of them) of each text."""
         out, sizes = np.zeros((len(column), len(self.languages))), np.zeros(len(column), np.int64)
         familiar = np.zeros(len(column), bool)
-        for i, p in enumerate(presence(column)):
-            sizes[i] = len(p)
-            if len(p):
-                out[i] = self.weights[p].sum(axis=0) / np.sqrt(len(p))
-                best = (out[i] + self.bias).argmax()
-                familiar[i] = self.known[best][p].mean() >= self.min_known[best]
+        both = np.concatenate([self.weights, self.known.T], axis=1).astype(np.float32)
+        for at, seen in presence(column):
+            rows = slice(at, at + len(seen))
+            size = seen.sum(axis=1)
+            product = seen.astype(np.float32) @ both
+            score = product[:, : len(self.languages)] / np.sqrt(np.maximum(size, 1))[:, None]
+            best = (score + self.bias).argmax(axis=1)
+            share = product[np.arange(len(seen)), len(self.languages) + best] / np.maximum(size, 1)
+            out[rows], sizes[rows] = score, size
+            familiar[rows] = (size > 0) & (share.astype(np.float64) >= self.min_known[best] - 1e-6)
         return out + self.bias, sizes, familiar
 
     def scores(self, column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
-        """(scores of each language, distinct n-grams) of each text; batched sums of the weights of present n-grams."""
+        """(scores of each language, distinct n-grams) of each text: products of the batch's 0/1 rows and the weights."""
         return self.judged(column)[:2]
 
 
@@ -103,8 +113,8 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     """One-versus-rest kernel ridge regression on the given rows; landmarks are the first rows of each language."""
     names = sorted(set(labels))
     rows = np.zeros((len(texts), BUCKETS), np.float32)
-    for i, p in enumerate(presence(strings(pa.array(texts, pa.string())))):
-        rows[i, p] = 1 / np.sqrt(max(1, len(p)))
+    for at, seen in presence(strings(pa.array(texts, pa.string()))):
+        rows[at : at + len(seen)] = seen / np.sqrt(np.maximum(1, seen.sum(axis=1)))[:, None]
     y = np.array([[1.0 if label == name else -1.0 for name in names] for label in labels])
     chosen = [i for name in names for i in [k for k, label in enumerate(labels) if label == name][:landmarks]]
     marks = rows[chosen]
@@ -164,8 +174,14 @@ def identified(docs: DataFrame, model: Model | None = None, min_score: float = M
 
 
 def accepted(docs: DataFrame, model: Model | None = None, min_score: float = MIN_SCORE) -> DataFrame:
-    """docs without the rows that identified() rejects; all columns stay."""
+    """docs without the rows that identified() rejects, null and empty texts among them; all columns stay.
+
+    Repeated rows share their fate, ties between languages reject nothing, an empty table stays empty, and a table without a
+    column text loses all its rows. An input column named __c goes.
+    """
     model = model or fitted(docs)
     docs = tidy(docs, ["__c"])
-    text = next(c for c in docs.columns if c.lower() == "text")
+    text = next((c for c in docs.columns if c.lower() == "text"), None)
+    if text is None:
+        return docs.limit(0)
     return docs.withColumn("__c", _classifier(model, min_score)(F.col(quoted(text)).cast("string"))).where("__c.accepted").drop("__c")

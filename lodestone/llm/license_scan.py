@@ -2,8 +2,9 @@
 
 Templates of S/2 to S shingles are looked for in windows of 2 S shingles that start every S shingles, so any place where a
 template stands lies whole in some window, and the window's Jaccard similarity with it is 1/4 at least. With BANDS bands
-of one hash each a window then meets the template with probability 1 - (3/4) ** BANDS, over 0.9999; a match with
-containment c is met with probability 1 - (1 - c / (4 - c)) ** BANDS or more, 0.999 at 0.8. Templates of one shingle need
+of one hash each a window then meets the template with probability 1 - (3/4) ** BANDS, over 0.9999. A window that holds a share
+c of the template's shingles has Jaccard c / (5 - c) at least, so it is met with probability 1 - (1 - c / (5 - c)) ** BANDS or
+more, 0.9988 at 0.8. Templates of one shingle need
 no bands: they are where their shingle is.
 """
 

@@ -25,6 +25,8 @@ def normalised(line: Column) -> Column:
 def line_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_kept: float = MIN_KEPT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Every row of docs as (doc_id, text without frequent lines, removed, kept_share, keep).
 
+    Lines are told apart by 128 bits of hash. A line in just max_documents texts stays, and a share of just min_kept is kept.
+    Repeated rows give equal results, null and non-integer doc_ids are null, a text of any length is taken whole.
     Documents with the same text count as one, so copies alone don't make a line frequent. Blank lines never count and
     always stay. kept_share is kept over all characters, line ends aside; a document that loses nothing has share 1 and is
     kept, whatever its length. A null text stays null and is kept; a null source is a host of its own, ''. An empty table
@@ -38,13 +40,13 @@ def line_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, min_kept: fl
         F.posexplode(F.split("text", "\n", -1)).alias("at", "line"),
     )
     lines = lines.select(RID, "host", "content", "at", normalised(F.col("line")).alias("norm")).where("norm <> ''")
-    lines = lines.select(RID, "host", "content", "at", F.xxhash64("norm").alias("hash"))
-    per_line = lines.select("host", "hash", "content").distinct().groupBy("host", "hash").agg(F.count("*").alias("n"))
-    frequent = written(per_line.where(F.col("n") > max_documents).select("host", "hash"))
-    hit = written(lines.join(small(frequent, broadcast_rows), ["host", "hash"]).groupBy(RID).agg(F.collect_list("at").alias("gone")))
+    lines = lines.select(RID, "host", "content", "at", F.xxhash64("norm").alias("hash"), F.xxhash64(F.lit(1), "norm").alias("check"))
+    per_line = lines.select("host", "hash", "check", "content").distinct().groupBy("host", "hash", "check").agg(F.count("*").alias("n"))
+    frequent = written(per_line.where(F.col("n") > max_documents).select("host", "hash", "check"))
+    hit = written(lines.join(small(frequent, broadcast_rows), ["host", "hash", "check"]).groupBy(RID).agg(F.collect_list("at").alias("gone")))
     size = F.expr("aggregate(parts, 0L, (s, x) -> s + length(x))").cast("double")
-    out = docs.join(small(hit, broadcast_rows), RID, "left").withColumn("parts", F.split("text", "\n", -1))
-    out = out.withColumn("stay", F.when(F.col("gone").isNotNull(), F.expr("filter(parts, (x, i) -> NOT array_contains(gone, i))")))
+    out = docs.join(small(hit, broadcast_rows, F.size("gone") + 1), RID, "left").withColumn("parts", F.split("text", "\n", -1))
+    out = out.withColumn("stay", F.when(F.col("gone").isNotNull(), F.expr("transform(array_except(sequence(0, size(parts) - 1), gone), i -> parts[i])")))
     kept = F.expr("aggregate(stay, 0L, (s, x) -> s + length(x))").cast("double")
     share = F.when(F.col("gone").isNull(), F.lit(1.0)).otherwise(kept / size)
     return out.select(

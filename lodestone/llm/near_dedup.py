@@ -1,9 +1,13 @@
 """Near-duplicate detection: SimHash fingerprints searched with vantage-point trees.
 
-A document's fingerprint has 128 bits, each the sign of a sum over its distinct words. Two fingerprints within RADIUS of
-each other are within (RADIUS / 7 =) 2 on at least one of seven 18-bit blocks, so for each block a vantage-point tree over Hamming distance cuts the fingerprints into shards. A fingerprint lives in the leaf that its block falls into and
-is sent, too, to the leaves that its ball overlaps, which triangle bounds on the distances to the vantage points tell. Each
-shard then yields its exact pairs. Pairs are joined to groups, of which one document is kept.
+A document's fingerprint has 128 bits, each the sign of a sum over its distinct words. Two fingerprints within RADIUS of each
+other are within (RADIUS / 7 =) 2 on at least one of seven 18-bit blocks, so for each block a vantage-point tree over Hamming
+distance cuts the fingerprints into shards of about LEAF, whatever their number. A fingerprint lives in the leaf that its
+block falls into and is sent, too, to the leaves that its ball overlaps, which triangle bounds on the distances to the vantage
+points tell. Each shard then yields its exact pairs. Pairs are joined to groups, of which one document is kept.
+
+Cost: a level doubles the shards and multiplies a fingerprint's copies by about 1.5, so copies grow with the number of
+fingerprints to the power log2(1.5) = 0.58; the search within a shard is bounded by the shard.
 """
 
 from __future__ import annotations
@@ -23,9 +27,8 @@ from lodestone.llm._text import bit_counts, blocks, distinct_rows, mix, span_has
 RADIUS = 19
 BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 7, 18, 2
 VALUES = 1 << BLOCK_BITS
-#: Fingerprints that a leaf holds on average at most, and fingerprints that vantage points are chosen from. A leaf's search
-#: is indexed by block value, so a large leaf costs no more comparisons, and fewer leaves mean fewer guests.
-LEAF, SAMPLE = 250_000, 2_000
+#: Fingerprints that live in a leaf on average at most, and fingerprints that vantage points are chosen from.
+LEAF, SAMPLE = 1 << 14, 2_000
 #: Candidate pairs of a shard that are compared at once.
 STEP = 1_000_000
 
@@ -199,26 +202,33 @@ def components(edges: DataFrame) -> DataFrame:
         last = state
 
 
-def groups(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(__rid, doc_id, keeper, keeper_rid) of the rows of numbered docs that have a near-duplicate."""
+def groups(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """(__rid, doc_id, keeper, keeper_rid, links) of the rows of numbered docs that have a near-duplicate."""
     rows = written(fingerprints(docs))
     key = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", RID)).alias("first")
     prints = written(rows.groupBy("a", "b").agg(key, F.count("*").alias("n")).select("a", "b", "first", "n"))
     point = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    pairs = written(near_pairs(prints.select("a", "b"), radius).select(point("a", "b").alias("x"), point("a2", "b2").alias("y")))
+    near = written(near_pairs(prints.select("a", "b"), radius, leaf))
+    pairs = near.select(point("a", "b").alias("x"), point("a2", "b2").alias("y"))
     root = small(components(pairs).select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root"))
+    both = near.unionAll(near.select("a2", "b2", "a", "b"))
+    others = both.join(prints.select(F.col("a").alias("a2"), F.col("b").alias("b2"), "n"), ["a2", "b2"]).groupBy("a", "b").agg(F.sum("n").alias("others"))
     rooted = prints.join(root, ["a", "b"], "left").withColumn("root", F.coalesce("root", point("a", "b")))
-    per = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
-    found = written(rooted.select("a", "b", "root").join(per, "root").select("a", "b", "first"))
-    return rows.join(small(found), ["a", "b"]).select(RID, "doc_id", F.col("first.doc_id").alias("keeper"), F.col(f"first.{RID}").alias("keeper_rid"))
+    per = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("size")).where("size > 1")
+    links = (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links")
+    found = rooted.join(per.select("root", F.col("first").alias("kept")), "root").join(others, ["a", "b"], "left").select("a", "b", F.col("kept").alias("first"), links)
+    found = written(found)
+    return rows.join(small(found), ["a", "b"]).select(RID, "doc_id", F.col("first.doc_id").alias("keeper"), F.col(f"first.{RID}").alias("keeper_rid"), "links")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Every row of docs as (doc_id, keeper, duplicate): keeper is the least doc_id of the row's group.
+    """Every row of docs as (doc_id, keeper, duplicate, links).
 
-    Groups are what pairs of fingerprints within radius join; equal fingerprints are at distance 0. Null and empty texts and
-    texts without a word have no fingerprint and are their own keepers. Null doc_ids come after all others. Of repeated
-    rows one is kept. An empty table gives an empty result; extra columns are ignored.
+    keeper, the class id, is the least doc_id of the row's group; links counts the other rows within radius of the row. Groups
+    are what pairs of fingerprints within radius join; equal fingerprints are at distance 0. Null and empty texts and texts
+    without a word have no fingerprint, are their own keepers and have no links. Null doc_ids, as which those count that are
+    no integers, come after all others. Of repeated rows one is kept, as of rows that tie in doc_id. A long text is
+    fingerprinted whole. An empty table gives an empty result; extra columns are ignored.
     """
     docs = numbered(columns(docs, doc_id="bigint", text="string"))
     found = small(written(groups(docs, radius)).drop("doc_id"))
@@ -226,10 +236,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "doc_id",
         F.when(F.col("keeper_rid").isNull(), F.col("doc_id")).otherwise(F.col("keeper")).alias("keeper"),
         (F.col("keeper_rid").isNotNull() & (F.col("keeper_rid") != F.col(RID))).alias("duplicate"),
+        F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
     )
 
 
 def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each group, that of the least doc_id; all columns stay."""
+    """docs with one row of each group, that of the least doc_id; all columns stay.
+
+    Rows without a fingerprint (null, empty and wordless texts) stay; of repeated rows one stays. An empty table stays empty; a
+    table without a column text stays as it is. An input column named __rid goes.
+    """
     docs = numbered(tidy(docs))
     return without_rows(docs, written(groups(docs, radius).where(f"keeper_rid <> {RID}").select(RID)))

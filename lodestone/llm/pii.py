@@ -121,8 +121,9 @@ SCHEMA = "doc_id bigint, kind string, start int, end int, score double"
 def personal_data(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """A row (doc_id, kind, start, end, score) for each span of each row's whole text, in characters from 0.
 
-    Null and empty texts have no spans. Repeated rows repeat their spans. Null doc_ids stay null. An empty table gives an
-    empty result; extra columns are ignored.
+    Null and empty texts have no spans. Repeated rows repeat their spans. Null doc_ids stay null, and those that are no integers
+    become null. Of spans that overlap the best-scored stays, of equal ones the kind that comes first in KINDS, then the one that
+    begins first. A text of any length is searched whole. An empty table gives an empty result; extra columns are ignored.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

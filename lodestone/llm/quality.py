@@ -1,9 +1,10 @@
 """A quality classifier by positive-unlabelled learning.
 
-Trusted positives and unlabelled text train a linear model on hashed byte bigrams that minimises the non-negative unbiased
-risk  prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).  The class prior is estimated from the same
-rows: a classifier of positives against unlabelled text is fitted, and its mean score on held-out unlabelled rows is
-divided by that on held-out positives.
+Trusted positives and unlabelled text train a linear model that minimises the non-negative unbiased risk
+prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)).  A text's features are its hashed words and its hashed
+shape trigrams (bytes with letters and digits alike). The class prior is estimated from the same rows: a classifier of positives
+against unlabelled text is fitted on half of them, and the prior is the least ratio, over score levels, of the unlabelled to the
+positive rows above the level in the other half.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import RID, columns, numbered, small, written
-from lodestone.llm._text import blocks, buffer, strings
+from lodestone.llm._text import blocks, buffer, span_hash, strings, words
 
-BUCKETS = 2048
+HALF_BITS = 10
+BUCKETS = 2 << HALF_BITS
 #: Rows of each kind, positive and unlabelled, that the model is fitted on at most.
 FIT_ROWS = 4000
 STEPS = 600
@@ -34,7 +36,8 @@ _ROWS = 512
 
 
 def features(column: pa.LargeStringArray):
-    """(first row, rows x BUCKETS) blocks: roots of the shares of shape trigrams, as unit vectors."""
+    """(first row, rows x BUCKETS) blocks: roots of the shares of words, then of shape trigrams, as unit vectors."""
+    half = BUCKETS // 2
     done = 0
     for _, block in blocks(column):
         data, offsets = buffer(block)
@@ -44,13 +47,19 @@ def features(column: pa.LargeStringArray):
             code[:] = shape
             code[1:] = code[1:] * np.uint32(257) + shape[:-1]
             code[2:] = code[2:] + shape[:-2] * np.uint32(66049)
-        bucket = ((code * np.uint32(0x9E3779B1)) >> np.uint32(21)).astype(np.int64)
+        shapes = half + ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - HALF_BITS)).astype(np.int64)
+        lower, start, end, owner = words(block)
+        said = (span_hash(lower, start, end) >> np.uint64(64 - HALF_BITS)).astype(np.int64)
+        firsts = np.searchsorted(owner, np.arange(len(block) + 1))
         for at in range(0, len(block), _ROWS):
-            end = min(at + _ROWS, len(block))
-            lengths = np.diff(offsets[at : end + 1])
-            row = np.repeat(np.arange(end - at), lengths)
-            counts = np.bincount(row * BUCKETS + bucket[offsets[at] : offsets[end]], minlength=(end - at) * BUCKETS).reshape(end - at, BUCKETS)
-            yield done + at, np.sqrt(counts / np.maximum(lengths, 1)[:, None])
+            stop = min(at + _ROWS, len(block))
+            lengths = np.diff(offsets[at : stop + 1])
+            row, own = np.repeat(np.arange(stop - at), lengths), slice(firsts[at], firsts[stop])
+            place = np.r_[row * BUCKETS + shapes[offsets[at] : offsets[stop]], (owner[own] - at) * BUCKETS + said[own]]
+            counts = np.bincount(place, minlength=(stop - at) * BUCKETS).reshape(stop - at, BUCKETS).astype(float)
+            counts[:, :half] /= 2 * np.maximum(counts[:, :half].sum(axis=1), 1)[:, None]
+            counts[:, half:] /= 2 * np.maximum(lengths, 1)[:, None]
+            yield done + at, np.sqrt(counts)
         done += len(block)
 
 
@@ -134,7 +143,8 @@ def scored(docs: DataFrame, labels: DataFrame | None = None, model: Model | None
     """Every row of docs as (doc_id, score, keep): score is in [0, 1], keep where it reaches the threshold.
 
     Null and empty texts score 0 and are not kept. Without a positive label nothing can be learned: every text scores
-    0.5. An empty table gives an empty result; extra columns are ignored; repeated rows score alike.
+    0.5. A score of just the threshold is kept. Null and non-integer doc_ids are null and have no label. An empty table gives an
+    empty result; extra columns are ignored; repeated rows score alike; a text of any length is scored whole.
     """
     model = model or fitted(docs, labels)
 

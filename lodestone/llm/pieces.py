@@ -7,10 +7,10 @@ to each position, extended by the edges that end there. A BPE model's scores are
 sum isn't what the model means: there the fold takes, again and again, the best-ranked leftmost edge that spans exactly two
 neighbouring pieces. Characters without a piece become byte pieces.
 
-Documents never move. Each task sends its documents as word codes and, once, every word that it meets for the first time;
-these words' edges come out of explode and join side by side, so they are grouped where they are, without a shuffle, folded,
-and the same task's last step puts the documents together from the ids. The most frequent words of the whole table,
-HOT_WORDS at most, are encoded beforehand by the same lattice and broadcast; what isn't among them is folded once a task.
+Documents are not shuffled. The most frequent words of the whole table, HOT_WORDS at most, are encoded beforehand and broadcast.
+A first pass writes the documents in packs, as word codes with the pack's other words beside them. A second one explodes
+these words and their substrings; a word's edges come out of the join side by side, so they are grouped where they are, and
+the documents are put together from the ids in the same task.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ from lodestone.llm._text import blocks, buffer, give_back, span_hash, strings
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Frequent words whose ids are broadcast at most: 24 bytes of table for each and 2 or 4 bytes for each id.
 HOT_WORDS = 1 << 20
-#: Words that a task remembers at most before it starts anew, which costs repeated work only.
+#: Words that a task counts at a time.
 TASK_WORDS = 1 << 18
 #: Bytes of short texts that travel in one row: small enough for the JVM to copy them without large allocations.
 PACK_BYTES = 1 << 17
@@ -288,7 +288,7 @@ def risky(pieces: Pieces) -> set[str]:
 
 
 def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """(base, body, word) rows with edges: the piece matches in each row's word as sorted integers; none without a word.
+    """(body, word) rows with edges: the piece matches in each row's word as sorted integers; none without a word.
 
     Nothing is shuffled: the rows of a word's spans stay side by side through explode and the join with the broadcast table,
     and the first of them, which alone has the word, tells where the next word begins. Words have LONGEST characters at most.
@@ -300,15 +300,15 @@ def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
     rank = lambda p: pieces.ranks[p] if pieces.unigram or len(p) > 1 else _LAST_RANK
     codes = [(p, rank(p) << _RANK | (p in at_risk) << _RISKY | i) for p, i in pieces.ids.items()]
     table = F.broadcast(rows.sparkSession.createDataFrame(codes, "piece string, code bigint"))  # fixed by the model
-    spans = rows.select("base", "body", "word", F.translate("word", " ", SPACE).alias("text"), F.coalesce(F.length("word"), F.lit(1)).alias("length"))
-    spans = spans.select("base", "body", "word", "text", "length", F.explode(F.expr("sequence(0, length - 1)")).alias("start"))
-    spans = spans.select("base", "body", "word", "text", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length - start))")).alias("size"))
+    spans = rows.select("body", "word", F.translate("word", " ", SPACE).alias("text"), F.coalesce(F.length("word"), F.lit(1)).alias("length"))
+    spans = spans.select("body", "word", "text", "length", F.explode(F.expr("sequence(0, length - 1)")).alias("start"))
+    spans = spans.select("body", "word", "text", "start", F.explode(F.expr(f"sequence(1, least({pieces.longest}, length - start))")).alias("size"))
     word = F.expr("CASE WHEN start = 0 AND size = 1 THEN word END").alias("word")
-    spans = spans.select("base", "body", word, F.col("text").isNotNull().alias("real"), "start", "size", F.expr("substr(text, start + 1, size)").alias("piece"))
+    spans = spans.select("body", word, F.col("text").isNotNull().alias("real"), "start", "size", F.expr("substr(text, start + 1, size)").alias("piece"))
     spans = spans.join(table, "piece", "left").where("code IS NOT NULL OR size = 1")
     lost = _LAST_RANK << _RANK | _NO_ID
     edge = F.expr(f"coalesce(code, {lost}L) | (cast(start AS BIGINT) << {_START}) | (cast(start + size AS BIGINT) << {_END})")
-    spans = spans.select("base", "body", "word", F.when(F.col("real"), edge).alias("edge"))
+    spans = spans.select("body", "word", F.when(F.col("real"), edge).alias("edge"))
 
     def firsts(batch: pa.RecordBatch) -> pa.Array:
         return pc.or_(batch.column("word").is_valid(), batch.column("body").is_valid())
@@ -320,7 +320,7 @@ def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
         edge = edge.drop_null().to_numpy()
         n = np.bincount(owner, minlength=int(at[-1]))
         lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(edge[np.lexsort((edge, owner))]))
-        return pa.RecordBatch.from_arrays([*(batch.column(c).filter(first) for c in ("base", "body", "word")), lists], ["base", "body", "word", "edges"])
+        return pa.RecordBatch.from_arrays([*(batch.column(c).filter(first) for c in ("body", "word")), lists], ["body", "word", "edges"])
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None  # the last word, which may go on in the next batch
@@ -336,7 +336,7 @@ def lattice(rows: DataFrame, pieces: Pieces) -> DataFrame:
         if held is not None and len(held):
             yield whole(held)
 
-    return spans.mapInArrow(tidied(gathered), "base bigint, body binary, word string, edges array<bigint>")
+    return spans.mapInArrow(tidied(gathered), "body binary, word string, edges array<bigint>")
 
 
 def merged(edges: str, n: str) -> Column:
@@ -439,9 +439,9 @@ def encoded_long(word: str, pieces: Pieces) -> list[int]:
 
 
 def folded(rows: DataFrame, pieces: Pieces) -> DataFrame:
-    """(base, body, word) rows with ids: those of each row's word, null where there is none."""
+    """(body, word) rows with ids: those of each row's word, null where there is none."""
     edges = lattice(rows, pieces)
-    own, some = ("base", "body", "word"), F.col("word").isNotNull()
+    own, some = ("body", "word"), F.col("word").isNotNull()
     if pieces.unigram:
         path = edges.select(*own, F.when(some, viterbi_path("edges", "length(word)", pieces)).alias("path"))
     else:
@@ -451,48 +451,39 @@ def folded(rows: DataFrame, pieces: Pieces) -> DataFrame:
 
 
 class Store:
-    """Lists of ids by number, in one array: those of the hot words, then those of the task's own."""
+    """Lists of ids by number, in one array: those of the hot words, then those of a pack's own."""
 
     def __init__(self, sizes: np.ndarray, ids: np.ndarray):
-        self.hot, self.n, self.used, self.base = len(sizes), len(sizes), len(ids), 0
+        self.hot, self.hot_ids = len(sizes), len(ids)
         self.start, self.size, self.ids = np.cumsum(sizes, dtype=np.int64) - sizes, sizes.astype(np.int64), ids
-        self.hot_ids = len(ids)
 
-    def add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+    def own(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Puts a pack's lists in the place of the last one's."""
+
         def room(a: np.ndarray, used: int, more: int) -> np.ndarray:
-            return a if used + more <= len(a) else np.concatenate([a[:used], np.empty(max(used // 2, more, 1 << 12), a.dtype)])
-
-        self.start, self.size, self.ids = room(self.start, self.n, len(sizes)), room(self.size, self.n, len(sizes)), room(self.ids, self.used, len(ids))
-        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(sizes)] = sizes
-        self.ids[self.used : self.used + len(ids)] = ids
-        self.n, self.used = self.n + len(sizes), self.used + len(ids)
-
-    def forget(self, base: int) -> None:
-        """Drops the task's words numbered below base."""
-        gone = base - self.base
-        cut = int(self.start[self.hot + gone]) if self.hot + gone < self.n else self.used
-        left = slice(self.hot + gone, self.n)
-        sizes, ids = self.size[left].copy(), self.ids[cut : self.used].copy()
-        self.n, self.used, self.base = self.hot, self.hot_ids, base
-        self.add(sizes, ids)
-
-    def lists(self, codes: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids in a row, how many each code has); code -1 - i is the task's word base + i."""
-        at = np.where(codes >= 0, codes, self.hot + base - self.base - 1 - codes)
+            return a if used + more <= len(a) else np.concatenate([a[:used], np.empty(2 * more, a.dtype)])
+
+        self.start, self.size, self.ids = room(self.start, self.hot, len(sizes)), room(self.size, self.hot, len(sizes)), room(self.ids, self.hot_ids, len(ids))
+        self.start[self.hot : self.hot + len(sizes)] = self.hot_ids + np.cumsum(sizes) - sizes
+        self.size[self.hot : self.hot + len(sizes)] = sizes
+        self.ids[self.hot_ids : self.hot_ids + len(ids)] = ids
+
+    def lists(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids in a row, how many each code has); code -1 - i is the pack's word i."""
+        at = np.where(codes >= 0, codes, self.hot - 1 - codes)
         n = self.size[at]
         total = np.cumsum(n)
         return self.ids[np.arange(total[-1] if len(n) else 0) + np.repeat(self.start[at] - (total - n), n)], n
 
 
-def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS, room: int = TASK_WORDS, decoded: bool = False) -> DataFrame:
+def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS, decoded: bool = False) -> DataFrame:
     """docs without text, with ids: the piece ids of the whole text; other columns stay.
 
     A null or an empty text has no ids (an empty array). A text of any length is encoded whole, short ones
     PACK_BYTES at a time. Repeated rows are encoded alike. An empty table gives an empty result; without a column text every row
     counts as a null one; an input column named ids is replaced. With `decoded` the result is that of decode(), made by the
-    same Python workers. Words are told apart by 96 bits of hash among the hot ones and the task's own: that two of 2 million
-    unlike words meet has a probability below 1e-16 a task.
+    same Python workers. Words are told apart by 96 bits of hash among the hot ones and the pack's own: that two of 2 million
+    unlike words meet has a probability below 1e-16.
     """
     pieces = pieces or load()
     docs = tidy(docs, ["ids", "decoded"] if decoded else ["ids"])
@@ -502,7 +493,7 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS,
     joins, context = joined(pieces), docs.sparkSession.sparkContext
     small = np.uint16 if len(pieces.decoded) <= 1 << 16 else np.int32
 
-    frequent = hot_words(docs.select(text.alias("text")), pieces, hot).select(F.lit(None).cast("bigint").alias("base"), F.lit(None).cast("binary").alias("body"), "word")
+    frequent = hot_words(docs.select(text.alias("text")), pieces, hot).select(F.lit(None).cast("binary").alias("body"), "word")
     frequent = written(folded(frequent, pieces).select("word", "ids")).toArrow()  # HOT_WORDS rows at most
     data, offsets = buffer(strings(frequent.column("word")))
     lists = frequent.column("ids").combine_chunks()
@@ -514,77 +505,70 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS,
     del frequent, data, offsets, lists, sizes, ids
     give_back()
 
-    names = ["base", "body", "word"]
-
     def packed(batch: pa.RecordBatch) -> pa.Array:
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, batch.schema) as out:
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_batch(batch)
         return pa.array([sink.getvalue().to_pybytes()], pa.binary())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each block its new words, then one row that holds the block's rows and, of each, its words' codes.
+        """A row for each pack: the words that aren't hot, and a body that holds its rows with their words' codes.
 
-        A code is the hot word's number, or -1 - the number of the task's own word, from base. A word that is too long for
-        the lattice has its ids for a body.
+        A code is the hot word's number, or -1 - the number of the pack's own. Own words that are too long for the lattice come
+        last and are encoded here; their ids travel in the body's metadata.
         """
-        table, own, base = known.value, Words(room), 0
+        table = known.value
         for batch in batches:
             for first, block in blocks(strings(batch.column(len(rest))), PACK_BYTES):
                 data, start, end, row = segments(block, joins)
                 h, check = keys(data, start, end)
                 code = table.find(h, check)
                 cold = np.flatnonzero(code < 0)
-                if own.full(len(cold)):
-                    base += own.n
-                    own = Words(max(room, len(cold)))
-                number, at = own.numbers(h[cold], check[cold])
-                code[cold] = -1 - number
-                if len(at):
-                    word = sliced(data, start[cold[at]], end[cold[at]]).cast(pa.string())
-                    long = pc.greater(pc.utf8_length(word), LONGEST)
-                    body = pa.nulls(len(word), pa.binary())
-                    if pc.any(long).as_py():
-                        body = pa.array([np.array(encoded_long(w, pieces), np.int32).tobytes() if big else None for w, big in zip(word.to_pylist(), long.to_pylist(), strict=True)], pa.binary())
-                        word = pc.if_else(long, pa.scalar(None, pa.string()), word)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(len(word), pa.int64()), body, word], names)
+                number, at = Words(len(cold)).numbers(h[cold], check[cold])
+                word = sliced(data, start[cold[at]], end[cold[at]]).cast(pa.string())
+                long = pc.greater(pc.utf8_length(word), LONGEST).to_numpy(zero_copy_only=False)
+                order = np.argsort(long, kind="stable")
+                place = np.empty(len(order), np.int32)
+                place[order] = np.arange(len(order), dtype=np.int32)
+                code[cold] = -1 - place[number]
+                slow = [encoded_long(w, pieces) for w in word.filter(pa.array(long)).to_pylist()]
+                short = word.filter(pa.array(~long))
                 codes = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(block) + 1)).astype(np.int32)), pa.array(code))
                 rows = pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, len(block)) for i in range(len(rest))), codes], [str(i) for i in range(len(rest) + 1)])
-                yield pa.RecordBatch.from_arrays([pa.array([base], pa.int64()), packed(rows), pa.nulls(1, pa.string())], names)
+                rows = rows.replace_schema_metadata({"sizes": np.array([len(x) for x in slow], np.int64).tobytes(), "ids": np.array([i for x in slow for i in x], np.int64).tobytes()})
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(short)], pa.int32()), short), packed(rows)], ["words", "body"])
 
     back = decoder(pieces) if decoded else None
     labels = [*[f.name for f in rest], "ids", *(["decoded"] if decoded else [])]
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(*kept.value)
+        store, own_sizes, own_ids = Store(*kept.value), [], []
         for batch in batches:
-            base, body, lists = batch.columns
-            long = pc.and_(base.is_null(), body.is_valid())
-            if pc.any(long).as_py():
-                given = pa.array([np.frombuffer(b, np.int32) if b is not None else None for b in pc.if_else(long, body, pa.scalar(None, body.type)).to_pylist()], pa.list_(pa.int32()))
-                lists = pc.if_else(long, given, lists)
+            body, lists = batch.columns
             last = 0
-            for at in [*np.flatnonzero(base.is_valid().to_numpy(zero_copy_only=False)).tolist(), len(batch)]:
-                if at > last:
-                    part = lists.slice(last, at - last)
-                    store.add(pc.list_value_length(part).to_numpy(zero_copy_only=False).astype(np.int64), part.flatten().to_numpy(zero_copy_only=False).astype(small))
+            for at in [*np.flatnonzero(body.is_valid().to_numpy(zero_copy_only=False)).tolist(), len(batch)]:
+                part = lists.slice(last, at - last)
+                own_sizes.append(pc.list_value_length(part).to_numpy(zero_copy_only=False).astype(np.int64))
+                own_ids.append(part.flatten().to_numpy(zero_copy_only=False).astype(small))
                 last = at + 1
                 if at == len(batch):
                     break
-                number = base[at].as_py()
-                if number > store.base:
-                    store.forget(number)
                 rows = pa.ipc.open_stream(body[at].as_buffer()).read_next_batch()
+                slow = rows.schema.metadata
+                store.own(np.concatenate([*own_sizes, np.frombuffer(slow[b"sizes"], np.int64)]), np.concatenate([*own_ids, np.frombuffer(slow[b"ids"], np.int64).astype(small)]))
+                own_sizes, own_ids = [], []
                 codes = rows.column(len(rest))
-                bounds = codes.offsets.to_numpy()
-                ids, each = store.lists(codes.values.to_numpy(), number)
-                made = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)][bounds].astype(np.int32)), pa.array(ids.astype(np.int32)))]
+                ids, each = store.lists(codes.values.to_numpy())
+                made = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(each)][codes.offsets.to_numpy()].astype(np.int32)), pa.array(ids.astype(np.int32)))]
                 made += [back(made[0])] if decoded else []
                 yield pa.RecordBatch.from_arrays([*rows.columns[: len(rest)], *made], labels)
 
-    rows = docs.select(*[F.col(quoted(f.name)) for f in rest], text.alias("text")).mapInArrow(tidied(cut), "base bigint, body binary, word string")
+    rows = docs.select(*[F.col(quoted(f.name)) for f in rest], text.alias("text"))
+    packs = written(rows.mapInArrow(tidied(cut), "words array<string>, body binary"))
+    each = F.expr("explode(concat(transform(words, w -> struct(cast(null AS binary) AS body, w AS word)), array(struct(body, cast(null AS string) AS word)))) AS e")
     schema = StructType([StructField(f.name, f.dataType) for f in rest]).add("ids", ArrayType(IntegerType()))
-    return folded(rows, pieces).select("base", "body", "ids").mapInArrow(tidied(put_together), schema.add("decoded", StringType()) if decoded else schema)
+    done = folded(packs.select(each).select("e.body", "e.word"), pieces).select("body", "ids")
+    return done.mapInArrow(tidied(put_together), schema.add("decoded", StringType()) if decoded else schema)
 
 
 def decoder(pieces: Pieces):

@@ -330,11 +330,12 @@ def test_pieces_are_those_of_the_library(spark, processor):
     _check_pieces(spark, processor, TEXTS + docs)
 
 
-@pytest.mark.parametrize(("hot", "room"), [(0, 1), (0, 40), (5, 7), (1000, 1 << 20)])
-def test_pieces_whatever_words_are_hot(spark, processor, hot, room):
-    """No, few or many frequent words, and tasks that forget their own again and again, give the same ids."""
-    docs = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").limit(40).collect()]
-    _check_pieces(spark, processor, (TEXTS + docs) * 2, hot=hot, room=room)
+@pytest.mark.parametrize(("hot", "pack"), [(0, 100), (5, 3000), (1000, 1 << 20)])
+def test_pieces_whatever_words_are_hot(spark, processor, monkeypatch, hot, pack):
+    """No, few or many frequent words, in packs of any size, give the same ids."""
+    monkeypatch.setattr(pieces, "PACK_BYTES", pack)
+    docs = [r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").limit(20).collect()]
+    _check_pieces(spark, processor, (TEXTS + docs) * 2, hot=hot)
 
 
 def _varints(n: int) -> bytes:

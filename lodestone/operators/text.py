@@ -108,8 +108,12 @@ def bm25(docs: DataFrame, query: str, repo: str | None = None, limit: int | None
     if not weights:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
     if stem:
-        hit = postings(docs, stem=True).where(F.col("term").isin(list(weights)))
-        hit = hit.join(docs.select("id", "repo"), "id").select("id", "repo", "term", F.col("tf").cast("double").alias("tf"), F.col("len").cast("double").alias("len"))
+        # A stem differs from its word by the end alone, so few words of a text have to be stemmed, where they stand.
+        begin = "^(?:" + "|".join(re.escape(w[: max(1, len(w) - 3)]) for w in weights) + ")"
+        t = docs.select("id", "repo", fts_tokens(F.col("content")).alias("ts"))
+        t = t.select("id", "repo", F.size("ts").cast("double").alias("len"), F.filter("ts", lambda w: w.rlike(begin)).alias("ws")).where(F.size("ws") > 0)
+        t = t.select("id", "repo", "len", F.explode("ws").alias("w")).withColumn("term", porter(F.col("w"))).where(F.col("term").isin(list(weights)))
+        hit = t.groupBy("id", "repo", "len", "term").agg(F.count("*").cast("double").alias("tf"))
     else:
         t = docs.select("id", "repo", tokens(F.col("content")).alias("ts"))
         t = t.select("id", "repo", F.size("ts").cast("double").alias("len"), F.filter("ts", lambda w: w.isin(list(weights))).alias("ws")).where(F.size("ws") > 0)

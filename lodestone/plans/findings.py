@@ -77,11 +77,14 @@ def jn_baseline(f: Facts) -> DataFrame:
 
 @query(
     "jn_baseline_check",
-    "SELECT DISTINCT fp, 'new' AS change FROM cur WHERE fp NOT IN (SELECT fp FROM bas) UNION ALL SELECT DISTINCT fp, 'fixed' FROM bas WHERE fp NOT IN (SELECT fp FROM cur)",
+    """SELECT DISTINCT fp || '::' || level AS fp, 'new' AS change FROM cur WHERE fp || '::' || level NOT IN (SELECT fp || '::' || level FROM bas)
+    UNION ALL SELECT DISTINCT fp || '::' || level, 'fixed' FROM bas WHERE fp || '::' || level NOT IN (SELECT fp || '::' || level FROM cur)""",
     **CTE,
 )
 def jn_baseline_check(f: Facts) -> DataFrame:
-    return dx.baseline_check(_cur(f), _bas(f))
+    """A level is part of a finding's identity here, so that there are changes."""
+    named = lambda df: df.withColumn("fp", F.concat_ws("::", "fp", "level"))
+    return dx.baseline_check(named(_cur(f)), named(_bas(f)))
 
 
 @query("flt_findings", "SELECT ord, rule_id, level FROM cur WHERE repo = 'r2' AND level IN ('error', 'warning') ORDER BY ord LIMIT 50 OFFSET 10", cur=CTE["cur"])

@@ -40,7 +40,14 @@ def tx_kuzu_fts(f: Facts) -> DataFrame:
     return best.select("id", F.round("s", 6).alias("score"))
 
 
-@query("tx_fts")
+_FTS = _BM | {
+    "q": "SELECT * FROM (VALUES ('^contact(s|ed|ing)?$', 1), ('^licens(e|es|ed|ing)$', 1)) v(term, w)",
+    "d": "SELECT id, repo, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS ts FROM br_docs",
+    "h": "SELECT * FROM (SELECT id, repo, len(ts)::DOUBLE AS dl, term, w, len(list_filter(ts, lambda x: regexp_matches(x, term)))::DOUBLE AS tf FROM d, q) WHERE tf > 0",
+}
+
+
+@query("tx_fts", "SELECT id, round(score, 6) AS score FROM sc", **_FTS)
 def tx_fts(f: Facts) -> DataFrame:
     return text.bm25(f["br_docs"], "contacts licensed", stem=True).select("id", F.round("score", 6).alias("score"))
 

@@ -39,4 +39,4 @@ def test_query(name, con, spark):
 def test_names_and_columns(con, spark):
     """Queries with and without SQL are those that the README lists."""
     without = set(catalog.QUERIES) - set(catalog.ORACLES)
-    assert without == {"fm_cover", "gr_cycles", "gr_unionfind", "snk_report", "tk_sample", "tx_drain", "tx_entities", "tx_fts"}
+    assert without == {"fm_cover", "gr_cycles", "gr_unionfind", "snk_report", "tx_drain", "tx_entities"}

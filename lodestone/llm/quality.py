@@ -44,9 +44,10 @@ def features(column: pa.LargeStringArray):
         shape = _CLASS[data]
         code = np.zeros(len(data), np.uint32)
         if len(data):
-            code[:] = shape
-            code[1:] = code[1:] * np.uint32(257) + shape[:-1]
-            code[2:] = code[2:] + shape[:-2] * np.uint32(66049)
+            place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))  # within the text: no trigram reaches back over its start
+            code[:] = shape * np.uint32(257)
+            code[1:] += np.where(place[1:] > 0, shape[:-1], np.uint32(0))
+            code[2:] += np.where(place[2:] > 1, shape[:-2], np.uint32(0)) * np.uint32(66049)
         shapes = half + ((code * np.uint32(0x9E3779B1)) >> np.uint32(32 - HALF_BITS)).astype(np.int64)
         lower, start, end, owner = words(block)
         said = (span_hash(lower, start, end) >> np.uint64(64 - HALF_BITS)).astype(np.int64)

@@ -106,3 +106,51 @@ def test_stated_results(docs, labels):
     assert empty == {3: ([], ""), 4: ([], "")}
     lines = {r.doc_id: (r.text, r.keep) for r in line_rules.line_rules(docs).where("doc_id IN (3, 4)").collect()}
     assert lines == {3: (None, True), 4: ("", True)}
+
+
+@pytest.mark.parametrize("stage", corpus_pipeline.STAGES, ids=lambda s: s[0])
+def test_stages_with_clashing_columns(stage, docs, spark):
+    """Columns that are named like an operator's own change nothing in what a stage keeps."""
+    _, f = stage
+    more = docs.select("*", *[F.lit("x").alias(c) for c in ("__rid", "__c", "__source", "__n", "ids", "decoded", "keeper", "Doc_ID", "extra")])
+    plain, other = f(spark, docs, ""), f(spark, more, "")
+    assert "extra" in other.columns
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, other.select(*plain.columns).collect()))
+
+
+def test_without_a_text_column(docs):
+    bare = docs.drop("text")
+    assert language.accepted(bare).collect() == []
+    assert all(r.ids == [] and r.decoded == "" for r in pieces.encode(bare, decoded=True).collect())
+    assert not any(r.duplicate for r in near_dedup.near_duplicates(bare).collect())
+    assert pii.personal_data(bare).collect() == license_scan.scanned(bare).collect() == []
+
+
+def test_long_texts_are_taken_whole(spark):
+    """A text of half a million characters: its last words count as much as its first."""
+    end = "Released under the MIT License. write to ann.lee@mail.example.org"
+    rows = [(1, f"{LONG} {end}", "a"), (2, f"{LONG} {end}", "a"), (3, LONG, "a"), (4, LONG[:-1] + "!", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.doc_id: (r.keeper, r.duplicate) for r in exact_dedup.exact_duplicates(docs).collect()} == {1: (1, False), 2: (1, True), 3: (3, False), 4: (4, False)}
+    near = {r.doc_id: (r.keeper, r.duplicate, r.links) for r in near_dedup.near_duplicates(docs).collect()}
+    assert near == {1: (1, False, 3), 2: (1, True, 3), 3: (1, True, 3), 4: (1, True, 3)}
+    assert sorted((r.doc_id, r.license) for r in license_scan.scanned(docs).collect()) == [(1, "MIT"), (2, "MIT")]
+    assert sorted((r.doc_id, r.kind, r.end) for r in pii.personal_data(docs).collect()) == [(i, "email", len(LONG) + 1 + len(end)) for i in (1, 2)]
+    assert {r.doc_id: r.decoded for r in pieces.round_trip(docs).collect()} == {i: t for i, t, _ in rows}
+    assert {r.doc_id: r.text for r in line_rules.line_rules(docs).collect()} == {i: t for i, t, _ in rows}
+
+
+def test_ties(spark):
+    """Equal ids, texts and scores: one of equals is kept, equals are judged alike."""
+    rows = [(7, "the same old text", "en", "a")] * 3 + [(8, "another text altogether here", "en", "a")] * 2
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    assert sorted(r.doc_id for r in exact_dedup.without_exact_duplicates(docs).collect()) == [7, 8]
+    assert sorted(r.doc_id for r in near_dedup.without_near_duplicates(docs).collect()) == [7, 8]
+    assert sorted((r.doc_id, r.links) for r in near_dedup.near_duplicates(docs).collect()) == [(7, 2)] * 3 + [(8, 1)] * 2
+    scores = quality.scored(docs, spark.createDataFrame([(7, 1)], "doc_id bigint, quality int")).collect()
+    assert len({(r.doc_id, r.score) for r in scores}) == 2
+    copies = mixing.mixed(docs, budget=100).groupBy("doc_id").count().collect()
+    assert all(r["count"] % (3 if r.doc_id == 7 else 2) == 0 for r in copies)
+    assert len({(r.shard, r.part) for r in sharding.sharded(docs, 2).where("doc_id = 7").collect()}) == 1
+    kept = line_rules.line_rules(docs, max_documents=1, min_kept=0.0).collect()
+    assert all(r.removed == 0 and r.keep for r in kept)  # copies count as one text

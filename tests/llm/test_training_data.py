@@ -10,6 +10,7 @@ from pathlib import Path
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -55,6 +56,20 @@ def _brute_licenses(text: str) -> set[str]:
     return found
 
 
+def _loose_licenses(text: str) -> set[str]:
+    """Templates of which some window of twice their size class holds 80 % of the shingles: all that may be found."""
+    norm = re.findall(r"[a-z0-9\u0080-￿]+", text.lower())
+    grams = [tuple(norm[i : i + 3]) for i in range(len(norm) - 2)]
+    found = set()
+    for name, template in license_scan.TEMPLATES:
+        t = re.findall(r"[a-z0-9\u0080-￿]+", template.lower())
+        own = {tuple(t[i : i + 3]) for i in range(len(t) - 2)}
+        span = 2 * max(4, 1 << (len(own) - 1).bit_length()) if len(own) > 1 else 1
+        if any(len(own & set(grams[i : i + span])) >= 0.8 * len(own) for i in range(max(1, len(grams) - span + 1))):
+            found.add(name)
+    return found
+
+
 def test_license_scan(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8)))
@@ -71,6 +86,7 @@ def test_license_scan(spark):
     missed = 0
     for i, text in rows:
         want = _brute_licenses(text)
+        assert got.get(i, set()) <= _loose_licenses(text)
         if i >= 1000:
             assert not got.get(i)
         missed += bool(want) and not got.get(i, set()) & want
@@ -236,6 +252,27 @@ def test_language_scores_are_kernel_products():
     assert np.allclose(got, c @ w + y.mean(axis=0), atol=1e-3)
 
 
+def test_language_scores_by_brute_force():
+    """Scores, sizes and familiarity of whole texts, n-gram by n-gram; a text of half a million bytes among them."""
+    rows = pq.read_table(f"{DATA}/documents.parquet", columns=["text", "lang"]).to_pylist()
+    rows = [r for r in rows if r["text"]]
+    model = language.fit([r["text"] for r in rows[::2]], [r["lang"] for r in rows[::2]])
+    texts = [r["text"] for r in rows[1::4]] + ["", "a", "é", " ".join(f"word{i}" for i in range(60_000))]
+    scores, sizes, familiar = model.judged(strings(pa.array(texts)))
+    for text, score, size, known in zip(texts, scores, sizes, familiar, strict=True):
+        data, seen = text.lower().encode(), set()
+        for n in (1, 2, 3):
+            for gram in {data[i : i + n] for i in range(len(data) - n + 1)}:
+                code = int.from_bytes(gram, "big") + n * 0x3C6EF372 & 0xFFFFFFFF
+                seen.add((code * 0x9E3779B1 & 0xFFFFFFFF) >> 17)
+        assert size == len(seen)
+        if seen:
+            want = sum(model.weights[b].astype(float) for b in seen) / np.sqrt(len(seen)) + model.bias
+            assert np.allclose(score, want, atol=1e-3)
+            best = score.argmax()
+            assert known == (np.mean([model.known[best][b] for b in seen]) >= model.min_known[best] - 1e-6)
+
+
 def test_quality_held_out(spark):
     """Fitted with the labels of even ids, judged by those of odd ids, whose texts nothing was fitted on."""
     d = "/root/testdata/sf0.01"
@@ -297,6 +334,34 @@ def test_secrets_without_a_digit(spark):
     assert sorted((r.doc_id, r.kind) for r in pii.personal_data(docs).collect()) == [(i, "secret") for i in range(len(SECRETS))]
 
 
+def _plain_spans(text: str) -> list[tuple[str, int, int, float]]:
+    """Every pattern over every text, context words one by one, overlaps against all that was taken."""
+    found = []
+    for rank, (kind, _, pattern, base, validate, context) in enumerate(pii.KINDS):
+        for m in re.finditer(pattern.pattern, text, pattern.flags):
+            change = validate(m.group()) if validate else 0.0
+            if change < 0:
+                continue
+            near = text[max(0, m.start() - pii.CONTEXT) : m.start()].lower() + " " + text[m.end() : m.end() + pii.CONTEXT].lower()
+            near = set("".join(c if "a" <= c <= "z" else " " for c in near).split())
+            score = base + change + (0.3 if kind == "phone" and m.group()[0] in "+(" else 0) + (0.3 if near & set(context) else 0) - (0.2 if near & {"example", "sample", "dummy", "test"} else 0)
+            if round(min(1.0, score), 2) >= pii.MIN_SCORE:
+                found.append((-round(min(1.0, score), 2), rank, m.start(), m.end(), kind))
+    taken = []
+    for score, _, start, end, kind in sorted(found):
+        if all(end <= s or e <= start for _, s, e, _ in taken):
+            taken.append((kind, start, end, -score))
+    return sorted(taken, key=lambda x: x[1])
+
+
+def test_spans_by_brute_force():
+    """What the needles and the sorted overlaps leave out, nothing else would have found."""
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    texts += SECRETS + ["", "1" * 60, "a@b.cc " * 500, "4111 1111 1111 1111 4111-1111-1111-1111 DE89370400440532013000 10.0.0.1 123-45-6789 +1 555 123 4567" * 3]
+    for text in texts:
+        assert pii.spans(text) == _plain_spans(text)
+
+
 def test_pii_table(spark):
     """The query is the function over every row."""
     want = Counter()

@@ -33,7 +33,7 @@ from lodestone.llm._text import blocks, buffer, give_back, span_hash, strings
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Frequent words whose ids are broadcast at most: 24 bytes of table for each and 2 or 4 bytes for each id.
-HOT_WORDS = 1 << 20
+HOT_WORDS = 1 << 19
 #: Words that a task counts at a time.
 TASK_WORDS = 1 << 18
 #: Bytes of short texts that travel in one row: small enough for the JVM to copy them without large allocations.
@@ -495,14 +495,15 @@ def encode(docs: DataFrame, pieces: Pieces | None = None, hot: int = HOT_WORDS,
 
     frequent = hot_words(docs.select(text.alias("text")), pieces, hot).select(F.lit(None).cast("binary").alias("body"), "word")
     frequent = written(folded(frequent, pieces).select("word", "ids")).toArrow()  # HOT_WORDS rows at most
-    data, offsets = buffer(strings(frequent.column("word")))
     lists = frequent.column("ids").combine_chunks()
     places = Places(len(lists))
-    places.add(*keys(data, offsets[:-1], offsets[1:]), np.arange(len(lists), dtype=np.int32))
+    for first, block in blocks(strings(frequent.column("word"))):
+        data, offsets = buffer(block)
+        places.add(*keys(data, offsets[:-1], offsets[1:]), np.arange(first, first + len(block), dtype=np.int32))
     known = context.broadcast(places)
     sizes, ids = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().to_numpy(zero_copy_only=False)
     kept = context.broadcast((sizes.astype(np.int32), ids.astype(small)))
-    del frequent, data, offsets, lists, sizes, ids
+    del frequent, lists, sizes, ids
     give_back()
 
     def packed(batch: pa.RecordBatch) -> pa.Array:

@@ -1,19 +1,27 @@
-"""Near-duplicate detection: SimHash fingerprints searched with vantage-point trees.
+"""Near-duplicate detection: SimHash fingerprints searched in bands of their bits, with vantage-point trees where these grow large.
 
 A document's fingerprint has 128 bits, each the sign of a sum over its distinct words. Two fingerprints within RADIUS of each
-other are within (RADIUS / 7 =) 2 on at least one of seven 18-bit blocks, so for each block a vantage-point tree over Hamming
-distance cuts the fingerprints into shards of about LEAF, whatever their number. A fingerprint lives in the leaf that its
-block falls into and is sent, too, to the leaves that its ball overlaps, which triangle bounds on the distances to the vantage
-points tell. Each shard then yields its exact pairs. Pairs are joined to groups, of which one document is kept.
-
-Cost: a level doubles the shards and multiplies a fingerprint's copies by about 1.5, so copies grow with the number of
-fingerprints to the power log2(1.5) = 0.58; the search within a shard is bounded by the shard.
+other are within (RADIUS / 5 =) 3 on at least one of five blocks of 25 or 26 bits, and so equal on at least one of the block's
+four parts. A shard holds the fingerprints that are equal on one part of one block: 20 shards for each, whatever their number.
+The rest of the block, 19 or 20 bits, is looked up with each of the masks of up to 3 bits, and what is found is compared whole.
+Shards that would hold over LEAF on average are cut by vantage-point trees over Hamming distance on that rest: a fingerprint
+lives in the leaf that it falls into and is sent, too, to the later leaves that its ball overlaps, which triangle bounds on the
+distances to the vantage points tell.
+
+A pair is found once, by the first block and part that can. A shard doesn't return its pairs but, for each fingerprint, how many
+rows it is linked to there and the least fingerprint that it hangs together with, so a cluster of n costs n rows and not n * n.
+Fingerprints are joined to groups by these, of which one document is kept.
+
+Cost: 20 rows are shuffled and about 7,900 masks looked up for each fingerprint, whatever their number; comparisons grow with its
+square, but by 4e-4 of all pairs (of evenly spread bits; three times that in texts).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +33,14 @@ from lodestone.llm._text import bit_counts, blocks, distinct_rows, mix, span_has
 
 #: Hamming distance, of 128 bits, up to which documents are near-duplicates: (BLOCK_RADIUS + 1) * BLOCKS - 1 at most.
 RADIUS = 19
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 7, 18, 2
-VALUES = 1 << BLOCK_BITS
-#: Fingerprints that live in a leaf on average at most, and fingerprints that vantage points are chosen from.
-LEAF, SAMPLE = 1 << 14, 2_000
-#: Candidate pairs of a shard that are compared at once.
-STEP = 1_000_000
+BLOCK_BITS, BLOCK_RADIUS = (26, 26, 26, 25, 25), 3
+BLOCKS, PARTS = len(BLOCK_BITS), BLOCK_RADIUS + 1
+#: Fingerprints that live in a shard on average at most, and fingerprints that vantage points are chosen from.
+LEAF, SAMPLE = 1 << 18, 2_000
+#: Masks that are looked up, and candidate pairs of a shard that are compared, at once.
+LOOKUPS, STEP = 1 << 18, 1_000_000
+#: Rows with fingerprints, groups and links, some 100 bytes each, that are broadcast at most.
+FEW = 250_000
 
 
 def simhash(column: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
@@ -58,121 +68,232 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def block_values(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """n x 7 block values; the fingerprint's last two bits are in none."""
-    parts = [a, a >> np.uint64(18), a >> np.uint64(36), (a >> np.uint64(54)) | (b << np.uint64(10)), b >> np.uint64(8), b >> np.uint64(26), b >> np.uint64(44)]
-    return np.stack([(p & np.uint64(VALUES - 1)).astype(np.uint32) for p in parts], axis=1)
+    """n x 5 block values."""
+    parts = [a, a >> np.uint64(26), (a >> np.uint64(52)) | (b << np.uint64(12)), b >> np.uint64(14), b >> np.uint64(39)]
+    return np.stack([(p & np.uint64((1 << bits) - 1)).astype(np.int64) for p, bits in zip(parts, BLOCK_BITS, strict=True)], axis=1)
 
 
 @dataclass(frozen=True)
-class Tree:
-    """A vantage-point tree over block values: home[v] is v's leaf, guests[v] the leaves above it that v's ball overlaps."""
+class Band:
+    """A part of a block, `width` bits from `shift` on. masks: by their highest bit, the masks of the block's other bits that have
+    BLOCK_RADIUS bits at most and one at least in each part before, so that no pair is found by two parts."""
+
+    block: int
+    shift: int
+    width: int
+    masks: tuple[tuple[int, np.ndarray], ...]
+
+    @property
+    def bits(self) -> int:
+        return BLOCK_BITS[self.block] - self.width
+
+    def split(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the part, the rest) of block values."""
+        part = (values >> self.shift) & ((1 << self.width) - 1)
+        return part, values & ((1 << self.shift) - 1) | values >> (self.shift + self.width) << self.shift
 
-    home: np.ndarray
-    guest_first: np.ndarray
-    guest_leaf: np.ndarray
 
+def _bands() -> Iterator[Band]:
+    for block, bits in enumerate(BLOCK_BITS):
+        before: list[int] = []
+        for part in range(PARTS):
+            shift, width = bits * part // PARTS, bits * (part + 1) // PARTS - bits * part // PARTS
+            masks: dict[int, list[int]] = {}
+            for n in range(BLOCK_RADIUS + 1):
+                for ones in combinations(range(bits - width), n):
+                    mask = sum(1 << i for i in ones)
+                    if all(mask & m for m in before):
+                        masks.setdefault(mask.bit_length() - 1, []).append(mask)
+            before.append(((1 << width) - 1) << shift)
+            yield Band(block, shift, width, tuple((top, np.array(m, np.int64)) for top, m in sorted(masks.items())))
 
-def grown(sample: np.ndarray, depth: int, radius: int = BLOCK_RADIUS, seed: int = 0) -> Tree:
+
+BANDS = tuple(_bands())
+_WIDTH = max(band.width for band in BANDS)
+
+
+@dataclass(frozen=True)
+class Tree:
+    """A vantage-point tree: the nodes' points and the distances that part what is near them; node i's children are 2i + 1 and 2i + 2."""
+
+    depth: int
+    points: np.ndarray
+    middles: np.ndarray
+
+    def leaves(self, values: np.ndarray, radius: int = BLOCK_RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, leaf, whether it lives there): each value's own leaf and the later ones that its ball overlaps."""
+        row, node, lives = np.arange(len(values)), np.zeros(len(values), np.int64), np.ones(len(values), bool)
+        for _ in range(self.depth):
+            far = np.bitwise_count(values[row] ^ self.points[node]) - self.middles[node]
+            inner, outer = far - radius < 0, far + radius > 0
+            lives = np.r_[lives[inner] & (far[inner] < 0), lives[outer] & (far[outer] > 0)]
+            row, node = np.r_[row[inner], row[outer]], np.r_[2 * node[inner] + 1, 2 * node[outer] + 2]
+        home = np.empty(len(values), np.int64)
+        home[row[lives]] = node[lives]
+        kept = lives | (node > home[row])
+        return row[kept], node[kept] - (1 << self.depth) + 1, lives[kept]
+
+
+def grown(sample: np.ndarray, depth: int, bits: int, seed: int = 0) -> Tree:
     """Each node's vantage point, of a few drawn from its part of the sample, spreads that part's distances the most."""
     rng = np.random.default_rng(seed)
-    values = np.arange(VALUES, dtype=np.uint32)
-    home = np.zeros(VALUES, np.int32)
-    reach = [(np.arange(VALUES), np.ones(VALUES, bool), sample)]  # per node: values whose ball meets it, which live there
+    points, middles, parts = [], [], [sample]
     for _ in range(depth):
         below = []
-        for who, lives, part in reach:
-            pool = part if len(part) else values[who[lives]] if lives.any() else values
+        for part in parts:
+            pool = part if len(part) else rng.integers(0, 1 << bits, 8)
             tries = rng.choice(pool, min(8, len(pool)), replace=False)
-            spread = [np.bitwise_count(pool ^ v).astype(float).var() for v in tries]
-            point = tries[int(np.argmax(spread))]
-            middle = np.median(np.bitwise_count(pool ^ point)) + 0.5  # distances are whole numbers, so none lies on it
-            middle = np.floor(middle) + 0.5
-            d = np.bitwise_count(values[who] ^ point).astype(float)
-            split = np.bitwise_count(part ^ point) < middle
-            inner, outer = d - radius < middle, d + radius > middle
-            below.append((who[inner], lives[inner] & (d[inner] < middle), part[split]))
-            below.append((who[outer], lives[outer] & (d[outer] > middle), part[~split]))
-        reach = below
-    for leaf, (who, lives, _) in enumerate(reach):
-        home[who[lives]] = leaf
-    guest = [(who[~lives & (home[who] < leaf)], leaf) for leaf, (who, lives, _) in enumerate(reach)]
-    value = np.concatenate([w for w, _ in guest]) if guest else np.zeros(0, int)
-    leaves = np.concatenate([np.full(len(w), leaf, np.int32) for w, leaf in guest]) if guest else np.zeros(0, np.int32)
-    order = np.argsort(value, kind="stable")
-    first = np.searchsorted(value[order], np.arange(VALUES + 1))
-    return Tree(home, first, leaves[order])
-
-
-_BITS = [1 << i for i in range(BLOCK_BITS)]
-_BALL = np.array([0, *_BITS, *(x | y for i, x in enumerate(_BITS) for y in _BITS[:i])], np.uint32)
-
-
-def shard_pairs(block: int, a: np.ndarray, b: np.ndarray, lives: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """The pairs within radius of a shard of distinct fingerprints, of which one at least lives there.
+            point = tries[int(np.argmax([np.bitwise_count(pool ^ v).astype(float).var() for v in tries]))]
+            middle = np.floor(np.median(np.bitwise_count(pool ^ point))) + 0.5  # distances are whole numbers, so none lies on it
+            near = np.bitwise_count(part ^ point) < middle
+            points.append(point)
+            middles.append(middle)
+            below += [part[near], part[~near]]
+        parts = below
+    return Tree(depth, np.array(points, np.int64), np.array(middles, np.float32))
+
+
+@cache
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Which values a shard has and their places; empty between two calls of candidates()."""
+    size = 1 << max(band.bits for band in BANDS)
+    return np.zeros(size, bool), np.zeros(size, np.int32)
+
+
+def candidates(band: Band, left: np.ndarray, right: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y): the places in left and right whose values differ by a mask of the band; of left alone each pair once."""
+    other = left if right is None else right
+    order = np.argsort(other, kind="stable")
+    value, first, n = np.unique(other[order], return_index=True, return_counts=True)
+    has, place = _tables()
+
+    def spread(x: np.ndarray, begin: np.ndarray, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        total, at = np.cumsum(size), 0
+        while at < len(x):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
+            each = size[at:stop]
+            y = np.arange(int(each.sum())) + np.repeat(begin[at:stop] - (np.cumsum(each) - each), each)
+            yield np.repeat(x[at:stop], each), order[y]
+            at = stop
+
+    has[value], place[value] = True, np.arange(len(value), dtype=np.int32)
+    try:
+        for top, masks in band.masks:
+            if top < 0 and right is None:  # equal values
+                after = np.arange(1, len(order) + 1)
+                yield from spread(order, after, np.repeat(first + n, n) - after)
+                continue
+            rows = np.arange(len(left)) if right is not None else np.flatnonzero(left >> top & 1 == 0)  # the lesser value of a pair
+            step = max(1, LOOKUPS // len(masks))
+            for at in range(0, len(rows), step):
+                some = rows[at : at + step]
+                looked = (left[some][:, None] ^ masks).ravel()
+                hit = np.flatnonzero(has.take(looked))
+                if len(hit):
+                    found = place[looked[hit]]
+                    yield from spread(some[hit // len(masks)], first[found], n[found])
+    finally:
+        has[value] = False
+
+
+def shard_pairs(band: Band, a: np.ndarray, b: np.ndarray, lives: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(x, y): the pairs within radius of a shard of distinct fingerprints, of which one at least lives there.
 
     A pair that an earlier block finds, because that block's distance is small too, is left to it.
     """
-    mine = block_values(a, b)
-    order = np.argsort(mine[:, block], kind="stable")
-    a, b, lives, mine = a[order], b[order], lives[order], mine[order]
-    value = mine[:, block]
-    begin = np.searchsorted(value, np.arange(VALUES + 1, dtype=np.uint32))
-    for e in _BALL:
-        left, right = begin[value ^ e], begin[(value ^ e) + np.uint32(1)]
-        left = np.maximum(left, np.arange(len(a)) + 1)  # each pair from its first member
-        n = np.maximum(right - left, 0)
-        total = np.cumsum(n)
-        at = 0
-        while at < len(n):
-            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STEP, "right")))
-            x = np.repeat(np.arange(at, stop), n[at:stop])
-            y = np.arange(len(x)) - np.repeat(np.cumsum(n[at:stop]) - n[at:stop], n[at:stop]) + left[x]
-            near = np.bitwise_count(a[x] ^ a[y]).astype(np.int16) + np.bitwise_count(b[x] ^ b[y]) <= radius
-            near &= lives[x] | lives[y]
+    rest = band.split(block_values(a, b)[:, band.block])[1]
+    home, guest = np.flatnonzero(lives), np.flatnonzero(~lives)
+    for who in (home, guest) if len(guest) else (home,):
+        for x, y in candidates(band, rest[home], None if who is home else rest[guest]):
+            x, y = home[x], who[y]
+            near = np.bitwise_count(a[x] ^ a[y]) + np.bitwise_count(b[x] ^ b[y]) <= radius
             x, y = x[near], y[near]
-            if block and len(x):
-                fresh = (np.bitwise_count(mine[x, :block] ^ mine[y, :block]) > BLOCK_RADIUS).all(axis=1)
+            if band.block and len(x):
+                fresh = (np.bitwise_count(block_values(a[x] ^ a[y], b[x] ^ b[y])[:, : band.block]) > BLOCK_RADIUS).all(axis=1)
                 x, y = x[fresh], y[fresh]
             if len(x):
-                yield a[x], b[x], a[y], b[y]
-            at = stop
+                yield x, y
 
 
-def near_pairs(prints: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
-    """(a, b, a2, b2): every pair of distinct fingerprints (a, b) of a written table within radius, once."""
-    if not 0 <= radius < BLOCKS * (BLOCK_RADIUS + 1):
-        raise ValueError("radius must be below " + str(BLOCKS * (BLOCK_RADIUS + 1)))
+def connected(label: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """label, the least place that each place hangs together with, after the pairs (x, y) are joined, too."""
+    while True:
+        one, two = label[x], label[y]
+        apart = one != two
+        if not apart.any():
+            return label
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def sharded(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
+    """(shard, lives, a, b, n) of a written table of distinct fingerprints (a, b) of n rows each; without n of one."""
     n = prints.count()
-    depth = max(0, int(np.ceil(np.log2(max(n, 1) / leaf))))
-    sample = prints.orderBy(F.xxhash64("a", "b")).limit(SAMPLE).toPandas()
-    sampled = block_values(sample["a"].to_numpy(np.int64).view(np.uint64), sample["b"].to_numpy(np.int64).view(np.uint64))
-    trees = prints.sparkSession.sparkContext.broadcast([grown(sampled[:, k], depth, seed=k) for k in range(BLOCKS)])
+    depth = max(0, int(np.ceil(np.log2(max(n, 1) / (leaf << min(band.width for band in BANDS))))))
+    trees = [Tree(0, np.zeros(0), np.zeros(0))] * len(BANDS)
+    if depth:
+        sample = prints.orderBy(F.xxhash64("a", "b")).limit(SAMPLE).toPandas()
+        values = block_values(*(sample[c].to_numpy(np.int64).view(np.uint64) for c in "ab"))
+        trees = [grown(band.split(values[:, band.block])[1], depth, band.bits, seed=k) for k, band in enumerate(BANDS)]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in "ab")
-            value = block_values(a, b)
-            for k, tree in enumerate(trees.value):
-                v = value[:, k].astype(np.int64)
-                first, last = tree.guest_first[v], tree.guest_first[v + 1]
-                who = np.repeat(np.arange(len(v)), last - first)
-                at = np.arange(len(who)) - np.repeat(np.cumsum(last - first) - (last - first), last - first) + first[who]
-                rows = np.r_[np.arange(len(v)), who]
-                shard = np.r_[tree.home[v], tree.guest_leaf[at]].astype(np.int32) * BLOCKS + k
-                yield pa.RecordBatch.from_pydict(
-                    {"shard": pa.array(shard.astype(np.int32)), "lives": pa.array(np.arange(len(rows)) < len(v)), "a": pa.array(a[rows].view(np.int64)), "b": pa.array(b[rows].view(np.int64))}
-                )
+            values = block_values(*(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64) for c in "ab"))
+            for k, band in enumerate(BANDS):
+                part, rest = band.split(values[:, band.block])
+                row, cell, lives = trees[k].leaves(rest)
+                shard = ((k << _WIDTH) + part[row] << depth) + cell
+                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(lives), *batch.take(pa.array(row)).columns], ["shard", "lives", "a", "b", "n"])
+
+    many = F.col("n").cast("int") if "n" in prints.columns else F.lit(1)
+    return prints.select("a", "b", many.alias("n")).mapInArrow(send, "shard bigint, lives boolean, a bigint, b bigint, n int").withColumn("band", F.shiftright("shard", depth + _WIDTH).cast("int"))
+
+
+def _arrays(shard: pa.Table) -> tuple[Band, np.ndarray, np.ndarray, np.ndarray]:
+    a, b = (shard.column(c).to_numpy().view(np.uint64) for c in "ab")
+    return BANDS[shard.column("band")[0].as_py()], a, b, shard.column("lives").to_numpy()
+
+
+def _checked(radius: int) -> int:
+    if not 0 <= radius < BLOCKS * (BLOCK_RADIUS + 1):
+        raise ValueError("radius must be below " + str(BLOCKS * (BLOCK_RADIUS + 1)))
+    return radius
+
+
+def near_pairs(prints: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """(a, b, a2, b2): every pair of distinct fingerprints (a, b) of a written table within radius, once."""
+    _checked(radius)
+
+    def search(shard: pa.Table) -> pa.Table:
+        band, a, b, lives = _arrays(shard)
+        found = list(shard_pairs(band, a, b, lives, radius))
+        x, y = (np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({name: pa.array(of.view(np.int64)) for name, of in (("a", a[x]), ("b", b[x]), ("a2", a[y]), ("b2", b[y]))})
+
+    return sharded(prints, leaf).groupBy("shard").applyInArrow(search, "a bigint, b bigint, a2 bigint, b2 bigint")
+
+
+def near_links(prints: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame:
+    """(a, b, others, a2, b2) of each fingerprint with a pair, once for each shard that finds one.
+
+    The sum of others is the number of rows of other fingerprints within radius. What pairs join is joined by (a, b) and (a2, b2), too.
+    """
+    _checked(radius)
 
     def search(shard: pa.Table) -> pa.Table:
-        a, b = (shard.column(c).to_numpy().view(np.uint64) for c in "ab")
-        lives = shard.column("lives").to_numpy()
-        block = int(shard.column("shard")[0].as_py()) % BLOCKS
-        found = list(shard_pairs(block, a, b, lives, radius))
-        parts = [np.concatenate(p).view(np.int64) for p in zip(*found, strict=True)] if found else [np.zeros(0, np.int64)] * 4
-        return pa.table(dict(zip(("a", "b", "a2", "b2"), map(pa.array, parts), strict=True)))
+        band, a, b, lives = _arrays(shard)
+        n, others, label = shard.column("n").to_numpy().astype(np.int64), np.zeros(len(a), np.int64), np.arange(len(a))
+        for x, y in shard_pairs(band, a, b, lives, radius):
+            np.add.at(others, x, n[y])
+            np.add.at(others, y, n[x])
+            label = connected(label, x, y)
+        x = np.flatnonzero(others)
+        y = label[x]
+        return pa.table({name: pa.array(of.view(np.int64)) for name, of in (("a", a[x]), ("b", b[x]), ("others", others[x]), ("a2", a[y]), ("b2", b[y]))})
 
-    sent = prints.select("a", "b").mapInArrow(send, "shard int, lives boolean, a bigint, b bigint")
-    return sent.groupBy("shard").applyInArrow(search, "a bigint, b bigint, a2 bigint, b2 bigint")
+    return sharded(prints, leaf).groupBy("shard").applyInArrow(search, "a bigint, b bigint, others bigint, a2 bigint, b2 bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,17 +329,16 @@ def groups(docs: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> DataFrame
     key = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", RID)).alias("first")
     prints = written(rows.groupBy("a", "b").agg(key, F.count("*").alias("n")).select("a", "b", "first", "n"))
     point = lambda a, b: F.struct(F.col(a).alias("a"), F.col(b).alias("b"))
-    near = written(near_pairs(prints.select("a", "b"), radius, leaf))
+    near = written(near_links(prints.select("a", "b", "n"), radius, leaf))
     pairs = near.select(point("a", "b").alias("x"), point("a2", "b2").alias("y"))
-    root = small(components(pairs).select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root"))
-    both = near.unionAll(near.select("a2", "b2", "a", "b"))
-    others = both.join(prints.select(F.col("a").alias("a2"), F.col("b").alias("b2"), "n"), ["a2", "b2"]).groupBy("a", "b").agg(F.sum("n").alias("others"))
+    root = small(components(pairs).select(F.col("node.a").alias("a"), F.col("node.b").alias("b"), "root"), FEW)
+    others = near.groupBy("a", "b").agg(F.sum("others").alias("others"))
     rooted = prints.join(root, ["a", "b"], "left").withColumn("root", F.coalesce("root", point("a", "b")))
     per = rooted.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("size")).where("size > 1")
     links = (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("links")
     found = rooted.join(per.select("root", F.col("first").alias("kept")), "root").join(others, ["a", "b"], "left").select("a", "b", F.col("kept").alias("first"), links)
     found = written(found)
-    return rows.join(small(found), ["a", "b"]).select(RID, "doc_id", F.col("first.doc_id").alias("keeper"), F.col(f"first.{RID}").alias("keeper_rid"), "links")
+    return rows.join(small(found, FEW), ["a", "b"]).select(RID, "doc_id", F.col("first.doc_id").alias("keeper"), F.col(f"first.{RID}").alias("keeper_rid"), "links")
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -231,7 +351,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     fingerprinted whole. An empty table gives an empty result; extra columns are ignored.
     """
     docs = numbered(columns(docs, doc_id="bigint", text="string"))
-    found = small(written(groups(docs, radius)).drop("doc_id"))
+    found = small(written(groups(docs, radius)).drop("doc_id"), FEW)
     return docs.select(RID, "doc_id").join(found, RID, "left").select(
         "doc_id",
         F.when(F.col("keeper_rid").isNull(), F.col("doc_id")).otherwise(F.col("keeper")).alias("keeper"),

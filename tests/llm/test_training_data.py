@@ -138,6 +138,40 @@ def test_near_pairs(spark, leaf):
     assert len(got) == len(set(got)) and set(got) == {frozenset((int(p), int(q)) for p, q in s) for s in want}
 
 
+@pytest.mark.parametrize("leaf", [1, near_dedup.LEAF])
+def test_near_links(spark, leaf):
+    """Links and groups by all pairs' distances, with shards that trees cut and without; a row for each fingerprint and shard, not for each pair."""
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, (120, 2), dtype=np.uint64)
+    moved = np.concatenate([base, np.repeat(base[:1], 400, axis=0), np.repeat(base[1:20], 10, axis=0)])
+    for r in range(len(moved)):
+        for b in rng.choice(128, rng.integers(1, 23), replace=False):
+            moved[r, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    fp = np.unique(np.concatenate([base, moved]), axis=0)
+    n = rng.integers(1, 4, len(fp))
+    near = (_hamming(fp) <= near_dedup.RADIUS) & ~np.eye(len(fp), dtype=bool)
+    path = [(int(a), int(b), int(k)) for (a, b), k in zip(fp.view(np.int64), n, strict=True)]
+    rows = near_dedup.near_links(spark.createDataFrame(path, "a bigint, b bigint, n bigint"), leaf=leaf).collect()
+    at = {(a, b): i for i, (a, b, _) in enumerate(path)}
+    others, label = np.zeros(len(fp), int), np.arange(len(fp))
+    for r in rows:
+        others[at[r.a, r.b]] += r.others
+        label = near_dedup.connected(label, np.array([at[r.a, r.b]]), np.array([at[r.a2, r.b2]]))
+    assert others.tolist() == (near * n).sum(axis=1).tolist()
+    assert label.tolist() == near_dedup.connected(np.arange(len(fp)), *np.nonzero(near)).tolist()
+    assert near.sum() > 50_000 and (leaf == 1 or len(rows) <= 20 * len(fp))
+
+
+def test_shards_grow_with_the_table(spark):
+    """Twenty rows for each fingerprint, few and many alike; trees that are asked for cut shards and lose no home."""
+    for n in (1_000, 100_000):
+        prints = spark.range(n).selectExpr("xxhash64(id) AS a", "xxhash64(id, 1) AS b")
+        assert near_dedup.sharded(prints).count() == 20 * n
+    cut = near_dedup.sharded(prints, leaf=200).groupBy("lives").count().collect()
+    homes = {r.lives: r["count"] for r in cut}
+    assert homes[True] == 20 * n and homes[False] > n
+
+
 @pytest.mark.parametrize("others", [10, 100, 300, 1_000])
 def test_fingerprints_do_not_depend_on_the_block(others):
     """A text alone and amid any number of rows of its block has one fingerprint."""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import RID, columns, numbered, quoted, small, tidy, written
-from lodestone.llm._text import blocks, buffer, strings
+from lodestone.llm._text import blocks, buffer, give_back, strings
 
 ORDERS = 3
 BUCKETS = 1 << 15
@@ -101,7 +101,7 @@ def _familiarity(rows: np.ndarray, texts: list[str], labels: list[str], names: l
     known, least = np.zeros((len(names), rows.shape[1]), bool), np.zeros(len(names))
     first = {(label, text): i for i, (label, text) in reversed(list(enumerate(zip(labels, texts, strict=True))))}
     for k, name in enumerate(names):
-        own = rows[sorted(i for (label, _), i in first.items() if label == name)] > 0
+        own = rows[sorted(i for (label, _), i in first.items() if label == name)]
         times = own.sum(axis=0)
         known[k] = times > 0
         share = (own & (times > 1)).sum(axis=1) / np.maximum(1, own.sum(axis=1))
@@ -112,20 +112,22 @@ def _familiarity(rows: np.ndarray, texts: list[str], labels: list[str], names: l
 def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     """One-versus-rest kernel ridge regression on the given rows; landmarks are the first rows of each language."""
     names = sorted(set(labels))
-    rows = np.zeros((len(texts), BUCKETS), np.float32)
+    rows, unit = np.zeros((len(texts), BUCKETS), bool), np.zeros(len(texts), np.float32)
     for at, seen in presence(strings(pa.array(texts, pa.string()))):
-        rows[at : at + len(seen)] = seen / np.sqrt(np.maximum(1, seen.sum(axis=1)))[:, None]
+        rows[at : at + len(seen)], unit[at : at + len(seen)] = seen, 1 / np.sqrt(np.maximum(1, seen.sum(axis=1)))
     y = np.array([[1.0 if label == name else -1.0 for name in names] for label in labels])
     chosen = [i for name in names for i in [k for k, label in enumerate(labels) if label == name][:landmarks]]
-    marks = rows[chosen]
+    marks = rows[chosen] * unit[chosen, None]
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     root = vector[:, good] / np.sqrt(value[good])  # K_mm ** -1/2
-    features = (rows @ marks.T) @ root
+    near = [(rows[at : at + ROWS] * unit[at : at + ROWS, None]) @ marks.T for at in range(0, len(rows), ROWS)]  # a float for each bucket of ROWS rows at a time
+    features = np.concatenate(near) @ root
     mean, target = features.mean(axis=0), y.mean(axis=0)
     centred = features - mean
     w = np.linalg.solve(centred.T @ centred + ridge * len(texts) * np.eye(centred.shape[1]), centred.T @ (y - target))
-    return Model(tuple(names), (marks.T @ (root @ w)).astype(np.float32), target - mean @ w, *_familiarity(rows, texts, labels, names))
+    weights = np.concatenate([(part.T @ (root @ w)).astype(np.float32) for part in np.array_split(marks, 8, axis=1)])
+    return Model(tuple(names), weights, target - mean @ w, *_familiarity(rows, texts, labels, names))
 
 
 def fitted(docs: DataFrame, rows_each: int = FIT_ROWS, landmarks: int = LANDMARKS) -> Model | None:
@@ -136,7 +138,10 @@ def fitted(docs: DataFrame, rows_each: int = FIT_ROWS, landmarks: int = LANDMARK
     chosen = written(labelled.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rows_each).select(RID))
     got = docs.join(small(chosen), RID).select(RID, "text", "lang").orderBy(RID).toPandas()
     got = got[got["text"].str.len() > 0]
-    return fit(got["text"].tolist(), got["lang"].tolist(), landmarks) if len(got) else None
+    model = fit(got["text"].tolist(), got["lang"].tolist(), landmarks) if len(got) else None
+    del got
+    give_back()
+    return model
 
 
 def _classifier(model: Model | None, min_score: float):

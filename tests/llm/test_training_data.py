@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -233,6 +234,17 @@ def test_edited_copies_are_near(spark):
 # 3 and 6
 
 
+def test_language_fit_is_small():
+    """The driver fits 1,200 rows in under 150 MB: rows of 32,768 buckets are kept as bits of presence, not as floats."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(60)) for _ in range(1200)]
+    tracemalloc.start()
+    model = language.fit(texts, [("de", "en", "es", "fr")[i % 4] for i in range(1200)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model.weights.shape == (language.BUCKETS, 4) and peak < 150e6
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [r for r in docs.select("doc_id", "text", "lang").collect() if r.text and len(r.text) > 80]

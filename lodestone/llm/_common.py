@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm._text import give_back
+
 #: Rows of narrow keys that are broadcast at most (about 64 MB as a hashed relation); beyond it the join shuffles.
 BROADCAST_ROWS = 1_500_000
 
@@ -99,13 +101,15 @@ def without_rows(docs: DataFrame, dropped: DataFrame, rows: int = BROADCAST_ROWS
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """fn over Arrow batches, in place: no shuffle."""
+    """fn over Arrow batches, in place: no shuffle. After its task the worker, which stays for later ones, gives its memory back."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = fn(batch)
             if out is not None and out.num_rows:
                 yield out
+        batch = out = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

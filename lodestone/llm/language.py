@@ -159,6 +159,7 @@ def _classifier(model: Model | None, min_score: float):
             score = scores[np.arange(len(column)), best]
         letters = np.array(pc.match_substring_regex(column, r"\p{L}").to_pylist(), bool)
         ok = (score >= min_score) & (sizes > 0) & familiar & letters
+        give_back()
         language = pa.array([names[b] if k else None for b, k in zip(best, ok, strict=True)], pa.string())
         return pa.StructArray.from_arrays([language, pa.array(score.astype(np.float64)), pa.array(ok)], ["language", "score", "accepted"])
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm._common import RID, columns, map_batches, numbered, small, tidy, without_rows, written
-from lodestone.llm._text import bit_counts, blocks, distinct_rows, mix, span_hash, strings, words
+from lodestone.llm._text import bit_counts, blocks, distinct_rows, give_back, mix, span_hash, strings, words
 
 #: Hamming distance, of 128 bits, up to which documents are near-duplicates: (BLOCK_RADIUS + 1) * BLOCKS - 1 at most.
 RADIUS = 19
@@ -246,6 +246,8 @@ def sharded(prints: DataFrame, leaf: int = LEAF) -> DataFrame:
                 row, cell, lives = trees[k].leaves(rest)
                 shard = ((k << _WIDTH) + part[row] << depth) + cell
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(lives), *batch.take(pa.array(row)).columns], ["shard", "lives", "a", "b", "n"])
+        batch = values = part = rest = row = shard = lives = None
+        give_back()
 
     many = F.col("n").cast("int") if "n" in prints.columns else F.lit(1)
     return prints.select("a", "b", many.alias("n")).mapInArrow(send, "shard bigint, lives boolean, a bigint, b bigint, n int").withColumn("band", F.shiftright("shard", depth + _WIDTH).cast("int"))
@@ -291,6 +293,7 @@ def near_links(prints: DataFrame, radius: int = RADIUS, leaf: int = LEAF) -> Dat
             label = connected(label, x, y)
         x = np.flatnonzero(others)
         y = label[x]
+        give_back()
         return pa.table({name: pa.array(of.view(np.int64)) for name, of in (("a", a[x]), ("b", b[x]), ("others", others[x]), ("a2", a[y]), ("b2", b[y]))})
 
     return sharded(prints, leaf).groupBy("shard").applyInArrow(search, "a bigint, b bigint, others bigint, a2 bigint, b2 bigint")

@@ -13,9 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.operators import kernels
 from lodestone.operators.tables import Grown, written
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """df as a side of a join that must not pass through the driver: its rows grow with the graph."""
+    return df.hint("merge")
+
+
 def forward(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("source").alias("a"), F.col("target").alias("b"))
 
@@ -152,27 +158,31 @@ def strong_components(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of an undirected graph, named by the least node: alternating large and small stars."""
+    """(node, component) of an undirected graph, named by the least node: alternating large and small stars.
+
+    Each task first reduces its own edges to a star for each of their components, so the rounds see at most one row for each node
+    and task instead of the edges. The rounds end when the edges are stars.
+    """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         if large:
             e = e.unionAll(e.select(F.col("y").alias("x"), F.col("x").alias("y")))
-        j = e.join(e.groupBy("x").agg(F.min("y").alias("m")), "x").withColumn("m", F.least("m", "x"))
+        j = e.join(_apart(e.groupBy("x").agg(F.min("y").alias("m"))), "x").withColumn("m", F.least("m", "x"))
         if large:
             return j.where("y > x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
         moved = j.where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y"))
         return moved.unionAll(j.select("x", F.col("m").alias("y"))).where("x <> y").distinct()
 
-    e = edges.select(F.greatest("source", "target").alias("x"), F.least("source", "target").alias("y")).where("x <> y").distinct()
-    last = None
+    first = written(edges.select("source", "target").mapInArrow(kernels.stars, "x string, y string"))
+    lone = first.where("x <=> y").select("x").distinct()
+    e = written(star(first.where("x <> y"), False))
     while True:
-        e = written(star(star(e, True), False))
-        state = e.agg(F.count("*"), F.count_distinct("x"), F.sum(F.xxhash64("x", "y").cast("decimal(38,0)"))).first()
-        if state == last:
+        twice = e.groupBy("x").agg(F.count("*").alias("n")).where("n > 1")
+        if twice.isEmpty() and e.join(_apart(e.select(F.col("y").alias("x"))), "x", "left_semi").isEmpty():
             break
-        last = state
-    nodes = edges.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return nodes.join(e.select(F.col("x").alias("node"), F.col("y").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        e = written(star(star(e, True), False))
+    lone = lone.join(_apart(e.select("x")), "x", "left_anti").select("x", F.col("x").alias("y"))
+    return e.unionByName(lone).select(F.col("x").alias("node"), F.col("y").alias("component"))
 
 
 def import_cycles(edges: DataFrame) -> DataFrame:

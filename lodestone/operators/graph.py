@@ -7,8 +7,9 @@ join is a broadcast whenever the frontier's measured size allows it and a shuffl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,46 @@ def top_ranked(ranks: DataFrame, top: int = 10, share: float = 0.1) -> DataFrame
     return kept.orderBy(F.desc("score"), "node").limit(top).select("node", "score")
 
 
+LOCAL = 16_000_000  # edges that one Python task searches: about 1 GB
+BLOCK = 50_000  # nodes whose reach one task counts, at least
+
+
+def _linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of pairs (a, b), and the pairs as ids. Ids are unique and written, but have gaps."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()))
+    from_ = _apart(nodes.select(F.col("node").alias("a"), F.col("id").alias("from")))
+    to = _apart(nodes.select(F.col("node").alias("b"), F.col("id").alias("to")))
+    return nodes, pairs.join(from_, "a").join(to, "b").select("from", "to")
+
+
+def reach_counts(edges: DataFrame) -> DataFrame:
+    """(node, reach): how many others depend on each import endpoint, directly or not.
+
+    The pairs of the closure are counted, never kept: each of at most 24 tasks holds the links as numbers, 16 bytes each, and
+    counts for its share of the nodes. Time grows with the pairs, memory and shuffle with the edges.
+    """
+    imports = written(backward(edges.where("kind = 'imports'")).distinct())
+    nodes, links = _linked(imports)
+    tasks = max(1, min(24, -(-nodes.count() // BLOCK)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.column(i).to_numpy().tobytes()], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    def counted(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        a, b = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("a", "b"))
+        (a, b), first = kernels.dense(a, b)
+        n, task = int(first[-1]), key[0].as_py()
+        start, end = n * task // tasks, n * (task + 1) // tasks
+        counts = kernels.reach(kernels.Links(a, b, n), n, start, end)
+        return pa.table({"id": kernels.sparse(np.arange(start, end), first), "reach": counts})
+
+    copies = links.mapInArrow(packed, "a binary, b binary").withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+    n = copies.groupBy("task").applyInArrow(counted, "id bigint, reach bigint")
+    return nodes.join(_apart(n), "id", "left").select("node", F.coalesce("reach", F.lit(0)).alias("reach"))
+
+
 def closure(pairs: DataFrame) -> DataFrame:
     """All (a, b) with a path from a to b of one step or more, by doubling: rounds grow with the diameter's logarithm."""
     seen = Grown(pairs.select("a", "b").distinct())
@@ -133,14 +174,6 @@ def closure(pairs: DataFrame) -> DataFrame:
             return seen.table()
 
 
-def reach_counts(edges: DataFrame) -> DataFrame:
-    """(node, reach): how many others depend on each import endpoint, directly or not."""
-    imports = edges.where("kind = 'imports'").select("source", "target").distinct()
-    n = closure(backward(imports)).where("a <> b").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("reach"))
-    nodes = imports.select(F.explode(F.array("source", "target")).alias("node")).distinct()
-    return nodes.join(n, "node", "left").select("node", F.coalesce("reach", F.lit(0)).alias("reach"))
-
-
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes on cycles; a component is named by its least node.
 

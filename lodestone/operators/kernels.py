@@ -163,21 +163,18 @@ def stars(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def cyclic(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Nodes on cycles of two nodes or more, and the least node of each one's strong component.
 
-    Edges from nodes without edges in, and to nodes without edges out, are cut until none is left; then Tarjan's search.
+    Edges from nodes without edges in, and to nodes without edges out, are cut while a round cuts a tenth; then Tarjan's search.
     """
-    before = -1
-    while before != len(a):
+    names, before = np.arange(n), None
+    while before is None or len(a) < 0.9 * before:
         before = len(a)
         has_in, has_out = np.zeros(n, bool), np.zeros(n, bool)
         has_in[b] = has_out[a] = True
         kept = has_in[a] & has_out[b]
         a, b = a[kept], b[kept]
-        if len(a) < n // 4:  # so that later rounds cost what is left
-            break
-    left, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
-    if len(left) < n:
-        nodes, component = cyclic(codes[: len(a)], codes[len(a) :], len(left))
-        return left[nodes], left[component]
+        if 4 * len(a) < n:  # so that later rounds cost what is left
+            left, codes = np.unique(np.concatenate([a, b]), return_inverse=True)
+            names, n, a, b = names[left], len(left), codes[: len(a)], codes[len(a) :]
     links = Links(a, b, n)
     start, end, target = links.start.tolist(), (links.start + links.degree).tolist(), links.target.tolist()
     number, low, component, stack, count = [-1] * n, [0] * n, [-1] * n, [], 0
@@ -212,5 +209,5 @@ def cyclic(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
                 for w in members:
                     component[w] = name
     component = np.array(component, np.int64)
-    nodes = np.flatnonzero(np.bincount(component, minlength=n)[component] > 1) if n else component
-    return nodes, component[nodes]
+    nodes = np.flatnonzero(np.bincount(component, minlength=n)[component] > 1)
+    return names[nodes], names[component[nodes]]

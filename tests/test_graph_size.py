@@ -54,3 +54,37 @@ def test_stars_of_a_task(monkeypatch):
         assert {(r["x"], r["y"]) for r in rows if r["x"] in (None, "z")} == {(None, None), ("z", "z")}
         if held == 1000:
             assert len(kept) == len(names)
+
+
+def test_reach_counts_read_edges_once(spark, monkeypatch):
+    """Several tasks, ids with gaps, cycles, nodes without dependents; no table that is written holds the closure's pairs."""
+    monkeypatch.setattr(graph, "BLOCK", 25)
+    sizes = []
+    monkeypatch.setattr(graph, "written", lambda df, f=graph.written: (out := f(df), sizes.append(out.count()))[0])
+    pairs = [*_pairs(5, 150, 180), *((f"c{i:03}", f"c{i + 1:03}") for i in range(60))]
+    edges, read = _counted(spark, [(a, b, "imports", "t") for a, b in pairs] + [("c060", "c000", "calls", "t")])
+    after = {}
+    for a, b in pairs:
+        after.setdefault(b, []).append(a)
+    want = {}
+    for n in {n for p in pairs for n in p}:
+        found = [n]
+        for v in found:
+            found += [w for w in dict.fromkeys(after.get(v, [])) if w not in found]
+        want[n] = len(found) - 1
+    assert {r.node: r.reach for r in graph.reach_counts(edges).collect()} == want
+    assert read.value == len(pairs) + 1 and max(sizes) <= max(len(pairs), len(want))
+
+
+def test_reach_of_a_block():
+    """Blocks of one word and of many, a ring and a dense graph."""
+    for n, a, b in ((200, np.arange(200), (np.arange(200) + 1) % 200), (300, *np.random.default_rng(6).integers(0, 300, (2, 420)))):
+        m = np.eye(n, dtype=bool)
+        step = np.eye(n, dtype=bool)
+        step[a, b] = True
+        for _ in range(9):
+            m = m | (step.astype(int) @ step.astype(int) > 0)
+            step = m
+        links = kernels.Links(a, b, n)
+        assert kernels.reach(links, n, 0, n).tolist() == (m.sum(axis=1) - 1).tolist()
+        assert kernels.reach(links, n, 70, 171).tolist() == (m.sum(axis=1) - 1)[70:171].tolist()

@@ -164,30 +164,27 @@ def reach_counts(edges: DataFrame) -> DataFrame:
     return nodes.join(_apart(n), "id", "left").select("node", F.coalesce("reach", F.lit(0)).alias("reach"))
 
 
-def closure(pairs: DataFrame) -> DataFrame:
-    """All (a, b) with a path from a to b of one step or more, by doubling: rounds grow with the diameter's logarithm."""
-    seen = Grown(pairs.select("a", "b").distinct())
-    while True:
-        all_ = seen.table()
-        longer = all_.join(all_.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
-        if seen.add(longer.join(all_, ["a", "b"], "left_anti")).isEmpty():
-            return seen.table()
-
-
 def strong_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes on cycles; a component is named by its least node.
 
-    Nodes without edges in or out can't be on a cycle: they are peeled off, round by round, before the closure is taken of
-    what is left.
+    Nodes without edges in or out can't be on a cycle: they are peeled off, round by round, until one task can hold what is left
+    or a round peels less than a tenth; one task ends the search in linear time and memory.
     """
     left = written(forward(edges).where("a <> b").distinct())
-    before, now = -1, left.count()
-    while before != now:
-        left = written(left.join(left.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi"))
+    before, now = None, left.count()
+    while now > LOCAL // 4 and (before is None or now < 0.9 * before):
+        ends, starts = left.select(F.col("b").alias("a")).distinct(), left.select(F.col("a").alias("b")).distinct()
+        left = written(left.join(_apart(ends), "a", "left_semi").join(_apart(starts), "b", "left_semi"))
         before, now = now, left.count()
-    all_ = closure(left)
-    both = all_.join(all_.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_semi").where("a <> b")
-    return both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("component"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [*batches]
+        if sum(b.num_rows for b in held):
+            names, (a, b) = kernels.numbered([h.column(0) for h in held], [h.column(1) for h in held])
+            nodes, component = (names.take(pa.array(c)).cast(pa.string()) for c in kernels.cyclic(a, b, len(names)))
+            yield pa.record_batch([nodes, component], ["node", "component"])
+
+    return written(left.select("a", "b").repartition(1).mapInArrow(search, "node string, component string"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,7 +220,7 @@ def import_cycles(edges: DataFrame) -> DataFrame:
 
     The search is sequential, so each repo's cyclic core is one group; edges that lie on no cycle are cut off before.
     """
-    imports = edges.where("kind = 'imports'").select("repo", "source", "target").distinct()
+    imports = written(edges.where("kind = 'imports'").select("repo", "source", "target").distinct())
     part = strong_components(imports)
     core = imports.join(part.select(F.col("node").alias("source"), F.col("component").alias("c1")), "source")
     core = core.join(part.select(F.col("node").alias("target"), F.col("component").alias("c2")), "target").where("c1 = c2").select("repo", "source", "target")
@@ -237,7 +234,7 @@ def import_cycles(edges: DataFrame) -> DataFrame:
         for root in sorted(after):
             if state.get(root):
                 continue
-            path, stack = [root], [iter(after[root])]
+            path, stack, place = [root], [iter(after[root])], {root: 0}
             state[root] = 1
             while stack:
                 node = next(stack[-1], None)
@@ -246,10 +243,11 @@ def import_cycles(edges: DataFrame) -> DataFrame:
                     state[path.pop()] = 2
                 elif not state.get(node):
                     state[node] = 1
+                    place[node] = len(path)
                     path.append(node)
                     stack.append(iter(after.get(node, [])))
                 elif state[node] == 1:
-                    cycles.append([*path[path.index(node) :], node])
+                    cycles.append([*path[place[node] :], node])
         repo = group["repo"][0].as_py()
         return pa.table({"repo": pa.array([repo] * len(cycles), pa.string()), "cycle": pa.array(cycles, pa.list_(pa.string()))})
 

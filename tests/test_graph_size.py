@@ -88,3 +88,41 @@ def test_reach_of_a_block():
         links = kernels.Links(a, b, n)
         assert kernels.reach(links, n, 0, n).tolist() == (m.sum(axis=1) - 1).tolist()
         assert kernels.reach(links, n, 70, 171).tolist() == (m.sum(axis=1) - 1)[70:171].tolist()
+
+
+def _jobs(spark, run):
+    name = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    out = run()
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+
+
+def test_cycles_behind_a_long_chain(spark):
+    """Peeling a chain takes no job for each of its nodes; edges are read once."""
+    pairs = [*((f"c{i:03}", f"c{i + 1:03}") for i in range(40)), ("c040", "x"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "w")]
+    edges, read = _counted(spark, [(a, b, "imports", "t") for a, b in pairs])
+    cycles, jobs = _jobs(spark, lambda: [r.cycle for r in graph.import_cycles(edges).collect()])
+    assert cycles == [["x", "y", "x"]] and read.value == len(pairs) and jobs < 40
+
+
+def test_strong_components_peel_until_a_task_can_hold_the_rest(spark, monkeypatch):
+    pairs = _pairs(7, 80, 110)
+    edges = spark.createDataFrame([(a, b, "imports", "t") for a, b in pairs], "source string, target string, kind string, repo string")
+    want = {(r.node, r.component) for r in graph.strong_components(edges).collect()}
+    monkeypatch.setattr(graph, "LOCAL", 80)
+    assert want and {(r.node, r.component) for r in graph.strong_components(edges).collect()} == want
+
+
+def test_cyclic_against_reach():
+    for seed in range(30):
+        n = 40
+        a, b = np.random.default_rng(seed).integers(0, n, (2, 20 + 3 * seed))
+        a, b = a[a != b], b[a != b]
+        m = np.eye(n, dtype=int)
+        m[a, b] = 1
+        for _ in range(6):
+            m = (m @ m > 0).astype(int)
+        both = (m > 0) & (m.T > 0)
+        want = [(i, int(np.flatnonzero(both[i])[0])) for i in range(n) if both[i].sum() > 1]
+        nodes, component = kernels.cyclic(a, b, n)
+        assert list(zip(nodes.tolist(), component.tolist(), strict=True)) == want

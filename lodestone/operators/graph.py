@@ -1,8 +1,9 @@
 """Graph operators: set-at-a-time loops over edge tables.
 
 A loop's step is one join of the frontier with the edges and one anti join with what was visited; each step's new rows are
-written once to the shared folder. Only emptiness and scalars reach the driver. Frontiers are small beside the edges, so the
-join is a broadcast whenever the frontier's measured size allows it and a shuffle otherwise.
+written once to the shared folder. Only emptiness, scalars and broadcast frontiers reach the driver. Frontiers are small beside
+the edges, so the join is a broadcast whenever the frontier's measured size allows it and a shuffle otherwise; what was visited
+is never broadcast. Loops of many rounds end in one task as soon as it can hold what is left (kernels).
 """
 
 from __future__ import annotations
@@ -18,6 +19,9 @@ from lodestone.operators import kernels
 from lodestone.operators.tables import Grown, written
 
 
+LOCAL = 16_000_000  # edges that one Python task searches: about 1 GB
+
+
 def _apart(df: DataFrame) -> DataFrame:
     """df as a side of a join that must not pass through the driver: its rows grow with the graph."""
     return df.hint("merge")
@@ -32,21 +36,47 @@ def backward(edges: DataFrame) -> DataFrame:
 
 
 def levels(steps: DataFrame, seeds: DataFrame, max_depth: int | None = None, keys: Sequence[str] = ()) -> DataFrame:
-    """(*keys, node, depth): what each key's seeds reach over steps (a, b), with the least number of steps."""
+    """(*keys, node, depth): what each key's seeds reach over steps (a, b), with the least number of steps.
+
+    A search of any depth from one set of seeds takes one task if that can hold the steps, as rounds may be many and each reads
+    all that was seen before.
+    """
     on = [*keys, "node"]
     steps = written(steps.select("a", "b").distinct())
     seen = Grown(seeds.select(*on).distinct().withColumn("depth", F.lit(0).cast("bigint")))
+    if max_depth is None and not keys and steps.count() <= LOCAL:
+        return _searched(steps, seen)
     frontier, depth = seen.table(), 0
     while max_depth is None or depth < max_depth:
         depth += 1
         reached = frontier.join(steps, F.col("node") == F.col("a")).select(*keys, F.col("b").alias("node")).distinct()
-        fresh = reached.join(seen.table(), on, "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
+        fresh = reached.join(_apart(seen.table()), on, "left_anti").withColumn("depth", F.lit(depth).cast("bigint"))
         frontier = seen.add(fresh)
         if frontier.isEmpty():
             break
     return seen.table()
 
 
+def _searched(steps: DataFrame, seen: Grown) -> DataFrame:
+    """seen's seeds and all that they reach, in one task."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [*batches]
+        if sum(b.num_rows for b in held):
+            seeds = np.concatenate([h.column(2).to_numpy(zero_copy_only=False) for h in held]).astype(bool)
+            names, (a, b) = kernels.numbered([h.column(0) for h in held], [h.column(1) for h in held])
+            depth = kernels.depths(kernels.Links(a[~seeds], b[~seeds], len(names)), a[seeds], len(names))
+            found = np.flatnonzero(depth > 0)
+            for at in range(0, len(found), 100_000):
+                some = found[at : at + 100_000]
+                yield pa.record_batch([names.take(pa.array(some)).cast(pa.string()), pa.array(depth[some])], ["node", "depth"])
+
+    seeds = seen.table().where("node IS NOT NULL").select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("seed"))
+    rows = steps.where("a IS NOT NULL").select("a", "b", F.lit(False).alias("seed")).unionAll(seeds)
+    seen.add(rows.repartition(1).mapInArrow(search, "node string, depth bigint"))
+    return seen.table()
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """The distinct edges out of the nodes that are at most max_depth steps away."""
     near = levels(forward(edges), seeds, max_depth).select(F.col("node").alias("source"))
@@ -124,7 +154,6 @@ def top_ranked(ranks: DataFrame, top: int = 10, share: float = 0.1) -> DataFrame
     return kept.orderBy(F.desc("score"), "node").limit(top).select("node", "score")
 
 
-LOCAL = 16_000_000  # edges that one Python task searches: about 1 GB
 BLOCK = 50_000  # nodes whose reach one task counts, at least
 
 

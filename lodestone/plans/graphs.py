@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators import graph, store
+from lodestone.operators.tables import written
 from lodestone.plans.registry import Facts, query
 
 BEST = "SELECT target AS node FROM br_edges GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT {n}"
@@ -235,7 +236,8 @@ _IMPACT = {"best": "SELECT node FROM (" + BEST.format(n=5) + ")"}
 @query("gr_impact", "SELECT substr(node, 1, instr(node, ':') - 1) AS repo, count(*) AS modules FROM w GROUP BY 1", **_IMPACT, **walked("w", ANY, None, back=True))
 def gr_impact(f: Facts) -> DataFrame:
     """Everything that changed files reach against the edges, in any repo."""
-    reached = graph.levels(graph.backward(f["br_edges"]), _seeds(f, 5))
+    e = written(f["br_edges"].select("source", "target", "kind"))  # read twice; the seeds count an edge for each kind
+    reached = graph.levels(graph.backward(e), store.busiest(e, 5).withColumnRenamed("module", "node"))
     return reached.groupBy(F.substring_index("node", ":", 1).alias("repo")).agg(F.count("*").alias("modules"))
 
 

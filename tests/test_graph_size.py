@@ -126,3 +126,16 @@ def test_cyclic_against_reach():
         want = [(i, int(np.flatnonzero(both[i])[0])) for i in range(n) if both[i].sum() > 1]
         nodes, component = kernels.cyclic(a, b, n)
         assert list(zip(nodes.tolist(), component.tolist(), strict=True)) == want
+
+
+def test_search_of_any_depth(spark, monkeypatch):
+    """A chain of 40 takes few jobs; the rounds that replace the task on a greater graph give the same and broadcast no seen rows."""
+    pairs = [*((f"c{i:03}", f"c{i + 1:03}") for i in range(40)), ("c040", "c010"), ("c005", "d"), ("e", "c000"), ("c001", None), (None, "e")]
+    steps = spark.createDataFrame(pairs, "a string, b string")
+    seeds = spark.createDataFrame([("c000",), ("c003",), ("alone",), (None,)], "node string")
+    found, jobs = _jobs(spark, lambda: {(r.node, r.depth) for r in graph.levels(steps, seeds).collect()})
+    want = {("alone", 0), (None, 0), ("c000", 0), ("c001", 1), ("c002", 2), (None, 2), ("d", 3)} | {(f"c{i:03}", i - 3) for i in range(3, 41)}
+    assert found == want and jobs < 15
+    short = [(f"c{i:03}", f"c{i + 1:03}") for i in range(4)]
+    monkeypatch.setattr(graph, "LOCAL", 0)
+    assert {(r.node, r.depth) for r in graph.levels(spark.createDataFrame(short, "a string, b string"), seeds.where("node = 'c000'")).collect()} == {(f"c{i:03}", i) for i in range(5)}

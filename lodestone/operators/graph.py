@@ -19,7 +19,7 @@ from lodestone.operators import kernels
 from lodestone.operators.tables import Grown, written
 
 
-LOCAL = 16_000_000  # edges that one Python task searches: about 1 GB
+LOCAL = 16_000_000  # edges that one Python task searches as numbers; a quarter of them as names
 
 
 def _apart(df: DataFrame) -> DataFrame:
@@ -63,17 +63,21 @@ def _searched(steps: DataFrame, seen: Grown) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [*batches]
         if sum(b.num_rows for b in held):
-            seeds = np.concatenate([h.column(2).to_numpy(zero_copy_only=False) for h in held]).astype(bool)
-            names, (a, b) = kernels.numbered([h.column(0) for h in held], [h.column(1) for h in held])
-            depth = kernels.depths(kernels.Links(a[~seeds], b[~seeds], len(names)), a[seeds], len(names))
+            a, b, seeds = (np.concatenate([h.column(i).to_numpy(zero_copy_only=False) for h in held]) for i in range(3))
+            held.clear()
+            (a, b), first = kernels.dense(a, b)
+            n = int(first[-1])
+            depth = kernels.depths(kernels.Links(a[~seeds], b[~seeds], n), a[seeds], n)
             found = np.flatnonzero(depth > 0)
             for at in range(0, len(found), 100_000):
                 some = found[at : at + 100_000]
-                yield pa.record_batch([names.take(pa.array(some)).cast(pa.string()), pa.array(depth[some])], ["node", "depth"])
+                yield pa.record_batch([pa.array(kernels.sparse(some, first)), pa.array(depth[some])], ["id", "depth"])
 
-    seeds = seen.table().where("node IS NOT NULL").select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(True).alias("seed"))
-    rows = steps.where("a IS NOT NULL").select("a", "b", F.lit(False).alias("seed")).unionAll(seeds)
-    seen.add(rows.repartition(1).mapInArrow(search, "node string, depth bigint"))
+    nodes, links = _linked(steps.where("a IS NOT NULL"), nulls=True)
+    seeds = nodes.join(_apart(seen.table().select("node")), "node", "left_semi").select(F.col("id").alias("from"), F.col("id").alias("to"), F.lit(True).alias("seed"))
+    rows = links.select("from", "to", F.lit(False).alias("seed")).unionAll(seeds)
+    found = rows.repartition(1).mapInArrow(search, "id bigint, depth bigint")
+    seen.add(nodes.join(_apart(found), "id").select("node", "depth"))
     return seen.table()
 
 
@@ -157,13 +161,14 @@ def top_ranked(ranks: DataFrame, top: int = 10, share: float = 0.1) -> DataFrame
 BLOCK = 50_000  # nodes whose reach one task counts, at least
 
 
-def _linked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, id) of pairs (a, b), and the pairs as ids. Ids are unique and written, but have gaps."""
+def _linked(pairs: DataFrame, nulls: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(node, id) of pairs (a, b), and the pairs as ids. Ids are unique and written, but have gaps. With nulls, b may be null."""
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     nodes = written(nodes.withColumn("id", F.monotonically_increasing_id()))
     from_ = _apart(nodes.select(F.col("node").alias("a"), F.col("id").alias("from")))
-    to = _apart(nodes.select(F.col("node").alias("b"), F.col("id").alias("to")))
-    return nodes, pairs.join(from_, "a").join(to, "b").select("from", "to")
+    to = _apart(nodes.select(F.col("node").alias("end"), F.col("id").alias("to")))
+    same = F.col("b").eqNullSafe(F.col("end")) if nulls else F.col("b") == F.col("end")
+    return nodes, pairs.join(from_, "a").join(to, same).select("from", "to")
 
 
 def reach_counts(edges: DataFrame) -> DataFrame:
